@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_chat
 from .media import op6_media
 from .packing import op8_packing
+from .warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op6_media, op8_packing)}
+QUERIES = {f.__name__: f for f in (op6_media, op7_chat, op8_packing, op9_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_SQL, "op9_warc": OP9_SQL}
