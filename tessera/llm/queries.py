@@ -5,10 +5,11 @@ from __future__ import annotations
 from .chat import OP7_SQL, op7_chat
 from .html import op5_html
 from .media import op6_media
+from .neardup import OP3_SQL, op3_neardup
 from .packing import op8_packing
 from .quality import op1_quality
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_html, op6_media, op7_chat, op8_packing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_neardup, op5_html, op6_media, op7_chat, op8_packing, op9_warc)}
 
-ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_neardup": OP3_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL}
