@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -21,6 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - {"html", "body", "title", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+REPEATED = frozenset("p li dd dt tr td th blockquote pre h2 h3 h4 h5 h6 figure".split())
 # Fixed values of this operator: names that say what a branch is.
 NOISE_TAGS = RAW | frozenset("head title nav footer aside form button dialog menu".split())
 NOISE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
@@ -36,11 +38,17 @@ def _hash(*parts: str) -> int:
 
 
 class _Node:
-    __slots__ = ("children", "name", "path", "prior", "tag")
+    """An element. Of siblings alike in tag and class each has its own place in the tree, but paragraphs, list items and the like share one."""
+
+    __slots__ = ("children", "name", "path", "prior", "seen", "tag")
 
     def __init__(self, tag: str, names: str, parent: _Node | None):
-        self.tag, self.name = tag, f"{tag}.{names}"
-        self.path = _hash(str(parent.path) if parent else "", self.name)
+        self.tag, self.name, self.seen = tag, f"{tag}.{names}", Counter()
+        place = 0
+        if parent and tag not in REPEATED:
+            place = parent.seen[self.name]
+            parent.seen[self.name] += 1
+        self.path = _hash(str(parent.path) if parent else "", self.name, str(place))
         self.children: list[str] = []
         prior = parent.prior if parent else 0
         if tag in NOISE_TAGS or any(x in NOISE_NAMES for x in _SPLIT.split(names)) or (tag == "header" and prior < 1):
