@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch
+from .common import bounded, scratch, steps
 from .tokens import default_path, token_ids
 
 #: Ids are below this; the last one stands for a text's start.
@@ -24,7 +24,8 @@ class Models:
     """Both models have this order (2), smoothing and vocabulary. mu: weight of the unigram model in a bigram's; alpha: added to unigram counts.
 
     held: distinct bigrams that a counting task holds before it passes them on; slice_rows: bigrams that a scoring task holds at once;
-    broadcast: ids of target documents that are broadcast at most (8 bytes each), more are joined by a shuffle.
+    broadcast: ids of target documents that are broadcast at most (8 bytes each), more are joined by a shuffle;
+    step_bytes: text that is tokenized and looked up at once.
     """
 
     mu: float = 20.0
@@ -32,6 +33,7 @@ class Models:
     held: int = 2_000_000
     slice_rows: int = 4_000_000
     broadcast: int = 500_000
+    step_bytes: int = 2 << 20
 
 
 def _pairs(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +61,9 @@ def count(df: DataFrame, path: str, m: Models) -> DataFrame:
             return key, np.bincount(at, t, len(key)).astype(np.int64), np.bincount(at, b, len(key)).astype(np.int64)
 
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                key, sizes = _pairs([x or "" for x in batch.column(0)[i : i + 512].to_pylist()], path)
-                own = np.repeat(batch.column(1)[i : i + 512].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            for i, j, _, _ in steps(batch.column(0), m.step_bytes):
+                key, sizes = _pairs([x or "" for x in batch.column(0)[i:j].to_pylist()], path)
+                own = np.repeat(batch.column(1)[i:j].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
                 part = merged(key, own, np.ones(len(key), np.int64))
                 held = merged(*(np.concatenate(x) for x in zip(held, part, strict=True)))
                 if len(held[0]) > m.held:
@@ -127,31 +129,33 @@ def cross_entropy_difference(df: DataFrame, targets: DataFrame, tokenizer: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, over = shared.value
         for batch in batches:
-            key, sizes = _pairs([x or "" for x in batch.column(1).to_pylist()], path)
-            target = batch.column(2).to_numpy(zero_copy_only=False)
-            found = {c: np.zeros(len(key), np.float32) for c in "tb"}
-            history, token = key >> 16, key & (WIDE - 1)
-            for k in range(slices):
-                known, *counts = _slice(folder if slices == 1 else f"{folder}/slice={k}")
-                mine = slice(None) if slices == 1 else np.flatnonzero(history % slices == k)
-                wanted = key[mine]
-                at = np.searchsorted(known, wanted)
-                at[at == len(known)] = 0
-                hit = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
-                for c, n in zip("tb", counts, strict=True):
-                    found[c][mine] = np.where(hit, n[at] if len(known) else 0, 0)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            own = []
-            for x in (key, history):
-                _, at, n = np.unique(row << 32 | x, return_inverse=True, return_counts=True)
-                own.append(n[at])
-            loss = {}
-            for c in "tb":
-                less = np.repeat(target, sizes) if c == "t" else True
-                top = found[c] - np.where(less, own[0], 0) + m.mu * base[c][token]
-                value = -np.log(top / (over[c][history] - np.where(less, own[1], 0) + m.mu))
-                loss[c] = np.round(np.bincount(row, value, len(sizes)) / np.maximum(sizes, 1), 6)
-            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(loss["t"]), pa.array(loss["b"]), pa.array(np.round(loss["t"] - loss["b"], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            for i, j, _, _ in steps(batch.column(1), m.step_bytes):
+                part = batch.slice(i, j - i)
+                key, sizes = _pairs([x or "" for x in part.column(1).to_pylist()], path)
+                target = part.column(2).to_numpy(zero_copy_only=False)
+                found = {c: np.zeros(len(key), np.float32) for c in "tb"}
+                history, token = key >> 16, key & (WIDE - 1)
+                for k in range(slices):
+                    known, *counts = _slice(folder if slices == 1 else f"{folder}/slice={k}")
+                    mine = slice(None) if slices == 1 else np.flatnonzero(history % slices == k)
+                    wanted = key[mine]
+                    at = np.searchsorted(known, wanted)
+                    at[at == len(known)] = 0
+                    hit = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+                    for c, n in zip("tb", counts, strict=True):
+                        found[c][mine] = np.where(hit, n[at] if len(known) else 0, 0)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                own = []
+                for x in (key, history):
+                    _, at, n = np.unique(row << 32 | x, return_inverse=True, return_counts=True)
+                    own.append(n[at])
+                loss = {}
+                for c in "tb":
+                    less = np.repeat(target, sizes) if c == "t" else True
+                    top = found[c] - np.where(less, own[0], 0) + m.mu * base[c][token]
+                    value = -np.log(top / (over[c][history] - np.where(less, own[1], 0) + m.mu))
+                    loss[c] = np.round(np.bincount(row, value, len(sizes)) / np.maximum(sizes, 1), 6)
+                yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(loss["t"]), pa.array(loss["b"]), pa.array(np.round(loss["t"] - loss["b"], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
