@@ -9,6 +9,8 @@ from .common import written
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
+#: Documents with deletions, and deleted lines in all, up to which the deletions are broadcast (at most about 30 MB); more are joined by a shuffle.
+BROADCAST_DOCS, BROADCAST_LINES = 250_000, 2_500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,7 +60,10 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows with one id and several texts are several documents. Null ids come first. An empty table gives no rows. A column named n_lines or
     n_removed is replaced.
     """
-    removed = repeated_lines(df, min_words).select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "removed")
+    removed = written(repeated_lines(df, min_words).select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "removed"), "removed")
+    size = removed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("lines")).first()
+    if size.docs <= BROADCAST_DOCS and size.lines <= BROADCAST_LINES:
+        removed = F.broadcast(removed)
     base = df.drop("n_lines", "n_removed")
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = base.withColumn("_th", th).join(removed, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("_th") == F.col("own_th")), "left")
