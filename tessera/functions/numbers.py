@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 EARTH_M = 6_371_000.0
 
 
-def price_per_area(price: Column, area: Column) -> Column:
-    return F.round(F.try_divide(price, area), 2)
+def price_per_area(price: Column, area: Column, digits: int = 2) -> Column:
+    return F.round(F.try_divide(price, area), digits)
 
 
-def variation_percent(value: Column, reference: Column) -> Column:
-    """How far a value lies above a reference, in per cent with one decimal; null without a reference."""
-    return F.round((value - reference) / F.nullif(reference, F.lit(0.0)) * 100, 1)
+def variation_percent(value: Column, reference: Column, digits: int = 1) -> Column:
+    """How far a value lies above a reference, in per cent; null without a reference."""
+    return F.round((value - reference) / F.nullif(reference, F.lit(0.0)) * 100, digits)
 
 
 def relative_gap(a: Column, b: Column) -> Column:

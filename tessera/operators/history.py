@@ -44,12 +44,12 @@ def top_per_group(df: DataFrame, group: str, rank: list[Column], each: int = 4,
     return first.orderBy(*rank).limit(overall)
 
 
-def weekly_series(df: DataFrame, value: str, group: list[str], h: History = History()) -> DataFrame:
+def weekly_series(df: DataFrame, value: str, group: list[str], h: History = History(), digits: int = 2) -> DataFrame:
     """By group and week: mean, median, n and whether there are too few for a firm figure. df: one row per key and week."""
-    return df.groupBy(*group, "week").agg(F.round(F.avg(value), 2).alias("mean"), F.round(F.median(value), 2).alias("median"), F.count("*").alias("n")).withColumn("low_confidence", F.col("n") < h.firm)
+    return df.groupBy(*group, "week").agg(F.round(F.avg(value), 2).alias("mean"), F.round(F.median(value), digits).alias("median"), F.count("*").alias("n")).withColumn("low_confidence", F.col("n") < h.firm)
 
 
-def district_evolution(df: DataFrame, key: str, ts: str, district: str, value: str, order: str, names: list[str] | None = None, h: History = History()) -> DataFrame:
+def district_evolution(df: DataFrame, key: str, ts: str, district: str, value: str, order: str, names: list[str] | None = None, h: History = History(), digits: int = 2) -> DataFrame:
     """The weekly series of the districts with most distinct listings (or of the named ones), each with its volume and spelling."""
     rows = df.filter((F.col(value) > 0) & F.col(district).isNotNull()).withColumn("_d", normalize(F.col(district)))
     counted = rows.groupBy("_d", F.col(district).alias("name")).agg(F.count("*").alias("n"))
@@ -59,7 +59,7 @@ def district_evolution(df: DataFrame, key: str, ts: str, district: str, value: s
         volume = volume.filter(F.col("_d").isin([r[0] for r in df.sparkSession.createDataFrame([(n,) for n in names], "n string").select(normalize(F.col("n"))).collect()]))
     else:
         volume = volume.orderBy(F.desc("volume"), "district").limit(h.top_districts)
-    series = weekly_series(latest_per_period(rows, key, ts, order), value, ["_d"], h)
+    series = weekly_series(latest_per_period(rows, key, ts, order), value, ["_d"], h, digits)
     return series.join(F.broadcast(volume), "_d").select("district", "volume", "week", "mean", "median", "n", "low_confidence")
 
 

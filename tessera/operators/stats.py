@@ -9,13 +9,13 @@ from ..functions.numbers import position_band
 from ..functions.text import has_accent, normalize
 
 
-def kpis(df: DataFrame, value: str = "price_m2") -> DataFrame:
+def kpis(df: DataFrame, value: str = "price_m2", digits: int = 2) -> DataFrame:
     """n, mean, median, low and high of a value, one row; zeros if there are no rows."""
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    return df.agg(F.count(value).alias("n"), zero(F.round(F.avg(value), 2), "mean"), zero(F.round(F.median(value), 2), "median"), zero(F.min(value), "low"), zero(F.max(value), "high"))
+    return df.agg(F.count(value).alias("n"), zero(F.round(F.avg(value), 2), "mean"), zero(F.round(F.median(value), digits), "median"), zero(F.min(value), "low"), zero(F.max(value), "high"))
 
 
-def by_requested_district(df: DataFrame, requested: list[str]) -> DataFrame:
+def by_requested_district(df: DataFrame, requested: list[str], digits: int = 2) -> DataFrame:
     """Statistics of each requested name, in the order of the median, highest first; a listing counts under every name its district holds.
 
     No rows unless two names or more are requested; names without listings are left out.
@@ -24,7 +24,7 @@ def by_requested_district(df: DataFrame, requested: list[str]) -> DataFrame:
     names = spark.createDataFrame([(n,) for n in requested], "requested string")
     wanted = F.array(*[F.lit(n) for n in requested]) if requested else F.array().cast("array<string>")
     hit = F.filter(wanted, lambda n: F.contains(normalize(F.col("district")), normalize(n)))
-    out = df.withColumn("requested", F.explode(hit)).groupBy("requested").agg(F.count("*").alias("n"), F.round(F.avg("price_m2"), 2).alias("mean"), F.round(F.median("price_m2"), 2).alias("median"), F.min("price_m2").alias("low"), F.max("price_m2").alias("high"))
+    out = df.withColumn("requested", F.explode(hit)).groupBy("requested").agg(F.count("*").alias("n"), F.round(F.avg("price_m2"), 2).alias("mean"), F.round(F.median("price_m2"), digits).alias("median"), F.min("price_m2").alias("low"), F.max("price_m2").alias("high"))
     return (out if len(requested) > 1 else out.join(names.limit(0), "requested", "left_semi")).orderBy(F.desc("median"), "requested")
 
 
@@ -57,9 +57,9 @@ def outlier_band(df: DataFrame, keys: list[str], value: str = "price_m2", low: f
     return joined.withColumn("outlier", F.coalesce(out, F.lit(False)))
 
 
-def map_pins(df: DataFrame) -> DataFrame:
+def map_pins(df: DataFrame, digits: int = 2) -> DataFrame:
     """Rows at one place (5 decimals): count, median price per area, and whether any of them is only estimated."""
-    return df.filter("lat IS NOT NULL AND lng IS NOT NULL").groupBy(F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng")).agg(F.count("*").alias("n"), F.round(F.median("price_m2"), 2).alias("median"), F.bool_or(F.coalesce(F.col("coord_origin") != "exact", F.lit(True))).alias("estimated"))
+    return df.filter("lat IS NOT NULL AND lng IS NOT NULL").groupBy(F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng")).agg(F.count("*").alias("n"), F.round(F.median("price_m2"), digits).alias("median"), F.bool_or(F.coalesce(F.col("coord_origin") != "exact", F.lit(True))).alias("estimated"))
 
 
 def pin_counts(pins: DataFrame) -> DataFrame:

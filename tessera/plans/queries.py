@@ -38,14 +38,14 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY week, key ORDER B
 """
 
 
-@query(f"WITH {LATEST} SELECT district, week, round(avg(price_m2), 2) AS mean, round(median(price_m2), 2) AS median, count(*) AS n, count(*) < 3 AS low_confidence FROM l GROUP BY 1, 2")
+@query(f"WITH {LATEST} SELECT district, week, round(avg(price_m2), 2) AS mean, round(median(price_m2), 9) AS median, count(*) AS n, count(*) < 3 AS low_confidence FROM l GROUP BY 1, 2")
 def weekly_series(spark, sf):
-    return history.weekly_series(history.latest_per_period(observations(spark, sf), "key", "seen_at", "idx"), "price_m2", ["district"])
+    return history.weekly_series(history.latest_per_period(observations(spark, sf), "key", "seen_at", "idx"), "price_m2", ["district"], digits=9)
 
 
-@query(f"WITH {LATEST} SELECT week, round(avg(price_m2), 2) AS mean, round(median(price_m2), 2) AS median, count(*) AS n, count(*) < 3 AS low_confidence FROM l GROUP BY 1")
+@query(f"WITH {LATEST} SELECT week, round(avg(price_m2), 2) AS mean, round(median(price_m2), 9) AS median, count(*) AS n, count(*) < 3 AS low_confidence FROM l GROUP BY 1")
 def weekly_city_series(spark, sf):
-    return history.weekly_series(history.latest_per_period(observations(spark, sf), "key", "seen_at", "idx"), "price_m2", [])
+    return history.weekly_series(history.latest_per_period(observations(spark, sf), "key", "seen_at", "idx"), "price_m2", [], digits=9)
 
 
 @query(f"WITH {LATEST} SELECT week, {', '.join(f'round(avg(price_m2) FILTER (district = {chr(39)}{d}{chr(39)}), 2) AS {d}' for d in ('click', 'view', 'purchase'))} FROM l GROUP BY 1")
@@ -85,9 +85,9 @@ def last_n_per_key(spark, sf):
 @query(f"""WITH o AS (SELECT event_id AS idx, user_id AS key, event_type AS district, value AS price_m2, ts AS seen_at, strftime(ts, '%Y-W%W') AS week FROM events WHERE value > 0),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY week, key ORDER BY seen_at DESC, idx) AS rn FROM o) WHERE rn = 1),
 v AS (SELECT district, count(DISTINCT key) AS volume FROM o GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6)
-SELECT district, volume, week, round(avg(price_m2), 2) AS mean, round(median(price_m2), 2) AS median, count(*) AS n, count(*) < 3 AS low_confidence FROM l JOIN v USING (district) GROUP BY 1, 2, 3""")
+SELECT district, volume, week, round(avg(price_m2), 2) AS mean, round(median(price_m2), 9) AS median, count(*) AS n, count(*) < 3 AS low_confidence FROM l JOIN v USING (district) GROUP BY 1, 2, 3""")
 def district_evolution(spark, sf):
-    return history.district_evolution(observations(spark, sf), "key", "seen_at", "district", "price_m2", "idx")
+    return history.district_evolution(observations(spark, sf), "key", "seen_at", "district", "price_m2", "idx", digits=9)
 
 
 @query("""WITH r AS (SELECT user_id AS key, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS tries FROM events GROUP BY 1)
@@ -97,13 +97,13 @@ def success_rate_prior(spark, sf):
     return stats.success_rate(table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), attempts, "key")
 
 
-@query("""WITH s AS (SELECT l_partkey AS key, 's' || (l_suppkey % 5) AS source, l_extendedprice AS price, l_orderkey * 10 + l_linenumber AS idx, year(l_shipdate) AS y FROM lineitem),
+@query("""WITH s AS (SELECT l_partkey AS key, 's' || (l_suppkey % 5) AS source, l_extendedprice AS price, (l_orderkey * 10 + l_linenumber) * 10000000000 + l_partkey * 10000 + l_suppkey AS idx, year(l_shipdate) AS y FROM lineitem),
 a AS (SELECT key, arg_max(price, idx) AS v, arg_max(source, idx) AS s FROM s WHERE y = 1997 GROUP BY 1), b AS (SELECT key, arg_max(price, idx) AS v, arg_max(source, idx) AS s FROM s WHERE y = 1996 GROUP BY 1),
 r AS (SELECT DISTINCT source FROM s WHERE y = 1997),
 j AS (SELECT a.key AS ka, b.key AS kb, (a.v - b.v) / nullif(b.v, 0) * 100 AS ch, b.s IN (SELECT source FROM r) AS answered FROM a FULL JOIN b ON a.key = b.key)
 SELECT count(*) FILTER (kb IS NULL) AS new, count(*) FILTER (ch < -0.5) AS dropped, count(*) FILTER (ch > 0.5) AS raised, count(*) FILTER (ka IS NULL AND answered) AS gone FROM j""")
 def snapshot_diff(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("source"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), F.year("l_shipdate").alias("y"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("source"), F.col("l_extendedprice").alias("price"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("idx"), F.year("l_shipdate").alias("y"))
     return history.snapshot_diff(rows.filter("y = 1997"), rows.filter("y = 1996"), "key", "price", "source", "idx")
 
 
@@ -141,27 +141,27 @@ def week_labels(spark, sf):
 # statistics
 
 
-@query("SELECT count(price_m2) AS n, round(avg(price_m2), 2) AS mean, round(median(price_m2), 2) AS median, min(price_m2) AS low, max(price_m2) AS high FROM listing", listing=True)
+@query("SELECT count(price_m2) AS n, round(avg(price_m2), 2) AS mean, round(median(price_m2), 9) AS median, min(price_m2) AS low, max(price_m2) AS high FROM listing", listing=True)
 def search_kpis(spark, sf):
-    return stats.kpis(listings(spark, sf))
+    return stats.kpis(listings(spark, sf), digits=9)
 
 
-@query("""SELECT requested, count(*) AS n, round(avg(price_m2), 2) AS mean, round(median(price_m2), 2) AS median, min(price_m2) AS low, max(price_m2) AS high
+@query("""SELECT requested, count(*) AS n, round(avg(price_m2), 2) AS mean, round(median(price_m2), 9) AS median, min(price_m2) AS low, max(price_m2) AS high
 FROM listing JOIN (SELECT unnest(['NATION_1', 'Nation_2', 'nowhere']) AS requested) q ON contains(lower(district), lower(requested)) GROUP BY 1""", listing=True)
 def district_summary(spark, sf):
-    return stats.by_requested_district(listings(spark, sf), ["NATION_1", "Nation_2", "nowhere"])
+    return stats.by_requested_district(listings(spark, sf), ["NATION_1", "Nation_2", "nowhere"], digits=9)
 
 
 @query("""WITH g AS (SELECT city, rooms, median(price_m2) AS m, count(*) AS n FROM listing WHERE price_m2 > 0 GROUP BY 1, 2)
-SELECT idx, round(m, 2) AS group_median, n AS group_n, n >= 3 AND NOT price_m2 BETWEEN m * 0.5 AND m * 1.8 AS outlier FROM listing l JOIN g ON l.city = g.city AND l.rooms IS NOT DISTINCT FROM g.rooms""", listing=True)
+SELECT idx, round(m, 9) AS group_median, n AS group_n, n >= 3 AND NOT price_m2 BETWEEN m * 0.5 AND m * 1.8 AS outlier FROM listing l JOIN g ON l.city = g.city AND l.rooms IS NOT DISTINCT FROM g.rooms""", listing=True)
 def outlier_band(spark, sf):
-    return stats.outlier_band(listings(spark, sf), ["city", "rooms"]).select("idx", F.round("group_median", 2).alias("group_median"), "group_n", "outlier")
+    return stats.outlier_band(listings(spark, sf), ["city", "rooms"]).select("idx", F.round("group_median", 9).alias("group_median"), "group_n", "outlier")
 
 
 @query("""WITH p AS (SELECT round(lat, 5) AS lat, round(lng, 5) AS lng, price_m2, part % 2 = 0 AS e FROM listing)
-SELECT lat, lng, count(*) AS n, round(median(price_m2), 2) AS median, bool_or(e) AS estimated FROM p GROUP BY 1, 2""", listing=True)
+SELECT lat, lng, count(*) AS n, round(median(price_m2), 9) AS median, bool_or(e) AS estimated FROM p GROUP BY 1, 2""", listing=True)
 def map_pins(spark, sf):
-    return stats.map_pins(listings(spark, sf).withColumn("coord_origin", F.when(F.col("part") % 2 == 0, "district_centroid").otherwise("exact")))
+    return stats.map_pins(listings(spark, sf).withColumn("coord_origin", F.when(F.col("part") % 2 == 0, "district_centroid").otherwise("exact")), digits=9)
 
 
 @query("""WITH p AS (SELECT round(lat, 5) AS a, round(lng, 5) AS b, bool_or(part % 2 = 0) AS e FROM listing GROUP BY 1, 2) SELECT count(*) FILTER (NOT e) AS exact_pins, count(*) FILTER (e) AS estimated_pins FROM p""", listing=True)
@@ -200,17 +200,17 @@ def spelling_preference(spark, sf):
     return stats.preferred_spelling(rows, "word")
 
 
-@query("""SELECT lower(n_name) AS city_key, p_size AS rooms, arg_max(price, (at, k)) AS reference, max(at) AS updated_at FROM (SELECT n_name, p_size, p_retailprice AS price, p_partkey % 1000 AS at, p_partkey AS k FROM part JOIN nation ON p_partkey % 25 = n_nationkey) GROUP BY 1, 2""")
+@query("""SELECT lower(n_name) AS city_key, p_size AS rooms, arg_max(price, (t, k)) AS reference, max(t) AS updated_at FROM (SELECT n_name, p_size, p_retailprice AS price, p_partkey % 1000 AS t, p_partkey AS k FROM part JOIN nation ON p_partkey % 25 = n_nationkey) GROUP BY 1, 2""")
 def reference_latest(spark, sf):
     p = table(spark, sf, "part").join(table(spark, sf, "nation"), F.col("p_partkey") % 25 == F.col("n_nationkey"))
     rows = p.select(F.col("n_name").alias("city"), F.col("p_size").alias("rooms"), F.col("p_retailprice").alias("price_m2"), F.struct((F.col("p_partkey") % 1000).alias("at"), F.col("p_partkey").alias("k")).alias("updated_at"))
     return stats.latest_reference(rows).withColumn("updated_at", F.col("updated_at.at"))
 
 
-@query("SELECT idx, round((price_m2 - p_retailprice) / nullif(p_retailprice, 0) * 100, 1) AS variation FROM listing JOIN part ON part = p_partkey", listing=True)
+@query("SELECT idx, round((price_m2 - p_retailprice) / nullif(p_retailprice, 0) * 100, 6) AS variation FROM listing JOIN part ON part = p_partkey", listing=True)
 def variation_vs_reference(spark, sf):
     rows = listings(spark, sf).join(table(spark, sf, "part").select("p_partkey", "p_retailprice"), F.col("part") == F.col("p_partkey"))
-    return rows.select("idx", numbers.variation_percent(F.col("price_m2"), F.col("p_retailprice")).alias("variation"))
+    return rows.select("idx", numbers.variation_percent(F.col("price_m2"), F.col("p_retailprice"), 6).alias("variation"))
 
 
 @query("""WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS s, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS n FROM customer)
@@ -246,9 +246,9 @@ def price_extremes(spark, sf):
     return stats.extremes(listings(spark, sf))
 
 
-@query("""WITH g AS (SELECT district, round(median(price_m2), 2) AS median, count(*) AS n FROM listing GROUP BY 1) SELECT district, median, n, round(median / (SELECT max(median) FROM g), 6) AS share, n < 15 AS weak FROM g""", listing=True)
+@query("""WITH g AS (SELECT district, round(median(price_m2), 9) AS median, count(*) AS n FROM listing GROUP BY 1) SELECT district, median, n, round(median / (SELECT max(median) FROM g), 6) AS share, n < 15 AS weak FROM g""", listing=True)
 def district_bars(spark, sf):
-    g = listings(spark, sf).groupBy("district").agg(F.round(F.median("price_m2"), 2).alias("median"), F.count("*").alias("n"))
+    g = listings(spark, sf).groupBy("district").agg(F.round(F.median("price_m2"), 9).alias("median"), F.count("*").alias("n"))
     return stats.share_of_largest(g, "median", "n").withColumn("share", F.round("share", 6))
 
 
@@ -376,19 +376,15 @@ def name_parts(spark, sf):
 # joins and sets
 
 
-@query("""WITH x AS (SELECT idx, source, price, area, part FROM listing WHERE idx < 30000)
-SELECT a.idx AS a_idx, b.idx AS b_idx FROM x a JOIN x b ON a.idx < b.idx AND a.source = b.source AND abs(floor(a.price / 1000) - floor(b.price / 1000)) <= 1 AND abs(floor(a.area / 5) - floor(b.area / 5)) <= 1""", listing=True)
+@query("""SELECT a.idx AS a_idx, b.idx AS b_idx FROM listing a JOIN listing b ON a.idx < b.idx AND a.part = b.part AND abs(floor(a.price / 1000) - floor(b.price / 1000)) <= 1 AND abs(floor(a.area / 5) - floor(b.area / 5)) <= 1""", listing=True)
 def band_pairs(spark, sf):
-    """The feature is a band join of one search's listings, so one search range is its input."""
-    rows = listings(spark, sf).filter("idx < 30000").select("idx", "source", "price", "area")
-    return pairs.band_pairs(rows, {"price": 1000, "area": 5}, ["source"]).select("a_idx", "b_idx")
+    return pairs.band_pairs(listings(spark, sf).select("idx", "part", "price", "area"), {"price": 1000, "area": 5}, ["part"]).select("a_idx", "b_idx")
 
 
-@query("""WITH x AS (SELECT idx, source, price, area, part, district FROM listing WHERE idx < 30000),
-p AS (SELECT a.idx AS a_idx, b.idx AS b_idx, abs(a.price - b.price) / ((a.price + b.price) / 2) AS dp, abs(a.area - b.area) / ((a.area + b.area) / 2) AS da FROM x a JOIN x b ON a.idx < b.idx AND a.part = b.part AND a.source <> b.source)
+@query("""WITH p AS (SELECT a.idx AS a_idx, b.idx AS b_idx, abs(a.price - b.price) / ((a.price + b.price) / 2) AS dp, abs(a.area - b.area) / ((a.area + b.area) / 2) AS da FROM listing a JOIN listing b ON a.idx < b.idx AND a.part = b.part AND a.source <> b.source)
 SELECT a_idx, b_idx, round(CASE WHEN dp <= 0.05 AND da <= 0.08 THEN 0.75 + 0.25 * greatest(0, 1 - 0.5 * dp / 0.05 - 0.3 * da / 0.08) ELSE 0 END, 6) AS score FROM p""", listing=True)
 def pair_score(spark, sf):
-    rows = listings(spark, sf).filter("idx < 30000").select("idx", "source", "price", "area", "part", F.lit(1).alias("rooms"))
+    rows = listings(spark, sf).select("idx", "source", "price", "area", "part", F.lit(1).alias("rooms"))
     p = rows.alias("a").join(rows.alias("b"), [F.col("a.part") == F.col("b.part"), F.col("a.idx") < F.col("b.idx"), F.col("a.source") != F.col("b.source")])
     p = p.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in rows.columns))
     return p.select("a_idx", "b_idx", F.round(dedup.pair_score(F.lit(1.0), F.lit(1.0), Pairing()), 6).alias("score"))
@@ -452,21 +448,28 @@ def history_by_search(spark, sf):
 
 
 @query("""WITH m AS (SELECT CASE WHEN part % 2 = 0 THEN part END AS g, price_m2, idx % 10 = 1 AS probable FROM listing),
-v AS (SELECT median(price_m2) AS v FROM m WHERE g IS NOT NULL AND NOT probable GROUP BY g UNION ALL SELECT price_m2 FROM m WHERE g IS NULL) SELECT round(median(v), 2) AS median, count(v) AS n FROM v""", listing=True)
+v AS (SELECT median(price_m2) AS v FROM m WHERE g IS NOT NULL AND NOT probable GROUP BY g UNION ALL SELECT price_m2 FROM m WHERE g IS NULL) SELECT round(median(v), 9) AS median, count(v) AS n FROM v""", listing=True)
 def per_building_median(spark, sf):
     rows = listings(spark, sf).withColumns({"group_id": F.when(F.col("part") % 2 == 0, F.col("part")), "group_link": F.when(F.col("idx") % 10 == 1, "probable").otherwise("confirmed")})
-    return grouping.median_by_building(rows)
+    return grouping.median_by_building(rows, digits=9)
 
 
-@query("""WITH g AS (SELECT part, median(price_m2) AS m FROM listing GROUP BY 1) SELECT idx, round((price_m2 - m) / nullif(m, 0) * 100, 1) AS deviation FROM listing JOIN g USING (part)""", listing=True)
+@query("""WITH g AS (SELECT part, median(price_m2) AS m FROM listing GROUP BY 1) SELECT idx, round((price_m2 - m) / nullif(m, 0) * 100, 6) AS deviation FROM listing JOIN g USING (part)""", listing=True)
 def deviation_in_group(spark, sf):
-    return grouping.deviation_in_group(listings(spark, sf).withColumn("group_id", F.col("part"))).select("idx", "deviation")
+    return grouping.deviation_in_group(listings(spark, sf).withColumn("group_id", F.col("part")), digits=6).select("idx", "deviation")
 
 
 def _building_rows(spark, sf) -> DataFrame:
-    rows = listings(spark, sf)
-    street = F.concat(F.lit("Rua Street "), F.element_at(F.array(*[F.lit(x) for x in ("Alpha", "Beta", "Gamma", "Delta")]), (F.col("part") % 4 + 1).cast("int")), F.when(F.col("part") % 3 == 0, F.concat(F.lit(", "), F.col("part") % 50)).otherwise(F.lit("")))
-    return rows.withColumns({"address": F.when(F.col("part") % 5 != 0, street), "dev_name": F.when(F.col("part") % 7 == 0, F.concat(F.lit("Residencial "), F.col("title"))), "coord_origin": F.lit("exact"), "is_launch": F.lit(None).cast("boolean"), "lat": -3.7 - F.col("part") / 1000, "lng": -38.5 - F.col("part") / 1000})
+    """Parts as listings: some hundred streets and places, a third with numbers, a seventh with names."""
+    k = F.col("p_partkey")
+    names = F.element_at(F.array(*[F.lit(x) for x in ("Alpha", "Beta", "Gamma", "Delta")]), (k % 4 + 1).cast("int"))
+    address = F.concat(F.lit("Rua Street "), names, F.when(k % 3 == 0, F.concat(F.lit(", "), k % 50)).otherwise(F.lit("")))
+    spot = F.pmod(F.xxhash64(k % 701), F.lit(5000))
+    return table(spark, sf, "part").select(
+        k.alias("idx"), F.lit("City").alias("city"), F.col("p_brand").alias("district"), F.col("p_brand").alias("builder"), F.col("p_type").alias("title"), F.lit(None).cast("string").alias("descr"), F.concat(F.lit("s"), k % 5).alias("source"),
+        F.col("p_retailprice").alias("price"), F.lit(1.0).alias("area"), F.col("p_retailprice").alias("price_m2"), (k % 4).cast("int").alias("rooms"), F.when(k % 5 != 0, address).alias("address"),
+        F.when(k % 7 == 0, F.concat(F.lit("Residencial "), F.col("p_name"))).alias("dev_name"), F.lit("exact").alias("coord_origin"), F.lit(None).cast("boolean").alias("is_launch"), (-3.7 - spot / 1000).alias("lat"), (-38.5 - spot / 1000).alias("lng"),
+    )
 
 
 @query()
@@ -504,14 +507,14 @@ def double_confirmation(spark, sf):
 
 @query()
 def evidence_scoring(spark, sf):
-    rows = _building_rows(spark, sf).withColumn("descr", F.lit(None).cast("string"))
+    rows = _building_rows(spark, sf)
     t = lookup.Target(name="Residencial part name", address="Rua Street Alpha, 12", lat=-3.712, lng=-38.512, precise=True, radius_m=200)
     return lookup.with_evidence(rows, t).filter("class IS NOT NULL").select("idx", F.array_join("codes", ",").alias("codes"), F.array_join("conflicts", ",").alias("conflicts"), "class", "motive")
 
 
 @query()
 def entity_search(spark, sf):
-    rows = _building_rows(spark, sf).withColumn("descr", F.lit(None).cast("string"))
+    rows = _building_rows(spark, sf)
     sure, maybe = lookup.find_building(rows, lookup.Target(address="Rua Street Alpha, 12"), guarded_grouping(spark, sf))
     return sure.select("idx", "class", "motive").unionByName(maybe.select("idx", "class", "motive"))
 
@@ -519,25 +522,25 @@ def entity_search(spark, sf):
 # workbook
 
 
-@query("""WITH p AS (SELECT idx, round(price / area, 2) AS per_m2 FROM listing) SELECT idx, per_m2, round(per_m2 / m - 1, 4) AS vs_mean, CASE WHEN per_m2 / m - 1 < -0.1 THEN '▼' WHEN per_m2 / m - 1 > 0.1 THEN '▲' ELSE '●' END AS position, round((per_m2 - 1200) / 1200 * 100, 1) AS vs_reference FROM p, (SELECT avg(per_m2) AS m FROM p)""", listing=True)
+@query("""WITH p AS (SELECT idx, round(price / area, 8) AS per_m2 FROM listing) SELECT idx, per_m2, round(per_m2 / m - 1, 4) AS vs_mean, CASE WHEN per_m2 / m - 1 < -0.1 THEN '▼' WHEN per_m2 / m - 1 > 0.1 THEN '▲' ELSE '●' END AS position, round((per_m2 - 1200) / 1200 * 100, 7) AS vs_reference FROM p, (SELECT avg(per_m2) AS m FROM p)""", listing=True)
 def workbook_listings(spark, sf):
-    return export.listings_table(listings(spark, sf), 1200.0).select("idx", "per_m2", "vs_mean", "position", "vs_reference")
+    return export.listings_table(listings(spark, sf), 1200.0, digits=8).select("idx", "per_m2", "vs_mean", "position", "vs_reference")
 
 
-@query("""WITH p AS (SELECT district, area, round(price / area, 2) AS v FROM listing), g AS (SELECT district, count(*) AS n, avg(v) AS m, round(avg(area), 2) AS mean_area FROM p GROUP BY 1)
+@query("""WITH p AS (SELECT district, area, round(price / area, 8) AS v FROM listing), g AS (SELECT district, count(*) AS n, avg(v) AS m, round(avg(area), 2) AS mean_area FROM p GROUP BY 1)
 SELECT district, n, round(m, 2) AS mean, round(m / a - 1, 4) AS vs_mean, CASE WHEN m / a - 1 < -0.1 THEN '▼' WHEN m / a - 1 > 0.1 THEN '▲' ELSE '●' END AS position, round((m - 1200) / 1200 * 100, 1) AS vs_reference, mean_area FROM g, (SELECT avg(v) AS a FROM p)""", listing=True)
 def workbook_districts(spark, sf):
-    return export.districts_table(listings(spark, sf), 1200.0)
+    return export.districts_table(listings(spark, sf), 1200.0, digits=8)
 
 
-@query("""WITH p AS (SELECT round(price / area, 2) AS v FROM listing) SELECT count(v) AS n, round(avg(v), 2) AS mean, round(median(v), 2) AS median, min(v) AS low, max(v) AS high, count(*) FILTER (v / a - 1 < -0.1) AS below, count(*) FILTER (v / a - 1 > 0.1) AS above, round((round(avg(v), 2) - 1200) / 1200 * 100, 1) AS vs_reference FROM p, (SELECT avg(v) AS a FROM p)""", listing=True)
+@query("""WITH p AS (SELECT round(price / area, 8) AS v FROM listing) SELECT count(v) AS n, round(avg(v), 2) AS mean, round(median(v), 8) AS median, min(v) AS low, max(v) AS high, count(*) FILTER (v / a - 1 < -0.1) AS below, count(*) FILTER (v / a - 1 > 0.1) AS above, round((round(avg(v), 2) - 1200) / 1200 * 100, 1) AS vs_reference FROM p, (SELECT avg(v) AS a FROM p)""", listing=True)
 def workbook_summary(spark, sf):
-    return export.summary_table(listings(spark, sf), 1200.0)
+    return export.summary_table(listings(spark, sf), 1200.0, digits=8)
 
 
-@query("""SELECT list_sort(list(DISTINCT k)) AS ks, count(*) AS n FROM (SELECT user_id % 5 AS u, user_id % 3 AS k FROM events) GROUP BY u""")
+@query("""SELECT u, array_to_string(list_sort(list(DISTINCT k)), ',') AS ks, count(*) AS n FROM (SELECT user_id % 5 AS u, user_id % 3 AS k FROM events) GROUP BY u""")
 def sorted_sets(spark, sf):
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 5).alias("u")).agg(F.sort_array(F.collect_set(F.col("user_id") % 3)).alias("ks"), F.count("*").alias("n")).drop("u")
+    return table(spark, sf, "events").groupBy((F.col("user_id") % 5).alias("u")).agg(F.array_join(F.sort_array(F.collect_set(F.col("user_id") % 3)), ",").alias("ks"), F.count("*").alias("n"))
 
 
 @query("""SELECT role, count(*) AS n, arg_min(text, (turn, conv_id)) AS first_text FROM conversations GROUP BY 1""")
