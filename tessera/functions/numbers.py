@@ -25,7 +25,7 @@ def relative_gap(a: Column, b: Column) -> Column:
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     p, q = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     a = F.sin(p) * F.sin(p) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(q) * F.sin(q)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def cell(x: Column, per_degree: int = 1000) -> Column:

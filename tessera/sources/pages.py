@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.nested import first_present, graph_items, json_blocks, photo_urls, property_map, streamed_text, undefined_null
 from ..functions.numbers import in_box
@@ -42,13 +43,32 @@ def json_ld_listings(pages: DataFrame, source: str, types: tuple[str, ...] = LIS
     return found.filter(_get(F.col("e"), '$["@type"]').isin(*types)).select("page_id", *_item(F.col("e"), source))
 
 
+@F.pandas_udf(T.StringType())
+def largest_array_udf(texts: pd.Series) -> pd.Series:
+    """The longest array that follows "ads": in a text; finding its end takes a JSON decoder."""
+    import json
+
+    decoder = json.JSONDecoder()
+
+    def largest(text: str | None) -> str | None:
+        best: list = []
+        at = (text or "").find('"ads":')
+        while at >= 0:
+            try:
+                found, _ = decoder.raw_decode(text, at + 6)
+                best = found if isinstance(found, list) and len(found) > len(best) else best
+            except ValueError:
+                pass
+            at = text.find('"ads":', at + 6)
+        return json.dumps(best, ensure_ascii=False) if best else None
+
+    return texts.map(largest)
+
+
 def streamed_listings(pages: DataFrame, source: str) -> DataFrame:
     """Listings of the largest "ads" array in a page's streamed payload, each listId once per page; properties (name, value) give rooms, baths, area."""
-    text = pages.select("page_id", streamed_text(F.col("html")).alias("t"))
-    arrays = F.regexp_extract_all("t", F.lit(r'(?s)"ads":\s*(\[.*?\}\])(?=[,}])'), F.lit(1))
-    parsed = F.transform(arrays, lambda a: F.from_json(a, "array<variant>"))
-    ads = text.select("page_id", F.array_max(F.transform(F.filter(parsed, lambda x: x.isNotNull()), lambda x: F.struct(F.size(x).alias("n"), F.to_json(x).alias("j")))).alias("m"))
-    v = ads.select("page_id", F.posexplode(F.from_json("m.j", "array<variant>")).alias("pos", "v"))
+    ads = pages.select("page_id", largest_array_udf(streamed_text(F.col("html"))).alias("j"))
+    v = ads.select("page_id", F.posexplode(F.from_json("j", "array<variant>")).alias("pos", "v"))
     pair = lambda p: F.struct(_get(p, "$.name").alias("name"), _get(p, "$.value").alias("value"))
     props = property_map(F.transform(F.coalesce(F.try_variant_get("v", "$.properties", "array<variant>"), F.array().cast("array<variant>")), pair))
     p = lambda n: F.try_element_at(props, F.lit(n))

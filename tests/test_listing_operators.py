@@ -125,7 +125,7 @@ def test_kpis_bands_and_districts(spark):
 
 
 def test_outliers_only_in_groups_of_three(spark):
-    rows = [(i, "a", 2, v) for i, v in enumerate([8000.0, 8100, 7900, 8050, 7950, 2500, 18414])] + [(10, "b", 2, 1.0), (11, "b", 2, 100.0)]
+    rows = [(i, "a", 2, v) for i, v in enumerate([8000.0, 8100.0, 7900.0, 8050.0, 7950.0, 2500.0, 18414.0])] + [(10, "b", 2, 1.0), (11, "b", 2, 100.0)]
     out = stats.outlier_band(frame(spark, rows, "idx long, city string, rooms int, price_m2 double"), ["city", "rooms"])
     assert {r.idx for r in out.filter("outlier").collect()} == {5, 6}
 
