@@ -1,41 +1,20 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, bounded Arrow batches, word hashes over UTF-8 bytes."""
+"""Shared pieces: bounded Arrow batches, word hashes over UTF-8 bytes, and the scratch tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Bytes of text that one numpy step handles at most (a single longer text is handled alone).
-STEP_BYTES = 1 << 20
-ARROW_BYTES = 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; only where unset (tests), a new local one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="spark-tessera-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from ..shared import scratch, shared_dir, written
 
+__all__ = ["SPACE", "bounded", "grams", "mix", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one numpy step handles at most (a single longer text is handled alone).
+STEP_BYTES = 1 << 20
+ARROW_BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:

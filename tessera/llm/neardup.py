@@ -14,21 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import bounded, mix, shingle_sets, steps, written
-from .components import components
 
 
 @dataclass(frozen=True)
 class Join:
     """words: words of a shingle; percent: two sets link when 100 * intersection >= percent * union.
 
-    parts: tile keys of a set in one band at most; chunk: rows of a tile's side; broadcast: ids that are broadcast at most (16 bytes each).
+    parts: tile keys of a set in one band at most; chunk: rows of a tile's side; rounds: rounds in
+    which only best partners of different components meet, before the round that leaves out nothing; broadcast: ids that are broadcast at most (16 bytes each).
     """
 
     words: int = 5
     percent: int = 80
     parts: int = 40
     chunk: int = 2048
+    rounds: int = 1
     broadcast: int = 500_000
 
 
@@ -74,9 +76,9 @@ def tile_keys(u: np.ndarray, j: Join) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def parity_bits(u: np.ndarray) -> np.ndarray:
-    """A bitmap of at least 64 bits, about one for each element: the parity of the elements that fall on each bit."""
-    size = 1 << max(6, int(len(u) - 1).bit_length())
+def parity_bits(u: np.ndarray, each: int = 1) -> np.ndarray:
+    """A bitmap of at least 64 bits, about `each` for an element: the parity of the elements that fall on each bit."""
+    size = 1 << max(6, int(each * len(u) - 1).bit_length())
     return np.packbits((np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
@@ -121,20 +123,20 @@ def signatures(df: DataFrame, j: Join) -> DataFrame:
 
 
 def _sets(df: DataFrame, nodes: DataFrame, j: Join) -> DataFrame:
-    """sid, n, bits and set of the nodes (doc_id, sid): the sets are made anew from the texts of one document each."""
+    """sid, n, bits, wide (8 bits an element) and set of the nodes (doc_id, sid): made anew from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, at in steps(batch.column(0)):
-                rows = [(s, len(u), parity_bits(u).tobytes(), u.tobytes()) for k, u in enumerate(shingle_sets(data, at, j.words)) if len(u) and (s := batch.column(1)[i + k].as_py()) == _sid(u)]
+                rows = [(s, len(u), parity_bits(u).tobytes(), parity_bits(u, 8).tobytes(), u.tobytes()) for k, u in enumerate(shingle_sets(data, at, j.words)) if len(u) and (s := batch.column(1)[i + k].as_py()) == _sid(u)]
                 if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["sid", "n", "bits", "set"])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["sid", "n", "bits", "wide", "set"])
 
     ids = nodes.select(F.col("doc_id").alias("node_doc"), "sid")
     if nodes.count() <= j.broadcast:
         ids = F.broadcast(ids)
     texts = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, F.col("doc_id").eqNullSafe(F.col("node_doc"))).select(F.coalesce("text", F.lit("")).alias("text"), "sid")
-    return written(texts.mapInArrow(run, "sid long, n long, bits binary, set binary").dropDuplicates(["sid"]), "sets")
+    return written(texts.mapInArrow(run, "sid long, n long, bits binary, wide binary, set binary").dropDuplicates(["sid"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
@@ -165,8 +167,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
     return written(rows.mapInArrow(run, "a long, b long"), "links")
 
 
-def _crossing(members: DataFrame, j: Join) -> DataFrame:
-    """Pairs of sids in a common tile, of different components so far, that the bitmaps don't rule out.
+def _crossing(members: DataFrame, j: Join, best: bool) -> DataFrame:
+    """Pairs of sids in a common tile, of different components so far, that the bitmaps don't rule out; best: in a tile only
+    each sid's best partner, that with the fewest differing bits for their sizes.
 
     A tile with more than `chunk` rows is cut into chunks, and each pair of chunks is a task's unit of its own. Only pairs that may link leave.
     """
@@ -180,15 +183,28 @@ def _crossing(members: DataFrame, j: Join) -> DataFrame:
         size = min(map(len, bits))
         b = np.stack([fold(x, size) for x in bits])
         second = chunk != chunk[0]
+        two = bool(second.any())
+        least, partner = np.full(len(sid), 2.0), np.full(len(sid), -1)
         for x in range(len(sid)):
-            if second.any() and second[x]:
+            if two and second[x]:
                 break
-            y = np.flatnonzero(second) if second.any() else np.arange(x + 1, len(sid))
-            y = y[comp[y] != comp[x]]
-            y = y[(100 * np.minimum(n[y], n[x]) >= j.percent * np.maximum(n[y], n[x]))]
-            if len(y):
-                y = y[may_link(n[y], n[x], np.bitwise_count(b[y] ^ b[x]).sum(1).astype(np.int64), j.percent)]
-            yield from ((min(sid[x], z), max(sid[x], z)) for z in sid[y].tolist())
+            y = np.flatnonzero(second) if two else np.arange(x + 1, len(sid))
+            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= j.percent * np.maximum(n[y], n[x]))]
+            if not len(y):
+                continue
+            differing = np.bitwise_count(b[y] ^ b[x]).sum(1).astype(np.int64)
+            allowed = may_link(n[y], n[x], differing, j.percent)
+            y, share = y[allowed], differing[allowed] / (n[y] + n[x])[allowed]
+            if not best:
+                yield from ((min(sid[x], z), max(sid[x], z)) for z in sid[y].tolist())
+            elif len(y):
+                k = int(np.argmin(share))
+                if share[k] < least[x]:
+                    least[x], partner[x] = share[k], y[k]
+                nearer = share < least[y]
+                least[y[nearer]], partner[y[nearer]] = share[nearer], x
+        for x in np.flatnonzero(partner >= 0).tolist():
+            yield min(sid[x], sid[partner[x]]), max(sid[x], sid[partner[x]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(held: list) -> set:
@@ -220,8 +236,8 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
     """doc_id and text to doc_id, n_shingles and component_id (the smallest doc_id that can be reached by links, its own included).
 
     Equal sets are one node. Each node is first compared with one pivot, that with which it shares most tiles; what links is one component.
-    Then only tiles that hold several components are looked into, and each pair of nodes across components that the bitmaps allow is checked
-    exactly. So a group of copies costs a check per text, and no pair is left out (see tile_keys for the probability).
+    Then only tiles that hold several components are looked into: in a round each node meets its best partner in each tile, and at
+    last each pair across components that bitmaps of eight bits an element allow is checked exactly. So a group of copies costs a check per text, and no pair is left out (see tile_keys for the probability).
 
     Null or blank texts have an empty set and link with nothing: their component is their own id. Null ids are the largest. Rows that share an
     id are rows of their own. Texts of any length are taken whole; other columns are not looked at; no rows give no rows.
@@ -238,14 +254,16 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
 
     stars = tiles.groupBy("sid", "pivot").count().groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a")).select("a", F.col("sid").alias("b"))
     links = _verified(stars, sets, j)
-    roots = components(links)
-
     members = tiles.select("key", "sid").union(tiles.select("key", F.col("pivot").alias("sid")).distinct())
-    members = written(members.join(roots, members.sid == roots.node, "left").select("key", "sid", F.coalesce("root", "sid").alias("comp")), "members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    open_ = members.join(mixed, "key", "left_semi").join(sets.select("sid", "n", "bits"), "sid")
-    more = _verified(_crossing(open_, j), sets, j)
-    roots = written(components(links.union(more)), "roots")
+    for k in range(j.rounds + 1):
+        last = k == j.rounds
+        roots = components(links)
+        placed = members.select("key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+        members = written(placed.join(mixed, "key", "left_semi"), "members")
+        bits = sets.select("sid", "n", F.col("wide" if last else "bits").alias("bits"))
+        links = links.union(_verified(_crossing(members.join(bits, "sid"), j, best=not last), sets, j))
+    roots = written(components(links), "roots")
 
     known = all_rows.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sid").alias("comp"))
     known = written(known, "known")
