@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..shared import scratch, shared_dir, written
 
-__all__ = ["SPACE", "bounded", "grams", "mix", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
+__all__ = ["LETTERS", "SPACE", "bounded", "grams", "mix", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
 
 #: Bytes of text that one numpy step handles at most (a single longer text is handled alone).
 STEP_BYTES = 1 << 20
@@ -49,6 +49,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE[SPACE] = 0
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+#: As above, but ASCII signs are not looked at (they only keep their place).
+LETTERS = _BYTE.copy()
+LETTERS[[i for i in range(33, 127) if not chr(i).isalnum()]] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64)
 
@@ -71,7 +74,7 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words (maximal runs without x20, x09-x0D; A-Z as a-z) of all rows.
 
     Returns the hashes, the byte at which each word starts, and for each row the index of its first word (one entry more than rows).
@@ -87,7 +90,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), none, np.zeros(len(at), np.int64)
-    value = _BYTE[data]
+    value = table[data]
     gap = np.diff(starts, append=len(data))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, gap)
     value[starts[0] :] *= _power(int(gap.max()))[place]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, grams, mix, steps, words
+from .common import LETTERS, bounded, grams, mix, steps, words
 
 Q = 4
 PAD, _STEP = np.uint64(0), np.uint64(0xD1342543DE82EF95)
@@ -184,7 +184,7 @@ class Index:
 def contaminated(df: DataFrame, benchmark: DataFrame, s: Search = Search()) -> DataFrame:
     """One row for each document row and item that occurs in it: doc_id, item_id, distance in words, item_words, first_word and last_word.
 
-    Words are runs without white space, A-Z as a-z. The items (item_id, text) are broadcast in slices of bounded size, as many as there are,
+    Words are runs without white space, A-Z as a-z; ASCII signs in them (as at a sentence's end) are not looked at. The items (item_id, text) are broadcast in slices of bounded size, as many as there are,
     and the documents are searched once for each slice. Of several places of an item in a text the nearest is named.
 
     Null texts have no words; null and short items are never found; a null doc_id or item_id stays null; items with equal ids are items of
@@ -202,7 +202,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, s: Search = Search()) -> D
         rows = own.toArrow()
         found = []
         for i, j, data, at in steps(rows.column("text").combine_chunks()) if rows.num_rows else ():
-            h, _, row = words(data, at)
+            h, _, row = words(data, at, LETTERS)
             found += [(rows.column("item_id")[i + r].as_py(), h[row[r] : row[r + 1]]) for r in range(j - i)]
         shared = spark.sparkContext.broadcast(found)
 
@@ -220,7 +220,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, s: Search = Search()) -> D
 
             for batch in batches:
                 for i, _, data, at in steps(batch.column(1)):
-                    h, _, row = words(data, at)
+                    h, _, row = words(data, at, LETTERS)
                     hits = index.hits(h)
                     owner = np.searchsorted(row, hits, "right") - 1
                     hits, owner = (x[hits + Q <= row[owner + 1]] for x in (hits, owner))

@@ -331,3 +331,10 @@ def test_scores_of_odd_rows(spark, odd):
 def test_shingles_of_short_texts():
     sets = [s for _, _, d, at in steps(pa.array(["a b c", "A  b\tc", "a b", "", "a b c d", "a b c d a b c d"])) for s in shingle_sets(d, at, 4)]
     assert [len(s) for s in sets] == [1, 1, 1, 0, 1, 4] and sets[0] == sets[1] != sets[2]
+
+
+def test_decontamination_does_not_look_at_signs_and_case(spark):
+    item = "The quick brown fox jumps over the lazy dog, again and again."
+    docs = spark.createDataFrame([(1, "intro the quick brown fox jumps over the lazy dog again and AGAIN!!! outro"), (2, "the quick brown cat sits under a busy dog again and again and so on")], DOCS)
+    rows = decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.distance, r.first_word, r.last_word) for r in rows] == [(1, 7, 0, 1, 12)]
