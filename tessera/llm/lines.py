@@ -41,7 +41,7 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeated = windows.groupBy("fp").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x <> y").select("fp")
     candidates = written(windows.join(repeated, "fp", "left_semi").select("doc_id", "th", "first", "last", "run", "run2"), "windows")
     place = F.struct("doc_id", "th", "first")
-    heads = candidates.groupBy("run", "run2").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    heads = written(candidates.groupBy("run", "run2").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")  # a table of its own, so that the join may split a run that very many documents share
     later = candidates.join(heads, ["run", "run2"]).filter(~F.col("head").eqNullSafe(place))
     return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("removed"))
 
