@@ -38,10 +38,11 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = df.select("doc_id", F.xxhash64(text).alias("th"), F.filter(split, lambda x: x["nw"] > 0).alias("lines"))
     lines = docs.groupBy("doc_id", "th").agg(F.first("lines").alias("lines")).select("doc_id", "th", F.explode("lines").alias("x")).select("doc_id", "th", "x.*")
     windows = written(_windows(lines, min_words), "windows")
-    repeated = windows.groupBy("fp").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x <> y").select("fp")
+    # What is counted by fingerprint and by run is a table of its own, so that the joins may split what very many documents share.
+    repeated = written(windows.groupBy("fp").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x <> y").select("fp"), "repeated")
     candidates = written(windows.join(repeated, "fp", "left_semi").select("doc_id", "th", "first", "last", "run", "run2"), "windows")
     place = F.struct("doc_id", "th", "first")
-    heads = written(candidates.groupBy("run", "run2").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")  # a table of its own, so that the join may split a run that very many documents share
+    heads = written(candidates.groupBy("run", "run2").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
     later = candidates.join(heads, ["run", "run2"]).filter(~F.col("head").eqNullSafe(place))
     return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("removed"))
 
