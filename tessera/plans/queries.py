@@ -490,7 +490,7 @@ def group_summary(spark, sf):
 
 @query()
 def cross_source_dedup(spark, sf):
-    return dedup.deduplicate(listings(spark, sf), Pairing(price_bin=1000)).select("idx", "source", "cluster_n", F.array_join("dup_sources", ",").alias("dup_sources"))
+    return dedup.deduplicate(listings(spark, sf)).select("idx", "source", "cluster_n", F.array_join("dup_sources", ",").alias("dup_sources"))
 
 
 @query()

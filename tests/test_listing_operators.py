@@ -213,6 +213,31 @@ def test_cross_source_dedup(spark):
     assert out[2].dup_sources == ["p"] and out[2].photos == ["b", "a"] and out[2].cluster_n == 2
 
 
+def test_cross_source_dedup_query_against_brute_force(spark, monkeypatch):
+    import random
+
+    from tessera.functions.numbers import relative_gap
+    from tessera.plans import queries
+
+    rng = random.Random(3)
+    unit = lambda i: (i, rng.choice(["Solar", "Mar", "Luz"]), rng.choice("pq"), round(rng.choice([50_000, 50_000, 400_000, 900_000, 30]) * (1 + rng.random() / 12), 2), round(rng.choice([40, 130]) * (1 + rng.random() / 12), 1), rng.choice([2, None]), rng.choice(["Meireles", "Centro"]), None, [])
+    rows = [(1, "A", "p", 50_000.0, 40.0, 2, "Papicu", None, []), (2, "A", "q", 52_100.0, 40.0, 2, "Papicu", None, []), *(unit(i) for i in range(3, 160))]
+    df = frame(spark, rows, UNIT)
+    a, b = (df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns)) for s in "ab")
+    every = a.crossJoin(b).filter("a_idx < b_idx AND lower(a_district) = lower(b_district) AND abs(floor(a_price / 10000) - floor(b_price / 10000)) <= 1 AND abs(floor(a_area / 5) - floor(b_area / 5)) <= 1")
+    fit = every.filter((relative_gap(F.col("a_price"), F.col("b_price")) <= 0.05) & (relative_gap(F.col("a_area"), F.col("b_area")) <= 0.08))
+    assert {(r.a_idx, r.b_idx) for r in dedup.candidates(df).collect()} == {(r.a_idx, r.b_idx) for r in fit.collect()}
+    ts = F.when(F.col("a_title") == F.col("b_title"), 1.0).otherwise(text.ratio_udf(F.lower("a_title"), F.lower("b_title")))
+    root = {r[0]: r[0] for r in rows}
+    for r in every.filter(dedup.pair_score(ts, F.lit(1.0)) >= 0.85).select("a_idx", "b_idx").collect():
+        was, now = max(root[r.a_idx], root[r.b_idx]), min(root[r.a_idx], root[r.b_idx])
+        root = {k: now if v == was else v for k, v in root.items()}
+    want = sorted(list(root.values()).count(v) for v in set(root.values()))
+    monkeypatch.setattr(queries, "listings", lambda spark, sf: df)
+    out = queries.cross_source_dedup(spark, "").collect()
+    assert sorted(r.cluster_n for r in out) == want and want[-1] > 1 and len([r for r in out if r.idx in (1, 2)]) == 1
+
+
 # grouping
 
 
