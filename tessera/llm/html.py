@@ -61,7 +61,7 @@ class _Node:
 
 
 def parse(html: str) -> tuple[list[dict], list[dict]]:
-    """The text blocks in page order (text, paths of the elements around it, prior) and the elements (path, presentation of children).
+    """The text blocks in page order (text, paths of the elements around it within the body, prior) and the elements (path, presentation of children).
 
     White space within a block is one blank; character references are decoded; an element that is never closed ends with its parent.
     prior: -1 under an element whose tag or class says it is not content, 1 within article or main, else 0.
@@ -73,7 +73,7 @@ def parse(html: str) -> tuple[list[dict], list[dict]]:
         words = unescape("".join(text)).split()
         text.clear()
         if words:
-            blocks.append({"text": " ".join(words), "paths": [n.path for n in stack[1:]], "prior": stack[-1].prior})
+            blocks.append({"text": " ".join(words), "paths": [n.path for n in stack[1:] if n.tag not in ("html", "body")], "prior": stack[-1].prior})
             stack[-1].children.append("#")
 
     at, lower = 0, None
@@ -136,26 +136,38 @@ def importance(parsed: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """host, path, pages and importance of every element of the hosts' style trees.
 
     Presentation: the entropy, to the base of the number of pages, of what stands directly below the element. Content: over the texts below
-    it, one minus the share log(pages with this text) / log(pages), so what every page repeats counts 0. Elements that hold only text count
-    by content alone.
+    it, one minus the share of the host's other pages that have this text there, so what every page repeats counts 0 on hosts of any size.
+    Elements that hold only text count by content alone.
     """
     log = lambda n: F.log(n.cast("double"))
     style = parsed.select("host", F.explode("nodes").alias("n")).groupBy("host", F.col("n.path").alias("path"), F.col("n.style").alias("style")).agg(F.count("*").alias("c"), F.max("n.inner").alias("inner"))
     shape = style.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * log(F.col("c"))).alias("s"), F.max("inner").alias("inner"))
-    leaf = parsed.select("host", F.explode("blocks").alias("b")).groupBy("host", F.col("b.paths").alias("paths"), F.xxhash64("b.text").alias("content")).agg(F.count("*").alias("c"))
-    texts = leaf.select("host", F.explode("paths").alias("path"), "c").groupBy("host", "path").agg(F.sum("c").alias("t"), F.sum(F.col("c") * log(F.col("c"))).alias("u"))
+    own = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["paths"].alias("paths"), F.xxhash64(b["text"]).alias("content"))))
+    leaf = parsed.select("host", F.explode(own).alias("b")).groupBy("host", F.col("b.paths").alias("paths"), F.col("b.content").alias("content")).agg(F.count("*").alias("c"))
+    hosts = parsed.groupBy("host").agg(F.count("*").alias("of"))
+    repeated = F.col("c") * (F.col("c") - 1) / F.greatest(F.col("of") - 1, F.lit(1))
+    texts = leaf.join(hosts, "host").select("host", F.explode("paths").alias("path"), "c", repeated.alias("r")).groupBy("host", "path").agg(F.sum("c").alias("t"), F.sum("r").alias("r"))
     share = lambda s, n: F.when(n > 1, F.greatest(F.lit(0.0), 1 - s / n / log(n))).otherwise(1.0)
-    presentation, content = share(F.col("s"), F.col("pages")), F.coalesce(share(F.col("u"), F.col("t")), F.lit(0.0))
+    presentation, content = share(F.col("s"), F.col("pages")), F.coalesce(1 - F.col("r") / F.col("t"), F.lit(0.0))
     value = F.when(F.col("inner"), tree.weight * presentation + (1 - tree.weight) * content).otherwise(content)
     return shape.join(texts, ["host", "path"], "left").select("host", "path", "pages", value.alias("importance"))
 
 
+def low_branches(parsed: DataFrame, tree: Tree = Tree()) -> DataFrame:
+    """host and path of the deepest elements below the cut: those around an element at or above it are not among them."""
+    known = written(importance(parsed, tree), "importance")
+    high = known.filter(F.col("importance") >= tree.cut).select("host", "path")
+    chains = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["paths"]))).alias("paths")).distinct()
+    around = chains.select("host", "paths", F.posexplode("paths").alias("at", "path")).join(high, ["host", "path"]).select("host", F.explode(F.slice("paths", F.lit(1), F.col("at"))).alias("path")).distinct()
+    return known.filter((F.col("pages") >= tree.least) & (F.col("importance") < tree.cut)).select("host", "path").join(around, ["host", "path"], "left_anti")
+
+
 def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """page_id, url and html to page_id, url, text (blocks joined by line ends) and n_chars.
 
-    A branch goes if its tag or class says it is no content, or if its importance in its host's tree is below the cut; what lies in article or
-    main stays unless it is named as something else. Hosts with few pages have no tree of their own and go by names alone. Null html is an
-    empty page; pages without url are one host; repeated rows each give a row; other columns are not looked at.
+    A branch goes if its tag or class says it is no content, or if its importance in its host's tree is below the cut and nothing important
+    lies in it, in article and main as elsewhere. Hosts with few pages have no tree of their own and go by names alone, as do pages of which
+    the tree would leave nothing (copies). Null html is an empty page; pages without url are one host; repeated rows each give a row; other columns are not looked at.
     """
     spark = df.sparkSession
     bounded(spark)
@@ -178,12 +190,14 @@ def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
 
     pages = df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     parsed = written(pages.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<text:string,paths:array<long>,prior:int>>, nodes array<struct<path:long,style:long,inner:boolean>>"), "dom")
-    low = written(importance(parsed, tree).filter((F.col("pages") >= tree.least) & (F.col("importance") < tree.cut)).select("host", "path"), "noise")
+    low = written(low_branches(parsed, tree), "noise")
     small = low.count() <= tree.broadcast
     low = low.groupBy("host").agg(F.collect_list("path").alias("low"))
     joined = parsed.select("page_id", "url", "host", "blocks").join(F.broadcast(low) if small else low, "host", "left")
     none = F.array().cast("array<bigint>")
-    stays = F.filter("blocks", lambda b: (b["prior"] > 0) | ((b["prior"] == 0) & ~F.arrays_overlap(b["paths"], F.coalesce("low", none))))
+    named = F.filter("blocks", lambda b: b["prior"] >= 0)
+    kept = F.filter("blocks", lambda b: (b["prior"] >= 0) & ~F.arrays_overlap(b["paths"], F.coalesce("low", none)))
+    stays = F.when(F.size(kept) > 0, kept).otherwise(named)
     text = F.array_join(F.transform(stays, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -72,6 +72,20 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_of_a_large_host_without_article(spark):
+    links = "".join(f"<div class='m'><div>link {k}</div></div>" for k in range(16))
+    paragraphs = lambda i: "".join(f"<div>page {i} says {k}</div>" for k in range(6))
+    page = lambda i: f"<html><body><div class='menu-x'>{links}</div><div class='t'>{paragraphs(i)}</div></body></html>"
+    article = lambda i: f"<html><body><main><div class='s'><div>share this</div></div><div class='t'>{paragraphs(i)}</div></main></body></html>"
+    copies = [(5000 + i, f"https://copies.test/{i}", page(9)) for i in range(40)]
+    pages = [(i, f"https://div.test/{i}", page(i)) for i in range(1200)] + [(2000 + i, f"https://main.test/{i}", article(i)) for i in range(20)] + copies
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    want = lambda i: "\n".join(f"page {i} says {k}" for k in range(6))
+    assert all(out[i] == want(i) for i in range(1200))
+    assert all(out[2000 + i] == want(i) for i in range(20))
+    assert all(want(9) in out[5000 + i] for i in range(40))
+
+
 # media
 
 
