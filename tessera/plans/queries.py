@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Pairing, Refining, Rules
+from ..config import Pairing, Rules
 from ..functions import numbers, text
 from ..operators import dedup, export, grouping, history, lookup, pairs, quality, refine, stats
 from .listing import LISTING_SQL, listings, observations, table
@@ -496,13 +496,13 @@ def cross_source_dedup(spark, sf):
 @query()
 def rf_imputation(spark, sf):
     rows = listings(spark, sf).withColumns({"parking": F.when(F.col("idx") % 4 != 0, (F.col("part") % 3).cast("int")), "baths": F.when(F.col("idx") % 5 != 0, (F.col("part") % 2 + 1).cast("int"))})
-    return refine.impute(rows, [f"s{i}" for i in range(5)], Refining(impute_trees=10)).select("idx", "rooms", "parking", "baths", F.array_join("imputed", ",").alias("imputed"))
+    return refine.impute(rows, [f"s{i}" for i in range(5)]).select("idx", "rooms", "parking", "baths", F.array_join("imputed", ",").alias("imputed"))
 
 
 @query()
 def double_confirmation(spark, sf):
     rows = listings(spark, sf).withColumns({"parking": (F.col("part") % 3).cast("int"), "baths": (F.col("part") % 2 + 1).cast("int")})
-    return refine.refine(rows, [f"s{i}" for i in range(5)], Refining(trees=20)).select("idx", "score", "rejected")
+    return refine.refine(rows, [f"s{i}" for i in range(5)]).select("idx", "score", "rejected")
 
 
 @query()

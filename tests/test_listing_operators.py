@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.config import Pairing
+from tessera.config import Pairing, Refining
 from tessera.functions import nested, numbers, text
 from tessera.operators import dedup, export, graph, grouping, history, lookup, pairs, quality, refine, stats
 from tessera.schema import LISTING, conform, union_sources
@@ -298,6 +298,13 @@ def test_units_and_medians(spark):
 # refine
 
 
+def test_isolation_sample_is_of_rows(spark):
+    rows = [(i, 100_000.0 if i % 3 else 300_000.0, 50.0 if i % 3 else 90.0) for i in range(6000)]
+    scored = refine.isolation_scores(frame(spark, rows, "idx long, price double, area double"), ["price", "area"], Refining(trees=4))
+    by = {r.price: r.a for r in scored.groupBy("price").agg(F.avg("anomaly").alias("a")).collect()}
+    assert by[300_000.0] > by[100_000.0]
+
+
 def test_imputation_and_double_confirmation(spark):
     rows = [(i, "p", 200_000.0 + 5000 * i, 50.0 + i, 2, None if i % 5 == 0 else i % 3, None if i == 7 else 2) for i in range(40)] + [(99, "p", 9_000_000.0, 55.0, 2, 1, 2)]
     df = frame(spark, rows, "idx long, source string, price double, area double, rooms int, parking int, baths int")
