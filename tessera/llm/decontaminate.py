@@ -141,7 +141,8 @@ class Index:
         """document, item, distance, item's words, first and last word for every item found in documents (words h, hits at).
 
         A window of an item's size is embedded only if it holds as many of the items' runs as a match must (n - Q + 1 - Q * edits of them,
-        by the q-gram lemma): no match is lost, and most of a clean text is passed over.
+        by the q-gram lemma, one at least): no match is lost, but for items of 7 words, where the bound is 0 and
+        one with its 4th word changed has no run; most of a clean text is passed over.
         """
         text = np.concatenate([x for h, _ in docs for x in (h, np.zeros(1, np.uint64))] + [np.zeros(max(self.sizes, default=0), np.uint64)])
         ends = np.cumsum([len(h) + 1 for h, _ in docs])
