@@ -48,11 +48,13 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item; rows without id stay."""
-    found = written(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    """Drops the documents that contain a benchmark item. Rows are named by a hash of id and text, so rows without id go too, and a clean row that shares an id stays."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = written(found.select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
     if found.count() <= Join.broadcast:
         found = F.broadcast(found)
-    return docs.join(found, docs.doc_id == F.col("_gone"), "left_anti")
+    return docs.join(found, key == F.col("_gone"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
