@@ -16,163 +16,269 @@ from pyspark.sql import functions as F
 
 from .common import bounded, written
 
-# Fixed values of HTML: elements that hold raw text, that have no end tag, that begin a block; what an opening tag ends.
-RAW = frozenset("script style noscript template textarea iframe object svg math select".split())
+# Fixed values of HTML: elements whose content is no text of the page, that have no end tag, that begin a block; what an opening tag ends.
+RAW = frozenset("script style noscript template textarea iframe svg title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-CLOSES_P = BLOCK - {"html", "body", "title", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BLOCK = frozenset(
+    "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
+    " hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+CLOSES_P = BLOCK - frozenset("html body caption td th tr tbody thead tfoot".split())
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 REPEATED = frozenset("p li dd dt tr td th blockquote pre h2 h3 h4 h5 h6 figure".split())
-# Fixed values of this operator: names that say what a branch is.
-NOISE_TAGS = RAW | frozenset("head title nav footer aside form button dialog menu".split())
-NOISE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
-MAIN_TAGS = frozenset(("article", "main"))
-
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+# Fixed values of this operator: tags and names that speak against a branch, and parts of names that speak for it all the same.
+DOUBTED_TAGS = frozenset("nav footer aside form button select dialog menu".split())
+DOUBTED_NAMES = frozenset(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disclaimer"
+    " footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share"
+    " sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
+)
+STATES = frozenset("has with without no is not show hide open closed enabled disabled layout".split())
+OF_TEXT = frozenset("article post entry story content".split())
+#: Elements nested deeper than this share the place of the one at this depth.
+DEEPEST = 200
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_PARTS, _DIGITS = re.compile(r"[^a-z0-9]+"), re.compile(r"\d+")
+_RAW_END = {tag: re.compile(f"</{tag}[^>]*>?", re.I) for tag in RAW}
 
 
 def _hash(*parts: str) -> int:
     return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def doubted(names: str) -> bool:
+    """Whether a class, id or role speaks against a branch: `cookie-notice` does; `has-sidebar`, `comments-open` and `article-header` do not."""
+    for name in names.split():
+        parts = set(_PARTS.split(name))
+        found = parts & DOUBTED_NAMES
+        if found and not parts & STATES and not (found == {"header"} and parts & OF_TEXT):
+            return True
+    return False
+
+
 class _Node:
-    """An element. Of siblings alike in tag and class each has its own place in the tree, but paragraphs, list items and the like share one."""
+    """An element. Of siblings alike in tag and class each has its own place in the tree, but paragraphs, list items and the like share one.
 
-    __slots__ = ("children", "name", "path", "prior", "seen", "tag")
+    paths: the places of the elements around it, its own last. doubt: its tag or name speaks against it. size: characters of text in it.
+    """
+
+    __slots__ = ("children", "doubt", "inside", "name", "parent", "path", "paths", "seen", "size", "tag")
 
     def __init__(self, tag: str, names: str, parent: _Node | None):
-        self.tag, self.name, self.seen = tag, f"{tag}.{names}", Counter()
+        self.tag, self.name, self.seen, self.parent, self.size = tag, f"{tag}.{_DIGITS.sub('0', names)}", Counter(), parent, 0
         place = 0
         if parent and tag not in REPEATED:
             place = parent.seen[self.name]
             parent.seen[self.name] += 1
         self.path = _hash(str(parent.path) if parent else "", self.name, str(place))
+        self.paths = [*parent.paths, self.path] if parent else []
         self.children: list[str] = []
-        prior = parent.prior if parent else 0
-        if tag in NOISE_TAGS or any(x in NOISE_NAMES for x in _SPLIT.split(names)) or (tag == "header" and prior < 1):
-            prior = -1
-        elif tag in MAIN_TAGS and prior >= 0:
-            prior = 1
-        self.prior = prior
+        self.inside = bool(parent and parent.inside) or tag in ("article", "main")
+        named = tag not in ("html", "body", "main") and doubted(names)
+        self.doubt = tag in DOUBTED_TAGS or named or (tag == "header" and not self.inside)
         if parent:
             parent.children.append(self.name)
 
 
 def parse(html: str) -> tuple[list[dict], list[dict]]:
-    """The text blocks in page order (text, paths of the elements around it within the body, prior) and the elements (path, presentation of children).
+    """The text blocks in page order (text, paths of the elements around it) and the elements (path, paths, style, inner, doubt, size).
 
-    White space within a block is one blank; character references are decoded; an element that is never closed ends with its parent.
-    prior: -1 under an element whose tag or class says it is not content, 1 within article or main, else 0.
+    White space within a block is one blank; character references are decoded; an element that is never closed ends with its parent. An inline
+    element whose name speaks against it is a block of its own, while the text around it goes on. style: a hash of what stands directly
+    below an element. Each character is looked at a fixed number of times, whatever tags, quotes or comments are left open.
     """
     root = _Node("", "", None)
-    stack, elements, blocks, text = [root], [root], [], []
+    tags, nodes, elements, blocks = [""], [root], [], []
+    texts: list[list[str]] = [[]]
+    opened: Counter = Counter()
 
     def flush() -> None:
-        words = unescape("".join(text)).split()
-        text.clear()
+        words = unescape("".join(texts[-1])).split()
+        texts[-1].clear()
         if words:
-            blocks.append({"text": " ".join(words), "paths": [n.path for n in stack[1:] if n.tag not in ("html", "body")], "prior": stack[-1].prior})
-            stack[-1].children.append("#")
-
-    at, lower = 0, None
-    while m := _MARKUP.search(html, at):
-        text.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            text, node = " ".join(words), nodes[-1]
+            blocks.append({"text": text, "paths": node.paths})
+            node.children.append("#")
+            while node is not None:
+                node.size += len(text)
+                node = node.parent
+
+    def close(k: int) -> None:
+        while len(tags) > k:
+            if tags[-1] not in BLOCK and len(texts) > 1:
+                flush()
+                texts.pop()
+            nodes.pop()
+            opened[tags.pop()] -= 1
+
+    def close_inline() -> None:
+        while len(texts) > 1:
+            close(next(k for k in range(len(tags) - 1, 0, -1) if tags[k] not in BLOCK))
+
+    at, plain = 0, False
+    while (lt := html.find("<", at)) >= 0:
+        texts[-1].append(html[at:lt])
+        following = html[lt + 1 : lt + 3]
+        if following[:1] in ("!", "?") or (following[:1] == "/" and not following[1:].isalpha()):
+            ends = ("-->", 3) if html.startswith("<!--", lt) else (">", 1)
+            end = html.find(ends[0], lt + 2)
+            at = len(html) if end < 0 else end + ends[1]
             continue
-        tag = m[2].lower()
+        if not following.lstrip("/")[:1].isascii() or not following.lstrip("/")[:1].isalpha():
+            texts[-1].append("<")
+            at = lt + 1
+            continue
+        m = None if plain else _TAG.match(html, lt)
+        if m is None:  # quotes are left open up to the end: they count as plain signs from here on
+            plain = True
+            m = _PLAIN.match(html, lt)
+        if m is None:
+            at = len(html)
+            break
+        at, tag = m.end(), m[2].lower()
         if m[1]:
             if tag in BLOCK:
+                if not opened[tag]:
+                    flush()
+                    continue
+                close_inline()
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
+            if opened[tag]:
+                for k in range(len(tags) - 1, 0, -1):
+                    if tags[k] == tag:
+                        close(k)
+                        break
+                    if tag not in BLOCK and tags[k] in BLOCK:
+                        break
             continue
         if tag == "br":
-            text.append(" ")
+            texts[-1].append(" ")
             continue
         if tag in BLOCK:
+            close_inline()
             flush()
             ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
+            for k in range(len(tags) - 1, 0, -1):
+                if tags[k] in ends:
+                    close(k)
                     break
-                if stack[k].tag in BLOCK and stack[k].tag not in ("p", *ends):
+                if tags[k] in BLOCK and tags[k] not in ("p", *ends):
                     break
         if tag in RAW and not m[3].endswith("/"):
-            lower = html.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            at = len(html) if end < 0 else (html.find(">", end) + 1 or len(html))
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag in BLOCK or tag in NOISE_TAGS:
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if m[3] else ""
-            stack.append(_Node(tag, names, stack[-1]))
-            elements.append(stack[-1])
-    text.append(html[at:])
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if m[3] else ""
+        if tag in BLOCK or tag in DOUBTED_TAGS or (names and doubted(names)):
+            node = nodes[-1]
+            if len(nodes) < DEEPEST:
+                node = _Node(tag, names, node)
+                elements.append(node)
+            elif tag not in BLOCK:
+                continue
+            tags.append(tag)
+            nodes.append(node)
+            opened[tag] += 1
+            if tag not in BLOCK:
+                texts.append([])
+    if html[at:]:
+        texts[-1].append(html[at:])
+    close_inline()
     flush()
-    nodes = {(n.path, _hash(*n.children) if n.children else 0, bool(n.children) and n.children != ["#"]) for n in elements[1:]}
-    return blocks, [{"path": p, "style": s, "inner": i} for p, s, i in sorted(nodes)]
+    merged: dict[tuple, dict] = {}
+    for n in elements:
+        style = _hash(*n.children) if n.children else 0
+        inner = bool(n.children) and n.children != ["#"]
+        own = merged.setdefault((n.path, style), {"path": n.path, "paths": n.paths, "style": style, "inner": inner, "doubt": n.doubt, "size": 0})
+        own["size"] += n.size
+    return blocks, [merged[k] for k in sorted(merged)]
 
 
 @dataclass(frozen=True)
 class Tree:
-    """least: pages of a host from which its tree counts; weight: share of presentation in an inner element's importance; cut: importance below which a branch goes."""
+    """least: pages of a host with an element from which the tree's evidence about it counts; weight: share of presentation in an inner
+    element's importance; cut: importance below which a branch goes; prior: factor of an element whose tag or name speaks against it;
+    most: share of its pages' text from which on the tree overrules that; broadcast: branches that are broadcast at most.
+    """
 
     least: int = 8
     weight: float = 0.5
     cut: float = 0.25
+    prior: float = 0.2
+    most: float = 0.75
     broadcast: int = 100_000
 
 
 def importance(parsed: DataFrame, tree: Tree = Tree()) -> DataFrame:
-    """host, path, pages and importance of every element of the hosts' style trees.
+    """host, path, importance and trust of every element of the hosts' style trees.
 
     Presentation: the entropy, to the base of the number of pages, of what stands directly below the element. Content: over the texts below
     it, one minus the share of the host's other pages that have this text there, so what every page repeats counts 0 on hosts of any size.
-    Elements that hold only text count by content alone.
+    Elements that hold only text count by content alone. Trust, a factor of importance: 1, or `prior` within an element whose tag or name
+    speaks against it; the more of its pages' text beyond `most` such an element holds, the less that counts.
     """
     log = lambda n: F.log(n.cast("double"))
-    style = parsed.select("host", F.explode("nodes").alias("n")).groupBy("host", F.col("n.path").alias("path"), F.col("n.style").alias("style")).agg(F.count("*").alias("c"), F.max("n.inner").alias("inner"))
-    shape = style.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * log(F.col("c"))).alias("s"), F.max("inner").alias("inner"))
+    elements = parsed.select("host", "chars", F.explode("nodes").alias("n")).select("host", "chars", "n.*")
+    style = elements.groupBy("host", "path", "style").agg(
+        F.count("*").alias("c"), F.max("inner").alias("inner"), F.max("doubt").alias("doubt"), F.first("paths").alias("paths"),
+        F.sum("size").alias("size"), F.sum("chars").alias("chars"),
+    )
+    shape = style.groupBy("host", "path").agg(
+        F.sum("c").alias("pages"), F.sum(F.col("c") * log(F.col("c"))).alias("s"), F.max("inner").alias("inner"), F.max("doubt").alias("doubt"),
+        F.first("paths").alias("paths"), (F.sum("size") / F.greatest(F.sum("chars"), F.lit(1))).alias("mass"),
+    )
+    relief = F.greatest(F.lit(0.0), (F.col("mass") - tree.most) / (1 - tree.most))
+    shape = written(shape.withColumn("own", F.when(F.col("doubt"), tree.prior + (1 - tree.prior) * relief).otherwise(1.0)), "shape")
+    doubts = shape.filter("own < 1").select("host", F.col("path").alias("around"), "own")
+    below = shape.select("host", "path", F.explode("paths").alias("around")).join(doubts, ["host", "around"])
+    trust = below.groupBy("host", "path").agg(F.min("own").alias("trust"))
+
     own = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["paths"].alias("paths"), F.xxhash64(b["text"]).alias("content"))))
-    leaf = parsed.select("host", F.explode(own).alias("b")).groupBy("host", F.col("b.paths").alias("paths"), F.col("b.content").alias("content")).agg(F.count("*").alias("c"))
+    leaf = parsed.select("host", F.explode(own).alias("b")).groupBy("host", F.col("b.paths").alias("paths"), F.col("b.content").alias("content"))
     hosts = parsed.groupBy("host").agg(F.count("*").alias("of"))
     repeated = F.col("c") * (F.col("c") - 1) / F.greatest(F.col("of") - 1, F.lit(1))
-    texts = leaf.join(hosts, "host").select("host", F.explode("paths").alias("path"), "c", repeated.alias("r")).groupBy("host", "path").agg(F.sum("c").alias("t"), F.sum("r").alias("r"))
+    texts = leaf.agg(F.count("*").alias("c")).join(hosts, "host").select("host", F.explode("paths").alias("path"), "c", repeated.alias("r"))
+    texts = texts.groupBy("host", "path").agg(F.sum("c").alias("t"), F.sum("r").alias("r"))
+
     share = lambda s, n: F.when(n > 1, F.greatest(F.lit(0.0), 1 - s / n / log(n))).otherwise(1.0)
     presentation, content = share(F.col("s"), F.col("pages")), F.coalesce(1 - F.col("r") / F.col("t"), F.lit(0.0))
-    value = F.when(F.col("inner"), tree.weight * presentation + (1 - tree.weight) * content).otherwise(content)
-    return shape.join(texts, ["host", "path"], "left").select("host", "path", "pages", value.alias("importance"))
+    seen = F.when(F.col("inner"), tree.weight * presentation + (1 - tree.weight) * content).otherwise(content)
+    seen = F.when(F.col("pages") >= tree.least, seen).otherwise(1.0)
+    trusted = F.coalesce("trust", F.lit(1.0))
+    joined = shape.join(texts, ["host", "path"], "left").join(trust, ["host", "path"], "left")
+    return joined.select("host", "path", (seen * trusted).alias("importance"), trusted.alias("trust"))
 
 
 def low_branches(parsed: DataFrame, tree: Tree = Tree()) -> DataFrame:
-    """host and path of the deepest elements below the cut: those around an element at or above it are not among them."""
+    """host, path and trust of the deepest elements below the cut: those around an element at or above it are not among them."""
     known = written(importance(parsed, tree), "importance")
     high = known.filter(F.col("importance") >= tree.cut).select("host", "path")
     chains = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["paths"]))).alias("paths")).distinct()
-    around = chains.select("host", "paths", F.posexplode("paths").alias("at", "path")).join(high, ["host", "path"]).select("host", F.explode(F.slice("paths", F.lit(1), F.col("at"))).alias("path")).distinct()
-    return known.filter((F.col("pages") >= tree.least) & (F.col("importance") < tree.cut)).select("host", "path").join(around, ["host", "path"], "left_anti")
+    placed = chains.select("host", "paths", F.posexplode("paths").alias("at", "path")).join(high, ["host", "path"])
+    around = placed.select("host", F.explode(F.slice("paths", F.lit(1), F.col("at"))).alias("path")).distinct()
+    return known.filter(F.col("importance") < tree.cut).select("host", "path", "trust").join(around, ["host", "path"], "left_anti")
 
 
 def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """page_id, url and html to page_id, url, text (blocks joined by line ends) and n_chars.
 
-    A branch goes if its tag or class says it is no content, or if its importance in its host's tree is below the cut and nothing important
-    lies in it, in article and main as elsewhere. Hosts with few pages have no tree of their own and go by names alone, as do pages of which
-    the tree would leave nothing (copies). Null html is an empty page; pages without url are one host; repeated rows each give a row; other columns are not looked at.
+    A branch goes if its importance in its host's tree is below the cut and nothing important lies in it, in article and main as elsewhere.
+    Tags and names are a prior factor of importance. Elements on few pages of a host have little evidence of their own and go by the
+    prior alone, as do the pages of which the tree would leave nothing (copies). Null html is an empty page; pages without url are one host;
+    repeated rows each give a row; other columns are not looked at; no rows give no rows. Pages of any length are parsed whole in linear
+    time; elements deeper than 200 levels count as part of the one at that level.
     """
     spark = df.sparkSession
     bounded(spark)
-    kind = pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64())), ("prior", pa.int32())])
-    node = pa.struct([("path", pa.int64()), ("style", pa.int64()), ("inner", pa.bool_())])
+    block = pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))])
+    node = pa.struct(
+        [("path", pa.int64()), ("paths", pa.list_(pa.int64())), ("style", pa.int64()), ("inner", pa.bool_()), ("doubt", pa.bool_()), ("size", pa.int64())]
+    )
 
     def host(url: str | None) -> str:
         try:
@@ -186,18 +292,31 @@ def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
                 part = batch.slice(i, 256)
                 got = [parse(x or "") for x in part.column(2).to_pylist()]
                 hosts = [host(u) for u in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array([b for b, _ in got], pa.list_(kind)), pa.array([n for _, n in got], pa.list_(node))], ["page_id", "url", "host", "blocks", "nodes"])
+                chars = [sum(len(x["text"]) for x in b) for b, _ in got]
+                columns = [pa.array(hosts, pa.string()), pa.array(chars, pa.int64()), pa.array([b for b, _ in got], pa.list_(block)), pa.array([n for _, n in got], pa.list_(node))]
+                yield pa.record_batch([part.column(0), part.column(1), *columns], ["page_id", "url", "host", "chars", "blocks", "nodes"])
 
     pages = df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = written(pages.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<text:string,paths:array<long>,prior:int>>, nodes array<struct<path:long,style:long,inner:boolean>>"), "dom")
+    dom = pages.mapInArrow(
+        run,
+        "page_id long, url string, host string, chars long, blocks array<struct<text:string,paths:array<long>>>,"
+        " nodes array<struct<path:long,paths:array<long>,style:long,inner:boolean,doubt:boolean,size:long>>",
+    )
+    parsed = written(dom.withColumn("row", F.monotonically_increasing_id()), "dom")
     low = written(low_branches(parsed, tree), "noise")
-    small = low.count() <= tree.broadcast
-    low = low.groupBy("host").agg(F.collect_list("path").alias("low"))
-    joined = parsed.select("page_id", "url", "host", "blocks").join(F.broadcast(low) if small else low, "host", "left")
+    of_prior = F.col("trust") < tree.cut
+    texts = parsed.select("row", "page_id", "url", "host", "blocks")
+    if low.count() <= tree.broadcast:
+        by_host = low.groupBy("host").agg(F.collect_list("path").alias("low"), F.collect_list(F.when(of_prior, F.col("path"))).alias("named"))
+        joined = texts.join(F.broadcast(by_host), "host", "left")
+    else:  # each page meets only its own low branches
+        own = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path"))
+        by_page = own.join(low, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("low"), F.collect_list(F.when(of_prior, F.col("path"))).alias("named"))
+        joined = texts.join(by_page, "row", "left")
     none = F.array().cast("array<bigint>")
-    named = F.filter("blocks", lambda b: b["prior"] >= 0)
-    kept = F.filter("blocks", lambda b: (b["prior"] >= 0) & ~F.arrays_overlap(b["paths"], F.coalesce("low", none)))
-    stays = F.when(F.size(kept) > 0, kept).otherwise(named)
+    outside = lambda c: F.filter("blocks", lambda b: ~F.arrays_overlap(b["paths"], F.coalesce(c, none)))
+    kept = outside("low")
+    stays = F.when(F.size(kept) > 0, kept).otherwise(outside("named"))
     text = F.array_join(F.transform(stays, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import struct
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from urllib.parse import urlsplit
 
 import duckdb
 import numpy as np
@@ -47,13 +50,109 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_blocks_of_a_page():
-    blocks, _ = html.parse(PAGE)
-    kept = [b["text"] for b in blocks if b["prior"] > 0]
-    assert kept == ["Big & small", "One bold text line", "Two é €", "c1", "c2"]
-    assert not [b for b in blocks if b["prior"] == 0]
+    blocks, nodes = html.parse(PAGE)
+    doubt = {n["path"] for n in nodes if n["doubt"]}
+    assert [b["text"] for b in blocks if not doubt & set(b["paths"])] == ["Big & small", "One bold text line", "Two é €", "c1", "c2"]
     for broken in ("", "<", "<p", "a<b", "</p></x>", "<!-- x", "<script>x", "<p><p></div>t", "<ul><li>a<li>b</ul>c", "<p class='x>y'>t</p>"):
         html.parse(broken)
     assert [b["text"] for b in html.parse("<ul><li>a<li>b</ul>c<p>d")[0]] == ["a", "b", "c", "d"]
+    assert [b["text"] for b in html.parse("a < b <1 </ >c <é>")[0]] == ["a < b <1 c <é>"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, '<a ">"' * 100_000, "<ul>" * 50_000 + "</ol>" * 50_000, "<!--" * 200_000, "<p><span class=ad>" * 20_000, "<div>x" * 30_000, "<p class='" * 90_000],
+)
+def test_open_tags_and_quotes_take_linear_time(page):
+    start = time.process_time()
+    html.parse(page)
+    assert time.process_time() - start < 3
+
+
+def texts_of(spark, pages: list[tuple]) -> dict:
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_wrappers_whose_names_look_doubtful_keep_their_text(spark):
+    body = "<h1>Head {0}</h1><p>First {0}</p><p>x {0} <math><mi>y</mi></math> z</p>"
+    wrappers = [
+        "<body class='has-sidebar'><div>{}</div></body>",
+        "<body><main class='with-sidebar'>{}</main></body>",
+        "<body><article class='post comments-open'>{}</article></body>",
+        "<body><article><div class='article-header'><h1>Head {0}</h1></div><p>First {0}</p><p>x {0} <math><mi>y</mi></math> z</p></article></body>",
+        "<body><div class='notice'>{}</div><footer>by us</footer></body>",  # a doubted name overruled, as nearly all text is in it
+    ]
+    pages = [(100 * k + i, f"http://w{k}.test/{i}", w.format(i) if "{0}" in w else w.format(body.format(i))) for k, w in enumerate(wrappers) for i in range(12)]
+    out = texts_of(spark, pages)
+    assert all(t == f"Head {i % 100}\nFirst {i % 100}\nx {i % 100} y z" for i, t in out.items())
+
+
+def test_each_branch_is_cut_by_importance_alone(spark):
+    rows = "".join(f"<tr><td>row {k}</td></tr>" for k in range(4))
+    page = (
+        "<body><div class='a1'><div>Home</div><div>News</div></div><div class='a2'><table>{1}</table><p>Text {0} of the page</p><p>More {0} words</p>"
+        "<div class='a3'>Share this text</div></div><div class='a4'><p>All rights reserved</p></div></body>"
+    )
+    pages = [(i, f"http://plain.test/{i}", page.format(i, rows)) for i in range(20)]
+    want = {i: f"Text {i} of the page\nMore {i} words" for i in range(20)}
+    assert texts_of(spark, pages) == want
+    uncut = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), html.Tree(cut=0.0)).collect()
+    assert all(r.text.startswith("Home\nNews\nrow 0") and r.text.endswith("reserved") for r in uncut)
+    named = [(i, f"http://named.test/{i}", f"<article><h1>Head {i}</h1><p>Text {i} goes on</p><p>Buy <span class='ad'>now {i}</span> here</p></article><nav>n {i}</nav>") for i in range(20)]
+    assert texts_of(spark, named) == {i: f"Head {i}\nText {i} goes on\nBuy here" for i in range(20)}
+
+
+def brute_texts(pages: list[tuple], tree: html.Tree) -> dict:
+    """The same tree in plain Python, host by host."""
+    hosts = defaultdict(list)
+    for key, url, page in pages:
+        hosts[(urlsplit(url or "").hostname or "").lower()].append((key, *html.parse(page or "")))
+    out = {}
+    for group in hosts.values():
+        styles, info, own, every = defaultdict(Counter), {}, Counter(), Counter()
+        leaves = Counter()
+        for _, blocks, nodes in group:
+            size = sum(len(b["text"]) for b in blocks)
+            for n in nodes:
+                p = n["path"]
+                styles[p][n["style"]] += 1
+                inner, doubt, _ = info.get(p, (False, False, ()))
+                info[p] = inner or n["inner"], doubt or n["doubt"], n["paths"]
+                own[p] += n["size"]
+                every[p] += size
+            leaves.update({(tuple(b["paths"]), b["text"]) for b in blocks})
+        t, r = Counter(), Counter()
+        for (paths, _), c in leaves.items():
+            for p in paths:
+                t[p] += c
+                r[p] += c * (c - 1) / max(1, len(group) - 1)
+        factor = {p: tree.prior + (1 - tree.prior) * max(0, (own[p] / max(1, every[p]) - tree.most) / (1 - tree.most)) if info[p][1] else 1 for p in info}
+        value, trust = {}, {}
+        for p, (inner, _, paths) in info.items():
+            n = sum(styles[p].values())
+            looks = max(0, 1 - sum(c * math.log(c) for c in styles[p].values()) / n / math.log(n)) if n > 1 else 1
+            says = 1 - r[p] / t[p] if t[p] else 0
+            trust[p] = min(factor[q] for q in paths)
+            value[p] = (1 if n < tree.least else tree.weight * looks + (1 - tree.weight) * says if inner else says) * trust[p]
+        around = {q for paths, _ in leaves for k, p in enumerate(paths) if value[p] >= tree.cut for q in paths[: k + 1]}
+        low = {p for p in value if value[p] < tree.cut and p not in around}
+        named = {p for p in low if trust[p] < tree.cut}
+        for key, blocks, _ in group:
+            left = [b["text"] for b in blocks if not low & set(b["paths"])] or [b["text"] for b in blocks if not named & set(b["paths"])]
+            out[key] = "\n".join(left)
+    return out
+
+
+def test_style_tree_against_brute_force(spark):
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    rng = random.Random(2)
+    for i in range(300):  # layouts with and without names, repeated and own texts
+        text = lambda k: f"<p>{rng.choice(['same words', f'own {i} {k}', 'often'])}</p>"  # noqa: B023, E731
+        parts = "".join(f"<div class='{rng.choice(['x', 'comments', 'y sidebar', 'z'])}'>{''.join(text(k) for k in range(rng.randint(0, 4)))}</div>" for _ in range(rng.randint(0, 5)))
+        pages.append((10_000 + i, f"http://r{i % 7}.test/", rng.choice(["<body>{}</body>", "<article>{}</article>", "<div>{}<footer>f</footer></div>"]).format(parts)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    for tree in (html.Tree(), html.Tree(broadcast=0, cut=0.4)):
+        assert {r.page_id: r.text for r in html.extract(df, tree).collect()} == brute_texts(pages, tree)
 
 
 def test_style_tree_cuts_what_a_host_repeats(spark):
