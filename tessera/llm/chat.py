@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 # Fixed values of the chat template.
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
+# Signs that stand for placeholders while a turn's parts are joined: QUOTE LITERAL is a QUOTE of a text, QUOTE EDGE ... EDGE a placeholder.
+QUOTE, LITERAL, EDGE = "\x01", "\x02", "\x03"
 
 
 @dataclass(frozen=True)
@@ -30,8 +32,16 @@ def unescaped(x: Column) -> Column:
     return F.regexp_replace(x, r"<\\(\\*)\|", r"<$1|")
 
 
+def _joined(parts: Column) -> Column:
+    """A turn's content: texts of its parts are joined before they are escaped, so no control string can be put together from several
+    parts; then the placeholders are put in."""
+    whole = escaped(F.array_join(F.transform(parts, lambda p: p["shown"]), ""))
+    placed = F.regexp_replace(whole, f"{QUOTE}{EDGE}([a-z]+:[0-9.]+){EDGE}", r"<|$1|>")
+    return F.replace(placed, F.lit(QUOTE + LITERAL), F.lit(QUOTE))
+
+
 def _visit(p: Column, key: Column, e: Expansion) -> Column:
-    """One content part to what is shown in the text, the attachment's key (null for text) and its number of tokens."""
+    """One content part to what _joined() takes, the attachment's key (null for text) and its number of tokens."""
     kind = F.lower(F.coalesce(p["type"], F.lit("text")))
     patches = F.ceil(F.coalesce(p["width"], F.lit(e.patch)) / e.patch) * F.ceil(F.coalesce(p["height"], F.lit(e.patch)) / e.patch)
     tokens = (
@@ -41,7 +51,8 @@ def _visit(p: Column, key: Column, e: Expansion) -> Column:
         .otherwise(F.regexp_count(F.coalesce(p["text"], F.lit("")), F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")))
     )
     attached = kind.isin("image", "audio", "document")
-    shown = F.when(attached, F.concat(F.lit("<|"), kind, F.lit(":"), key, F.lit("|>"))).otherwise(escaped(F.coalesce(p["text"], F.lit(""))))
+    text = F.replace(F.coalesce(p["text"], F.lit("")), F.lit(QUOTE), F.lit(QUOTE + LITERAL))
+    shown = F.when(attached, F.concat(F.lit(QUOTE + EDGE), kind, F.lit(":"), key, F.lit(EDGE))).otherwise(text)
     return F.struct(shown.alias("shown"), F.when(attached, key).alias("key"), kind.alias("type"), p["ref"].alias("ref"), tokens.cast("long").alias("tokens"))
 
 
@@ -55,21 +66,26 @@ def format_chat(df: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), exp
 
     parts (array of struct type, text, ref, width, height, seconds, pages) wins over text where not null. Null texts, roles and parts are
     empty ones; rows without conv_id are one conversation; turns that tie are ordered by role, then content; repeated rows are turns of
-    their own; other columns are not looked at. No rows give no rows. A conversation is one output row and so is held in one task.
+    their own; other columns are not looked at. No rows give no rows. Texts of any length are taken whole. A conversation is one output row
+    by definition and so is held in one task; rows that belong to no conversation should get ids of their own before.
     """
-    text = F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages"))).cast(PARTS)
+    none = {"ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+    absent = (F.lit(None).cast(kind).alias(name) for name, kind in none.items())
+    text = F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), *absent)).cast(PARTS)
     parts = F.coalesce(F.col("parts").cast(PARTS), text) if "parts" in df.columns else text
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = df.select("conv_id", F.struct("turn", role.alias("role"), parts.alias("parts")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    seen = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.transform(F.filter(t["parts"], lambda p: p.isNotNull()), lambda p, j: _visit(p, F.concat(i.cast("string"), F.lit("."), j.cast("string")), expansion)).alias("parts")))
+    key = lambda i, j: F.concat(i.cast("string"), F.lit("."), j.cast("string"))
+    visited = lambda t, i: F.transform(F.filter(t["parts"], lambda p: p.isNotNull()), lambda p, j: _visit(p, key(i, j), expansion))
+    seen = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), visited(t, i).alias("parts")))
     piece = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
     segments = F.flatten(
         F.transform(
             "seen",
             lambda t: F.array(
                 piece(F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n")), F.lit(False)),
-                piece(F.array_join(F.transform(t["parts"], lambda p: p["shown"]), ""), t["role"].isin(*loss_roles)),
+                piece(_joined(t["parts"]), t["role"].isin(*loss_roles)),
                 piece(F.lit(END + "\n"), F.lit(False)),
             ),
         )
