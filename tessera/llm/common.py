@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..shared import scratch, shared_dir, written
 
-__all__ = ["LETTERS", "SPACE", "bounded", "grams", "mix", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
+__all__ = ["LETTERS", "SPACE", "bounded", "grams", "mix", "read_folder", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
 
 #: Bytes of text that one numpy step handles at most (a single longer text is handled alone).
 STEP_BYTES = 1 << 20
@@ -22,6 +22,18 @@ def bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def read_folder(uri: str, columns: list[str]) -> pa.Table:
+    """A table of bounded size from the shared folder, read by a task; a folder that is not there is an empty table of these string columns."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, where = fs.FileSystem.from_uri(uri)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(where, allow_not_found=True)) if f.base_name.endswith(".parquet"))
+    if not files:
+        return pa.table({c: pa.array([], pa.string()) for c in columns})
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns) for f in files])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and where each row starts (one more entry than rows)."""
     if not pa.types.is_string(column.type):

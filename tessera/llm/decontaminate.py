@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, bounded, grams, mix, steps, words
+from .common import LETTERS, bounded, grams, mix, read_folder, scratch, steps, words
 
 Q = 4
 PAD, _STEP = np.uint64(0), np.uint64(0xD1342543DE82EF95)
@@ -24,8 +25,8 @@ class Search:
 
     walks, tables, bits: CGK walks, hash tables a walk, sampled places a table. At the greatest distance allowed a single aligned window is
     found with a probability of about 0.97 (tests measure it), and several shifted windows of a passage are tried.
-    batch: documents that are searched together.
-    least: items of fewer words are no evidence and are not searched. slice_bytes: items' text that is broadcast at once; more go in turns.
+    batch: documents that are searched together (what is found doesn't depend on it).
+    least: items of fewer words are not searched; by default all are. slice_bytes: items' text that a task holds at once; more go in turns.
     """
 
     edits: int = 15
@@ -33,7 +34,7 @@ class Search:
     tables: int = 14
     batch: int = 256
     bits: int = 4
-    least: int = 4
+    least: int = 1
     slice_bytes: int = 8 << 20
     seed: int = 11
 
@@ -102,55 +103,77 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best
 
 
+def filter_by(size: int, edits: int) -> tuple[int, int]:
+    """(q, need): an item of this size and a run of words within so many edits share `need` >= 1 of the item's runs of q words.
+
+    By the q-gram lemma need is size - q + 1 - q * edits; q is the largest up to Q for which that is at least 1. q = 1 always does.
+    """
+    return next((q, size - q + 1 - q * edits) for q in range(Q, 0, -1) if size - q + 1 - q * edits >= 1)
+
+
 class Index:
-    """The items (id, word hashes) by size, with hash tables for each size, and a bit table of all their runs of Q words."""
+    """The items (id, word hashes) by size, with hash tables for each size, and bit tables of all their runs of q words."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], s: Search):
         self.search = s
         self.sizes: dict[int, tuple] = {}
         by_size: dict[int, list] = defaultdict(list)
         for key, x in items:
-            if len(x) >= s.least:
+            if len(x) >= max(1, s.least):
                 by_size[len(x)].append((key, x))
-        runs = [grams(x, Q) for group in by_size.values() for _, x in group]
-        runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
-        self.shift = np.uint64(64 - max(16, int(len(runs) * 64).bit_length()))
-        self.table, self.runs = np.zeros(1 << int(64 - self.shift), bool), runs
-        self.table[runs >> self.shift] = True
+        runs: dict[int, list] = defaultdict(list)
         for size, group in sorted(by_size.items()):
             samples, buckets = Samples(size, s), defaultdict(list)
             for i, row in enumerate(samples.keys(np.stack([x for _, x in group])).T.tolist()):
                 for k in set(row):
                     buckets[k].append(i)
             edits = size * s.edits // 100
-            self.sizes[size] = samples, np.array(sorted(buckets), np.uint64), dict(buckets), group, edits, max(1, size - Q + 1 - Q * edits)
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """At which words a run of Q words starts that some item has."""
-        g = grams(h, Q)
-        at = np.flatnonzero(self.table[g >> self.shift]) if len(self.runs) else np.zeros(0, np.int64)
-        i = np.searchsorted(self.runs, g[at])
-        i[i == len(self.runs)] = 0
-        return at[self.runs[i] == g[at]] if len(at) else at
+            q, need = filter_by(size, edits)
+            runs[q] += [grams(x, q) for _, x in group]
+            self.sizes[size] = samples, np.array(sorted(buckets), np.uint64), dict(buckets), group, edits, q, need
+        self.runs: dict[int, tuple] = {}
+        for q, every in runs.items():
+            known = np.unique(np.concatenate(every))
+            shift = np.uint64(64 - max(16, int(len(known) * 64).bit_length()))
+            table = np.zeros(1 << int(64 - shift), bool)
+            table[known >> shift] = True
+            self.runs[q] = known, shift, table
+        self.gap = max((size + edits + 1 for size, (*_, edits, _, _) in self.sizes.items()), default=1)
+
+    def hits(self, h: np.ndarray) -> dict[int, np.ndarray]:
+        """For each q at which words a run of q words starts that some item has."""
+        out = {}
+        for q, (known, shift, table) in self.runs.items():
+            g = grams(h, q)
+            at = np.flatnonzero(table[g >> shift])
+            i = np.searchsorted(known, g[at])
+            i[i == len(known)] = 0
+            out[q] = at[known[i] == g[at]]
+        return out
 
-    def dense(self, at: np.ndarray) -> bool:
+    def dense(self, at: dict[int, np.ndarray]) -> bool:
         """Whether some window holds as many hits as a match must."""
-        return any(len(at) >= need and (at[need - 1 :] - at[: len(at) - need + 1] < size + edits - Q + 1).any() for size, (*_, edits, need) in self.sizes.items())
-
-    def find(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
-        """document, item, distance, item's words, first and last word for every item found in documents (words h, hits at).
-
-        A window of an item's size is embedded only if it holds as many of the items' runs as a match must (n - Q + 1 - Q * edits of them,
-        by the q-gram lemma, one at least): no match is lost, but for items of 7 words, where the bound is 0 and
-        one with its 4th word changed has no run; most of a clean text is passed over.
+        for size, (*_, edits, q, need) in self.sizes.items():
+            x = at[q]
+            if len(x) >= need and (x[need - 1 :] - x[: len(x) - need + 1] < size + edits - q + 1).any():
+                return True
+        return False
+
+    def find(self, docs: list[tuple[np.ndarray, dict[int, np.ndarray]]]) -> Iterator[tuple]:
+        """document, item, distance, item's words, first and last word for every item found in documents (words h, hits by q).
+
+        A window of an item's size is embedded only if it holds as many of the items' runs as a match must (see filter_by), so no match is
+        lost and most of a clean text is passed over. Overlapping windows with one candidate are verified in one go over all their words;
+        documents are kept so far apart that what is found in one does not depend on the others.
         """
-        text = np.concatenate([x for h, _ in docs for x in (h, np.zeros(1, np.uint64))] + [np.zeros(max(self.sizes, default=0), np.uint64)])
-        ends = np.cumsum([len(h) + 1 for h, _ in docs])
-        begins = ends - [len(h) + 1 for h, _ in docs]
-        at = np.concatenate([hits + b for (_, hits), b in zip(docs, begins, strict=True)])
+        apart = np.zeros(self.gap, np.uint64)
+        text = np.concatenate([x for h, _ in docs for x in (h, apart)] or [apart])
+        lengths = np.array([len(h) for h, _ in docs], np.int64)
+        begins = np.cumsum(lengths + self.gap) - lengths - self.gap
+        hits = {q: np.concatenate([at[q] + b for (_, at), b in zip(docs, begins, strict=True)]) for q in self.runs}
         best: dict[tuple[int, int], tuple] = {}
-        for size, (samples, known, buckets, group, edits, need) in self.sizes.items():
-            reach = size + edits - Q + 1
+        for size, (samples, known, buckets, group, edits, q, need) in self.sizes.items():
+            reach, at = size + edits - q + 1, hits[q]
             if len(at) < need:
                 continue
             first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < reach)  # `need` hits close together
@@ -158,77 +181,97 @@ class Index:
             np.add.at(mark, np.maximum(0, at[first + need - 1] - reach + 1), 1)
             np.add.at(mark, at[first] + 1, -1)
             windows = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            windows = windows[windows + size <= len(text)]
+            candidates: set[tuple[int, int]] = set()
             for part in np.array_split(windows, len(windows) // 8192 + 1):
                 if not len(part):
                     continue
                 keys = samples.keys(text[part[:, None] + np.arange(size)])
                 i = np.searchsorted(known, keys)
                 i[i == len(known)] = 0
-                candidates: set[tuple[int, int]] = set()
                 for t, w in zip(*np.nonzero(known[i] == keys), strict=True):
                     candidates.update((c, int(part[w])) for c in buckets[int(keys[t, w])])
-                for c, a in sorted(candidates):
-                    (key, item), doc = group[c], int(np.searchsorted(ends, a, "right"))
-                    had = best.get((doc, key))
-                    if had and (had[0] == 0 or had[2] <= a + edits < had[3]):
-                        continue
-                    begin = max(int(begins[doc]), a - edits)
-                    near = text[begin : min(int(ends[doc]) - 1, a + size + 2 * edits)]
-                    distance, end = nearest(item, near)
-                    if distance <= edits and (not had or distance < had[0]):
-                        length = nearest(item[::-1], near[:end][::-1])[1]
-                        best[doc, key] = distance, size, begin + end - length - int(begins[doc]), begin + end - 1 - int(begins[doc])
+            spans: list[list[int]] = []  # candidate, document, first word, last word + 1
+            for c, a in sorted(candidates):
+                doc = int(np.searchsorted(begins, a, "right")) - 1
+                low, high = max(int(begins[doc]), a - edits), min(int(begins[doc] + lengths[doc]), a + size + 2 * edits)
+                if spans and spans[-1][:2] == [c, doc] and low <= spans[-1][3]:
+                    spans[-1][3] = max(high, spans[-1][3])
+                elif low < high:
+                    spans.append([c, doc, low, high])
+            for c, doc, low, high in spans:
+                key, item = group[c]
+                had = best.get((doc, key))
+                if had and had[0] == 0:
+                    continue
+                distance, end = nearest(item, text[low:high])
+                if distance <= edits and (not had or distance < had[0]):
+                    length = nearest(item[::-1], text[low : low + end][::-1])[1]
+                    begin = low - int(begins[doc])
+                    best[doc, key] = distance, size, begin + end - length, begin + end - 1
         for (doc, key), found in sorted(best.items()):
             yield doc, key, *found
 
 
+@lru_cache(maxsize=2)
+def _index(uri: str, s: Search) -> tuple[list[int | None], Index]:
+    """The ids of a slice's items (in a fixed order) and their index; items are numbered."""
+    rows = read_folder(uri, ["item_id", "text"]).sort_by([("text", "ascending"), ("item_id", "ascending")])
+    found = []
+    for i, j, data, at in steps(rows.column("text").combine_chunks()) if rows.num_rows else ():
+        h, _, row = words(data, at, LETTERS)
+        found += [(i + r, h[row[r] : row[r + 1]]) for r in range(j - i)]
+    return rows.column("item_id").to_pylist(), Index(found, s)
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, s: Search = Search()) -> DataFrame:
     """One row for each document row and item that occurs in it: doc_id, item_id, distance in words, item_words, first_word and last_word.
 
-    Words are runs without white space, A-Z as a-z; ASCII signs in them (as at a sentence's end) are not looked at. The items (item_id, text) are broadcast in slices of bounded size, as many as there are,
-    and the documents are searched once for each slice. Of several places of an item in a text the nearest is named.
+    Words are runs without white space, A-Z as a-z; ASCII signs in them (as at a sentence's end) are not looked at. The items (item_id, text)
+    are a table in the shared folder, in slices of bounded size, as many as there are; tasks read one slice, and the documents are searched
+    once for each. Of several places of an item in a text the nearest is named, and of those the first.
 
-    Null texts have no words; null and short items are never found; a null doc_id or item_id stays null; items with equal ids are items of
-    their own; repeated document rows give repeated rows. Texts of any length are searched whole. No documents or no items give no rows.
+    Null texts have no words; items without words are never found; a null doc_id or item_id stays null; items with equal ids are items of
+    their own; repeated document rows give repeated rows. Texts of any length are searched whole; other columns are not looked at. No
+    documents or no items give no rows.
     """
     spark = df.sparkSession
     bounded(spark)
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 + size // s.slice_bytes
+    folder = scratch(spark, "items")
+    items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))).repartition(slices, "slice").write.partitionBy("slice").parquet(folder)
     texts = df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    names = [x.split()[0] for x in FOUND.split(", ")]
     out = None
     for k in range(slices):
-        own = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = own.toArrow()
-        found = []
-        for i, j, data, at in steps(rows.column("text").combine_chunks()) if rows.num_rows else ():
-            h, _, row = words(data, at, LETTERS)
-            found += [(rows.column("item_id")[i + r].as_py(), h[row[r] : row[r + 1]]) for r in range(j - i)]
-        shared = spark.sparkContext.broadcast(found)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            numbered = [(n, x) for n, (_, x) in enumerate(shared.value)]
-            index = Index(numbered, s)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+        def run(batches: Iterator[pa.RecordBatch], uri=f"{folder}/slice={k}") -> Iterator[pa.RecordBatch]:
+            ids, index = _index(uri, s)
             held: list[tuple] = []
 
             def searched() -> Iterator[pa.RecordBatch]:
-                got = [(held[d][0], shared.value[n][0], *rest) for d, n, *rest in index.find([x[1:] for x in held])] if held else []
+                got = [(held[d][0], ids[n], *rest) for d, n, *rest in index.find([x[1:] for x in held])] if held else []
                 held.clear()
                 if got:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names)
 
             for batch in batches:
                 for i, _, data, at in steps(batch.column(1)):
                     h, _, row = words(data, at, LETTERS)
-                    hits = index.hits(h)
-                    owner = np.searchsorted(row, hits, "right") - 1
-                    hits, owner = (x[hits + Q <= row[owner + 1]] for x in (hits, owner))
-                    for r in np.unique(owner).tolist():
-                        own = hits[owner == r] - row[r]
-                        if index.dense(own):
-                            held.append((batch.column(0)[i + r].as_py(), h[row[r] : row[r + 1]].copy(), own))
+                    own: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
+                    for q, hits in index.hits(h).items():
+                        owner = np.searchsorted(row, hits, "right") - 1
+                        hits, owner = (x[hits + q <= row[owner + 1]] for x in (hits, owner))
+                        found, cuts = np.unique(owner, return_index=True)
+                        for r, x in zip(found.tolist(), np.split(hits, cuts[1:]), strict=False):
+                            own[r][q] = x - row[r]
+                    for r, at_q in sorted(own.items()):
+                        at_q = {q: at_q.get(q, np.zeros(0, np.int64)) for q in index.runs}
+                        if index.dense(at_q):
+                            held.append((batch.column(0)[i + r].as_py(), h[row[r] : row[r + 1]].copy(), at_q))
                             if len(held) >= s.batch:
                                 yield from searched()
             yield from searched()

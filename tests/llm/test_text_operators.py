@@ -236,39 +236,49 @@ def test_edit_distance_to_any_run_of_words():
 
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
-    items = [(i, prose(rng, rng.randint(8, 45))) for i in range(12)]
+    items = [(i, prose(rng, n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 7, 7, 8, *(rng.randint(8, 45) for _ in range(10))])]
     rows, planted = [], set()
-    for d in range(150):
+    for d in range(240):
         w = prose(rng, rng.randint(0, 150)).split()
-        if d % 3 == 0:
-            i, t = items[rng.randrange(len(items))]
+        if d % 2 == 0:
+            i, t = items[d // 2 % len(items)]
             t = t.upper().split()
             for _ in range(rng.randint(0, len(t) * 15 // 100)):
                 p = rng.randrange(len(t))
                 t[p : p + rng.randint(0, 1)] = ["edited"] * rng.randint(0, 1)
             p = rng.randint(0, len(w))
             w[p:p] = t
-        rows.append((d, "\n".join([" ".join(w)])))
+        rows.append((d, " ".join(w)))
+    seven = next(t.split() for i, t in items if i == 6)
+    rows.append((240, " ".join(["intro", *seven[:3], "changed", *seven[4:], "outro", *seven])))  # the nearest of two places is the later one
+    rows.append((241, " ".join(["intro", *seven[:3], "changed", *seven[4:]])))
     lower = {i: t.lower().split() for i, t in items}
     for d, t in rows:
         for i, x in lower.items():
             if brute_distance(x, t.lower().split()) <= len(x) * 15 // 100:
                 planted.add((d, i))
-    for size in (8 << 20, 600):  # one slice and several
-        found = decontaminate.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), decontaminate.Search(slice_bytes=size)).collect()
-        got = {(r.doc_id, r.item_id) for r in found}
-        assert got <= planted and len(got) >= 0.95 * len(planted) and len(planted) > 40
-        texts = dict(rows)
-        for r in found:
-            run = texts[r.doc_id].lower().split()[r.first_word : r.last_word + 1]
-            assert brute_distance(lower[r.item_id], run) == r.distance
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for parts, search in ((1, {}), (50, {}), (3, {"slice_bytes": 600}), (1, {"batch": 1})):
+        found = decontaminate.contaminated(docs.repartition(parts), table, decontaminate.Search(**search)).collect()
+        seen.append(sorted(map(tuple, found)))
+    assert all(x == seen[0] for x in seen)  # neither partitions nor batches nor slices matter
+    got = {(r[0], r[1]) for r in seen[0]}
+    assert got <= planted and len(got) >= 0.95 * len(planted) and len(planted) > 100
+    assert {(d, i) for d, i in planted if len(lower[i]) <= 7} <= got
+    texts = dict(rows)
+    for d, i, distance, _, first, last in seen[0]:
+        cut = texts[d].lower().split()
+        assert brute_distance(lower[i], cut[first : last + 1]) == distance == brute_distance(lower[i], cut) or len(lower[i]) > 7
+    assert [r[2:] for r in seen[0] if r[:2] == (240, 6)] == [(0, 7, 9, 15)]
+    assert [r[2:] for r in seen[0] if r[:2] == (241, 6)] == [(1, 7, 1, 7)]
 
 
 def test_recall_at_the_greatest_distance():
     rng = np.random.default_rng(9)
     index = decontaminate.Index([(i, rng.integers(1, 2**62, int(n), dtype=np.uint64)) for i, n in enumerate(rng.integers(20, 50, 60))], decontaminate.Search())
     found = total = 0
-    for group in (g for *_, g, _, _ in index.sizes.values()):
+    for group in (g for *_, g, _, _, _ in index.sizes.values()):
         for key, x in group:
             y = x.copy()
             y[rng.choice(len(y), len(y) * 15 // 100, replace=False)] = rng.integers(1, 2**62)
@@ -282,7 +292,7 @@ def test_decontamination_of_odd_rows(spark, odd):
     item = odd.filter("doc_id = 4").select("text").first().text
     items = spark.createDataFrame([(1, " ".join(item.split()[10:40])), (2, None), (3, "one two"), (None, "word word word word word")], "item_id long, text string")
     rows = decontaminate.contaminated(odd, items).collect()
-    assert Counter((r.doc_id, r.item_id) for r in rows) == {(4, 1): 2, (None, 1): 1, (6, None): 1}
+    assert Counter((r.doc_id, r.item_id) for r in rows) == {(4, 1): 2, (None, 1): 1, (6, None): 1, (8, 3): 1, (9, 3): 1}
     assert decontaminate.contaminated(odd.limit(0), items).count() == 0
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
