@@ -17,14 +17,19 @@ from .common import bounded
 # Fixed values of the TIFF 6.0 format: tags, field type sizes, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+USED = frozenset((WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT))
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODE = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 
-def packbits_decode(data: bytes) -> bytes:
+#: Bytes of samples that a byte of a file stands for at most (deflate's and LZW's limits are below); a page that claims more is broken.
+MOST_RATIO = 1400
+
+
+def packbits_decode(data: bytes, most: int = 1 << 62) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         k = data[i]
         i += 1
         if k < 128:
@@ -54,13 +59,15 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; 256 clears the table, 257 ends; the width grows one code early."""
     out, table, width, held, bits, last = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9, 0, 0, None
     for byte in data:
         held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
         if bits < width:
             continue
+        if len(out) >= most:
+            break
         bits -= width
         code = held >> bits & ((1 << width) - 1)
         if code == 257:
@@ -73,7 +80,8 @@ def lzw_decode(data: bytes) -> bytes:
             entry = table[code]
         else:
             entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
+            if len(table) < 4096:
+                table.append(last + entry[:1])
         out += entry
         last = entry
         size = len(table) + 1
@@ -81,15 +89,16 @@ def lzw_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decompress(data: bytes, scheme: int) -> bytes:
+def decompress(data: bytes, scheme: int, most: int = 1 << 62) -> bytes:
+    """The data of a strip or tile, of which no more than `most` bytes are wanted."""
     if scheme == NONE:
         return data
     if scheme == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if scheme == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(1, min(most, 1 << 62)))
     raise ValueError(f"TIFF compression {scheme} is not supported")
 
 
@@ -103,12 +112,16 @@ class Directory:
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             size = TYPE_SIZE.get(kind, 1) * count
             where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-            if kind in TYPE_CODE:
+            if kind in TYPE_CODE and tag in USED and tag not in self.fields:
                 self.fields[tag] = struct.unpack_from(f"{order}{count}{TYPE_CODE[kind]}", data, where)
         (self.next,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
     def one(self, tag: int, default: int) -> int:
-        return self.fields[tag][0] if self.fields.get(tag) else default
+        """A field's value, the same for all samples."""
+        values = set(self.fields.get(tag) or (default,))
+        if len(values) != 1 or not isinstance(value := values.pop(), int):
+            raise ValueError(f"field {tag} has several values or none that is whole")
+        return value
 
 
 def directories(data: bytes) -> Iterator[Directory]:
@@ -126,7 +139,8 @@ def directories(data: bytes) -> Iterator[Directory]:
 def _undo(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
     """Rows of pixels of samples; horizontal differences are summed up again, floating point bytes are put together again."""
     if predictor == 2:
-        return np.cumsum(block, axis=1, dtype=block.dtype)
+        whole = block.view(f"{block.dtype.byteorder}u{block.dtype.itemsize}")
+        return np.cumsum(whole, axis=1, dtype=whole.dtype).astype(whole.dtype, copy=False).view(block.dtype)
     if predictor == 3:
         rows, columns, samples = block.shape
         size = block.dtype.itemsize
@@ -137,23 +151,32 @@ def _undo(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
 
 
 def page(d: Directory) -> np.ndarray:
-    """The samples of one page: height x width x samples, of 1, 2, 4 or 8 bytes each."""
+    """The samples of one page: height x width x samples, of 1, 2, 4 or 8 bytes each. ValueError where the directory can't be right."""
     f, width, height, samples = d.fields, d.one(WIDTH, 0), d.one(HEIGHT, 0), d.one(SAMPLES, 1)
-    bits, scheme, predictor = d.one(BITS, 1), d.one(COMPRESSION, NONE), d.one(PREDICTOR, 1)
-    if bits not in (8, 16, 32, 64):
-        raise ValueError(f"{bits} bits a sample are not supported")
-    kind = np.dtype(f"{d.order}{'f' if d.one(SAMPLE_FORMAT, 1) == 3 else 'u'}{bits // 8}")
+    bits, scheme, predictor, form = d.one(BITS, 1), d.one(COMPRESSION, NONE), d.one(PREDICTOR, 1), d.one(SAMPLE_FORMAT, 1)
+    if form not in (1, 2, 3) or bits not in ((16, 32, 64) if form == 3 else (8, 16, 32, 64)):
+        raise ValueError(f"{bits} bits a sample of format {form} are not supported")
+    if predictor not in (1, 2, 3) or (predictor == 3) > (form == 3):
+        raise ValueError(f"predictor {predictor} is not supported")
+    tiled = TILE_AT in f
+    w, h = (d.one(TILE_WIDTH, 0), d.one(TILE_HEIGHT, 0)) if tiled else (width, min(d.one(ROWS_PER_STRIP, height), height))
+    if min(width, height, samples, w, h) < 1:
+        raise ValueError(f"{width} x {height} pixels of {samples} samples in blocks of {w} x {h}")
+    kind = np.dtype(f"{d.order}{' uif'[form]}{bits // 8}")
     planes = samples if d.one(PLANAR, 1) == 2 else 1
     each = samples // planes
-    tiled = TILE_AT in f
-    w, h = (d.one(TILE_WIDTH, width), d.one(TILE_HEIGHT, height)) if tiled else (width, min(d.one(ROWS_PER_STRIP, height), height))
     across, down = -(-width // w), -(-height // h)
+    places, sizes = f[TILE_AT if tiled else STRIP_AT], f[TILE_BYTES if tiled else STRIP_BYTES]
+    if len(places) != len(sizes) or len(places) != across * down * planes:
+        raise ValueError(f"{across * down * planes} blocks are needed, {len(places)} are there")
+    if max(width * height * samples, w * h * each) * kind.itemsize > MOST_RATIO * len(d.data):
+        raise ValueError("the page is larger than its file's data can be")
     out = np.zeros((height, width, samples), kind)
-    for k, (at, size) in enumerate(zip(f[TILE_AT if tiled else STRIP_AT], f[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
+    for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
         plane, k = divmod(k, across * down)
         top, left = k // across * h, k % across * w
         rows = h if tiled else min(h, height - top)
-        raw = decompress(d.data[at : at + size], scheme)
+        raw = decompress(d.data[at : at + size], scheme, rows * w * each * kind.itemsize)
         block = np.frombuffer(raw, kind, rows * w * each).reshape(rows, w, each)
         block = _undo(block, predictor, d.order)[: height - top, : width - left]
         out[top : top + rows, left : left + w, plane * each : (plane + 1) * each] = block
@@ -222,7 +245,9 @@ def read_tiff(df: DataFrame, pixels: bool = True) -> DataFrame:
 
     Columns payload_* carry what has been read of the file up to this page (a running digest and the last 16 bytes), so a file's last page
     has the whole file's; pages are decoded one at a time. feature: of this and earlier pages' samples, mean and spread by channel and a
-    histogram of 8 bins, as whole numbers. A null or broken file is one row, page_no null and the reason in error.
+    histogram of 8 bins, as whole numbers. A null file is one row, page_no null and the reason in error; so is a broken one, after the pages
+    that could be read of it. A page is at most 1,400 times as large as its file; one that claims more is broken. Repeated rows each give
+    their pages; no rows give none.
     """
     bounded(df.sparkSession)
     added = PAGE + (", image binary" if pixels else "")
@@ -234,10 +259,10 @@ def read_tiff(df: DataFrame, pixels: bool = True) -> DataFrame:
         try:
             if data is None:
                 raise ValueError("no file")
-            found = list(directories(data))
+            count_of = sum(1 for _ in directories(data))
             digest, total, tail, media = hashlib.sha256(), 0, b"", hashlib.sha256(data).hexdigest()
             sums, squares, count, bins = np.zeros(0), np.zeros(0), 0, np.zeros(8, np.int64)
-            for k, d in enumerate(found):
+            for k, d in enumerate(directories(data)):
                 image = page(d)
                 raw = image.tobytes()
                 digest.update(raw)
@@ -250,8 +275,8 @@ def read_tiff(df: DataFrame, pixels: bool = True) -> DataFrame:
                 mean = sums / count
                 spread = np.sqrt(np.maximum(squares / count - mean**2, 0))
                 feature = f"mean={','.join(f'{x:.3f}' for x in mean)};sd={','.join(f'{x:.3f}' for x in spread)};hist={','.join(map(str, bins))}"
-                yield (k, len(found), image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, total, digest.hexdigest(), zlib.crc32(tail), len(data), media, feature, None, *([raw] if pixels else []))
-        except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
+                yield (k, count_of, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, total, digest.hexdigest(), zlib.crc32(tail), len(data), media, feature, None, *([raw] if pixels else []))
+        except (ValueError, KeyError, struct.error, zlib.error, IndexError, OverflowError) as e:
             yield (*[None] * 9, None if data is None else len(data), None, None, str(e)[:200], *([None] if pixels else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

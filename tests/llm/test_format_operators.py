@@ -284,6 +284,39 @@ def test_tiff_rows_and_broken_files(spark):
     assert media.read_tiff(df.limit(0)).count() == 0
 
 
+def with_field(data: bytes, tag: int, value: int, kind: int = 4) -> bytes:
+    """The file with a field of its first directory set to one value."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", out, 4)
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        if struct.unpack_from("<H", out, at + 2 + 12 * k)[0] == tag:
+            struct.pack_into("<HII", out, at + 4 + 12 * k, kind, 1, value)
+    return bytes(out)
+
+
+def test_impossible_directories_are_one_row_each(spark):
+    a = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    good, tiles = tiff([{"array": a, "compression": 8}]), tiff([{"array": a, "compression": 5, "tile": 16}])
+    bad = [with_field(good, t, v) for t in (256, 257, 258, 277, 278) for v in (0, 7, 2**31, 2**32 - 1) if (t, v) not in ((278, 7), (278, 2**31), (278, 2**32 - 1))]
+    bad += [with_field(tiles, t, v) for t in (322, 323) for v in (0, 2**31)] + [with_field(good, 259, 99), with_field(good, 317, 9), with_field(good, 317, 3), with_field(good, 273, 10**9)]
+    bomb = tiff([{"array": np.zeros((1000, 1000, 3), np.uint8), "compression": 8}])
+    bad.append(with_field(with_field(bomb, 256, 10), 257, 10))  # a readable page: only as many bytes are unpacked as it has
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad)], "id long, media binary")
+    rows = media.read_tiff(df).collect()
+    assert sorted(r.id for r in rows if r.page_no is None) == list(range(len(bad) - 1)) and len(rows) == len(bad)
+    for kind in (np.float32, np.int16):
+        image = np.linspace(-50, 50, 96).astype(kind).reshape(8, 4, 3)
+        raw = tiff([{"array": image, "compression": 8}])
+        # the sample format is the last field the writer lacks: planar (284) is 1 by default and gives its place to it
+        out = bytearray(raw)
+        (at,) = struct.unpack_from("<I", out, 4)
+        k = next(k for k in range(struct.unpack_from("<H", out, at)[0]) if struct.unpack_from("<H", out, at + 2 + 12 * k)[0] == 284)
+        struct.pack_into("<HHII", out, at + 2 + 12 * k, 339, 3, 1, 3 if kind is np.float32 else 2)
+        assert np.array_equal(media.page(next(media.directories(bytes(out)))), image)
+    assert media.packbits_decode(media.packbits_encode(b"")) == b"" == media.lzw_decode(b"")
+    assert len(media.decompress(zlib.compress(b"\0" * 10**7), 8, 100)) == 100
+
+
 def test_payloads_of_texts(spark):
     texts = [None, "", "a", "é" * 96, "x" * 192, "long é " * 300_000, "a"]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
