@@ -15,22 +15,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """For every line the shortest run of lines with min_words words that starts with it, and that which ends with it.
+    """For every line the shortest run of lines that starts with it and has min_words words: first and last (places of its ends), run (a hash of
+    its lines), fp (its fingerprint, the rightmost smallest line hash) and at (a hash of the fingerprint's place).
 
-    A run's fingerprint is its rightmost smallest line hash (fp; at: a hash of its place). run: a hash of all its lines, first and last: its ends.
-    Any passage of min_words words that two places share holds such a run whole, so both places select the same fingerprint in it.
+    Any passage of min_words words that two places share begins with such a run, so both places select the same fingerprint in it. next: places
+    and hashes of the lines after the run that the following line's run has; a match that goes on beyond them goes on in that run.
     """
     doc = Window.partitionBy("doc_id", "th")
-    whole = lines.withColumn("after", F.sum("nw").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("nw")).withColumn("total", F.sum("nw").over(doc))
-    out = []
-    for frame, enough in ((doc.orderBy("before").rangeBetween(0, min_words - 1), F.col("total") - F.col("before") >= min_words), (doc.orderBy("after").rangeBetween(1 - min_words, 0), F.col("after") >= min_words)):
-        found = whole.select("doc_id", "th", "pos", enough.alias("enough"), F.min(F.struct("h", -F.col("pos"))).over(frame).alias("least"), F.collect_list("h").over(frame).alias("run"), F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"))
-        out.append(found.filter("enough" if not out else "enough AND first < last"))
-    return out[0].unionByName(out[1]).select(
-        "doc_id", "th", "first", "last", F.col("least.h").alias("fp"), F.xxhash64("doc_id", "th", "least").alias("at"), F.xxhash64("run").alias("run"), F.xxhash64(F.lit(1), "run").alias("run2")
+    before = F.sum("nw").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("nw")
+    whole = lines.withColumn("before", before).withColumn("enough", F.sum("nw").over(doc) - F.col("before") >= min_words)
+    near = doc.orderBy("before").rangeBetween(0, min_words - 1)
+    found = whole.select("*", F.collect_list("h").over(near).alias("run"), F.collect_list("pos").over(near).alias("places"), F.min(F.struct("h", -F.col("pos"))).over(near).alias("least"))
+    following = lambda c: F.coalesce(F.lead(c).over(doc.orderBy("pos")), F.array().cast(found.schema[c].dataType))
+    beyond = lambda c: F.slice(c, F.size("run"), F.greatest(F.size(c) - F.size("run") + 1, F.lit(0)))
+    rows = found.select("*", following("run").alias("then"), following("places").alias("then_places")).filter("enough")
+    longer = F.transform(F.arrays_zip(beyond("then_places").alias("pos"), beyond("then").alias("h")), lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["h"]).alias("h")))
+    return rows.select(
+        "doc_id", "th", F.col("pos").alias("first"), F.element_at("places", -1).alias("last"), F.col("least.h").alias("fp"),
+        F.xxhash64("doc_id", "th", "least").alias("at"), F.xxhash64("run").alias("run"), longer.alias("next"),
     )
 
 
+def _later(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key occurs at an earlier place as well."""
+    place = F.struct("doc_id", "th", "first")
+    heads = written(rows.groupBy(*key).agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
+    return rows.join(heads, key).select("*", (~F.col("head").eqNullSafe(place)).alias("later"))
+
+
 def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text) and removed (places of the lines in later copies of a run of lines, from 0)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -40,41 +52,53 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = written(_windows(lines, min_words), "windows")
     # What is counted by fingerprint and by run is a table of its own, so that the joins may split what very many documents share.
     repeated = written(windows.groupBy("fp").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x <> y").select("fp"), "repeated")
-    candidates = written(windows.join(repeated, "fp", "left_semi").select("doc_id", "th", "first", "last", "run", "run2"), "windows")
-    place = F.struct("doc_id", "th", "first")
-    heads = written(candidates.groupBy("run", "run2").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
-    later = candidates.join(heads, ["run", "run2"]).filter(~F.col("head").eqNullSafe(place))
-    return later.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("removed"))
-
-
-def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns; text without later copies of runs of lines, and n_lines, n_removed (lines before, lines taken out).
+    candidates = written(windows.join(repeated, "fp", "left_semi").drop("at"), "windows")
+    # Positions of one fingerprint meet where their runs are alike: one row per position, never pairs.
+    matches = written(_later(candidates, ["fp", "run"]).drop("head"), "matches")
+    # Each match is extended: by every line that the runs' surroundings go on alike. To the left a longer match is the match of an earlier line.
+    prefix = lambda k: F.xxhash64("run", F.transform(F.slice("next", F.lit(1), k + 1), lambda x: x["h"]))
+    steps = F.transform("next", lambda x, k: F.struct(x["pos"].alias("to"), prefix(k).alias("longer")))
+    longer = matches.select("doc_id", "th", "first", "last", "fp", F.explode(steps).alias("x")).select("doc_id", "th", "first", "last", "fp", "x.*")
+    extended = _later(longer, ["fp", "longer"]).filter("later").select("doc_id", "th", "first", F.col("to").alias("last"))
+    gone = matches.filter("later").select("doc_id", "th", "first", "last").unionByName(extended)
+    # Of the runs from one line the longest counts; overlapping ones are joined before a document's places are listed.
+    runs = gone.groupBy("doc_id", "th", "first").agg(F.max("last").alias("last"))
+    reach = F.max("last").over(Window.partitionBy("doc_id", "th").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = runs.select("doc_id", "th", F.greatest("first", F.coalesce(reach + 1, F.lit(0))).alias("first"), "last").filter("first <= last")
+    return fresh.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.sequence("first", "last"))).alias("removed"))
+
+
+def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All rows and columns; text without later copies of runs of lines, and two counts: lines before, lines taken out.
 
     A run of consecutive lines (blank ones don't count) with min_words words or more in all that occurs earlier (in the order of doc_id, then
     of a hash of the text, then of place), in this or another document, is deleted as far as the two go on alike in both directions. What
     occurs first stays. Lines are equal if all their characters are.
 
-    Fingerprints (window minima) that occur at one place only are dropped first; the windows around the others are compared as a whole, and
-    neighbouring windows that are repeats join into the extended run. Copies meet by the hash of a window, never in pairs.
+    Each line's run of min_words words selects a fingerprint (its smallest line hash). Fingerprints at one place only are dropped; positions
+    of the others are joined where their runs are alike, and every match is extended line by line, so that a match ends where
+    no earlier place goes on. Copies meet by hashes of runs, never in pairs.
 
     Null texts stay null with 0 lines. Repeated rows (same id and text) are one document, and each row comes back with the same result;
-    rows with one id and several texts are several documents. Null ids come first. An empty table gives no rows. A column named n_lines or
-    n_removed is replaced.
+    rows with one id and several texts are several documents. Null ids come first. An empty table gives no rows. Columns with the names in
+    `counts` are replaced; all others are kept, whatever they are called.
     """
-    removed = written(repeated_lines(df, min_words).select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "removed"), "removed")
+    removed = written(repeated_lines(df, min_words), "removed")
     size = removed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("lines")).first()
     if size.docs <= BROADCAST_DOCS and size.lines <= BROADCAST_LINES:
         removed = F.broadcast(removed)
-    base = df.drop("n_lines", "n_removed")
+    base = df.drop(*counts)
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = base.withColumn("_th", th).join(removed, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("_th") == F.col("own_th")), "left")
-    split = F.split("text", "\n")
+    rows = base.select(F.struct(*(F.col(f"`{c}`") for c in base.columns)).alias("row"), th.alias("row_th"))
+    joined = rows.join(removed, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("row_th") == F.col("th")), "left")
+    split = F.split("row.text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed")), lambda i: F.get(split, i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.when(F.array_join(kept, "").rlike(WORD), F.array_join(kept, "\n")).otherwise(F.lit("")))
+    text = F.when(F.array_join(kept, "").rlike(WORD), F.array_join(kept, "\n")).otherwise(F.lit(""))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(text)
     return joined.select(
-        *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        *(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in base.columns),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(split)).cast("long").alias(counts[0]),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 

@@ -132,6 +132,22 @@ def test_line_dedup_against_brute_force(spark):
         assert out[i].text == (t if not want[i, t] else "\n".join(left) if "".join(left).strip() else "")
 
 
+def test_line_dedup_extends_matches_beyond_fingerprinted_runs(spark):
+    """A run of 6 words, first seen in document 1, goes on alike in documents 2 and 3 for less than another run; only the extension finds that."""
+    rows = [(1, "a b c\nd e f\nother"), (2, "x\na b c\nd e f\nlonger\n\nstill\nend"), (3, "y\na b c\nd e f\nlonger\nstill\nelse"), (4, "z w v u t s r\nlonger")]
+    out = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS), 6).collect()}
+    assert out == {1: rows[0][1], 2: "x\nlonger\n\nstill\nend", 3: "y\nelse", 4: rows[3][1]}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "\n".join(f"line {k} of some words here" for k in range(12))
+    names = ("removed", "own_id", "own_th", "_th", "th", "row", "row_th", "n_lines", "first", "head")
+    df = spark.createDataFrame([(1, text), (2, text)], DOCS).withColumns({c: F.lit(c) for c in names})
+    rows = lines.dedup_lines(df, counts=("lines before", "lines out")).collect()
+    assert {(r.doc_id, r.text != "", r["lines out"]) for r in rows} == {(1, True, 0), (2, False, 12)}
+    assert all(r[c] == c for r in rows for c in names)
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     out = lines.dedup_lines(odd)
     assert set(out.columns) == {*odd.columns, "n_removed"}
