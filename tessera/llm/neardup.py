@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import combinations
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -22,14 +23,13 @@ from .common import bounded, mix, shingle_sets, steps, written
 class Join:
     """words: words of a shingle; percent: two sets link when 100 * intersection >= percent * union.
 
-    parts: tile keys of a set in one band at most; chunk: rows of a tile's side; rounds: rounds in
-    which only best partners of different components meet, before the round that leaves out nothing; broadcast: ids that are broadcast at most (16 bytes each).
+    chunk: rows of a tile's side, and partners of a pivot in one group, about; rounds: rounds in which only best partners of different
+    components meet, before the round that leaves out nothing; broadcast: ids that are broadcast at most (16 bytes each).
     """
 
     words: int = 5
     percent: int = 80
-    parts: int = 40
-    chunk: int = 2048
+    chunk: int = 512
     rounds: int = 1
     broadcast: int = 500_000
 
@@ -42,14 +42,32 @@ def _bands() -> list[int]:
     return limits
 
 
+@lru_cache(maxsize=4096)
+def _cut(band: int, percent: int) -> tuple[int, int]:
+    """How many elements linked sets of a band differ in at most, and into how many parts the hash range is cut there.
+
+    More parts than differences: some are untouched. How many more: about as many as are empty by chance in the band's smallest sets.
+    """
+    limits = _bands()
+    most = (100 - percent) * (limits[band + 1] - 1) // percent
+    if most <= 8:
+        return most, most + 2
+    count = most + 1
+    for _ in range(3):
+        empty = count * exp(-limits[band] / count)
+        count = most + 2 + int(empty + 4 * sqrt(empty))
+    return most, count
+
+
 def tile_keys(u: np.ndarray, j: Join) -> np.ndarray:
-    """The tiles of a sorted set of 64-bit hashes.
+    """The tiles of a sorted set of 64-bit hashes. Any two sets that link, but are not equal, have a tile in common.
 
     A band holds sets whose smaller partner has a size within a factor of 1.5; a set is also in lower bands where a smaller partner may be.
-    Partners in a band differ in at most `most` elements. The hash range is cut into parts; a tile is a band, a part and the sum of the
-    elements in it. Up to 8 differences: two of most + 2 parts are always untouched, all pairs of parts are tiles. Up to parts - 4: at least
-    four of most + 4 parts are untouched, each is a tile. Beyond: each of the first `parts` of `most` parts is untouched with probability
-    1/e at least, so a pair at the very limit has no tile in common with a probability below (1 - 1/e)^parts, 1e-8 for 40.
+    Partners in a band differ in at most `most` elements. The hash range is cut into more parts than that, so some parts are the same in both; a
+    tile is a band, a part and the sum of the elements in it. Up to 8 differences two parts of most + 2 are the same, and all pairs of
+    parts are tiles, so that short sets have no tile that common phrases fill. Empty parts make no tile, but where a set has so many
+    that all unchanged parts might be empty; then the same holds for its partner, as these parts are empty in both. One difference: the
+    tiles are the set, and the set without each of its elements.
     """
     limits, n, out = _bands(), len(u), []
     own = bisect_right(limits, n) - 1
@@ -59,20 +77,24 @@ def tile_keys(u: np.ndarray, j: Join) -> np.ndarray:
         top = limits[band + 1] - 1
         if band < own and 100 * top < j.percent * n:
             break
-        most = (100 - j.percent) * top // j.percent
+        most, count = _cut(band, j.percent)
         if not most:
             continue
-        pairs = most <= 8
-        count = most + 2 if pairs else most + 4 if most + 4 <= j.parts else most
-        kept = count if count <= j.parts else j.parts
-        ends = np.searchsorted(high, ((np.arange(kept + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(count - 1)) // np.uint64(count))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole[: ends[-1]], dtype=np.uint64)])
-        signature = mix((total[ends[1:]] - total[ends[:-1]]) + mix(np.arange(kept, dtype=np.uint64) + np.uint64(band << 32)))
-        if pairs:
-            a, b = (np.array(x) for x in zip(*combinations(range(kept), 2), strict=True))
-            out.append(mix(signature[a] * np.uint64(3) + signature[b]))
+        if most == 1:
+            total = whole.sum(dtype=np.uint64)
+            out.append(mix(np.append(total - whole, total) + mix(np.array([band << 32], np.uint64))))
+            continue
+        ends = np.searchsorted(high, ((np.arange(count + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(count - 1)) // np.uint64(count))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole, dtype=np.uint64)])
+        signature = mix((total[ends[1:]] - total[ends[:-1]]) + mix(np.arange(count, dtype=np.uint64) + np.uint64(band << 32)))
+        filled = ends[1:] > ends[:-1]
+        if count - int(filled.sum()) >= count - most:
+            filled[:] = True
+        if most <= 8:
+            a, b = (np.array(x) for x in zip(*combinations(range(count), 2), strict=True))
+            out.append(mix(signature[a] * np.uint64(3) + signature[b])[filled[a] | filled[b]])
         else:
-            out.append(signature[ends[1:] > ends[:-1]])
+            out.append(signature[filled])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -108,7 +130,7 @@ def _sid(u: np.ndarray) -> int:
 
 
 def signatures(df: DataFrame, j: Join) -> DataFrame:
-    """doc_id, n (size of the set), sid (a hash of the set; null if empty), bits and keys of all rows."""
+    """doc_id, th (a hash of the text), n (size of the set), sid (a hash of the set; null if empty), bits and keys of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,31 +139,43 @@ def signatures(df: DataFrame, j: Join) -> DataFrame:
                 for u in shingle_sets(data, at, j.words):
                     rows.append((len(u), _sid(u), parity_bits(u).tobytes(), tile_keys(u, j).view(np.int64)) if len(u) else (0, None, None, None))
                 n, sid, bits, keys = zip(*rows, strict=True)
-                yield pa.record_batch([batch.column(0)[i:k], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "sid", "bits", "keys"])
+                made = [pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.record_batch([batch.column(0)[i:k], batch.column(2)[i:k], *made], ["doc_id", "th", "n", "sid", "bits", "keys"])
 
-    return df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, sid long, bits binary, keys array<long>")
+    return _texts(df).mapInArrow(run, "doc_id long, th long, n long, sid long, bits binary, keys array<long>")
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def _sets(df: DataFrame, nodes: DataFrame, j: Join) -> DataFrame:
-    """sid, n, bits, wide (8 bits an element) and set of the nodes (doc_id, sid): made anew from the text of one document each."""
+    """sid, n, bits, wide (8 bits an element) and set of the nodes (doc_id, th, sid): made anew from one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, at in steps(batch.column(0)):
-                rows = [(s, len(u), parity_bits(u).tobytes(), parity_bits(u, 8).tobytes(), u.tobytes()) for k, u in enumerate(shingle_sets(data, at, j.words)) if len(u) and (s := batch.column(1)[i + k].as_py()) == _sid(u)]
+                rows = []
+                for k, u in enumerate(shingle_sets(data, at, j.words)):
+                    if len(u) and (sid := batch.column(1)[i + k].as_py()) == _sid(u):
+                        rows.append((sid, len(u), parity_bits(u).tobytes(), parity_bits(u, 8).tobytes(), u.tobytes()))
                 if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["sid", "n", "bits", "wide", "set"])
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["sid", "n", "bits", "wide", "set"])
 
-    ids = nodes.select(F.col("doc_id").alias("node_doc"), "sid")
+    ids = nodes.select(F.col("doc_id").alias("node_doc"), F.col("th").alias("node_th"), "sid")
     if nodes.count() <= j.broadcast:
         ids = F.broadcast(ids)
-    texts = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, F.col("doc_id").eqNullSafe(F.col("node_doc"))).select(F.coalesce("text", F.lit("")).alias("text"), "sid")
+    texts = _texts(df).join(ids, F.col("doc_id").eqNullSafe(F.col("node_doc")) & (F.col("th") == F.col("node_th"))).select("text", "sid")
     return written(texts.mapInArrow(run, "sid long, n long, bits binary, wide binary, set binary").dropDuplicates(["sid"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
-    """The pairs (a, b) of sids whose sets link. a's set meets its partners in 32 salted groups, streamed in order; no group is held whole."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(32)).alias("salt"))
+    """The pairs (a, b) of sids whose sets link. a's set meets its partners in groups of about `chunk`, streamed in order; no group is held whole."""
+    pairs = written(pairs, "pairs")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / j.chunk).alias("groups"))
+    salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt"))
     partner = salted.join(sets, salted.b == sets.sid).select("a", "salt", F.lit(1).alias("role"), "b", "n", "bits", "set")
     heads = salted.select("a", "salt").distinct()
     head = heads.join(sets, heads.a == sets.sid).select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "n", "bits", "set")
@@ -171,12 +205,10 @@ def _crossing(members: DataFrame, j: Join, best: bool) -> DataFrame:
     """Pairs of sids in a common tile, of different components so far, that the bitmaps don't rule out; best: in a tile only
     each sid's best partner, that with the fewest differing bits for their sizes.
 
-    A tile with more than `chunk` rows is cut into chunks, and each pair of chunks is a task's unit of its own. Only pairs that may link leave.
+    A tile is cut into `chunks` by a hash of sid, and each pair of chunks is a task's unit of its own. Only pairs that may link leave.
     """
-    place = Window.partitionBy("key").orderBy("comp", "sid")
-    chunked = members.withColumn("chunk", F.floor((F.row_number().over(place) - 1) / j.chunk).cast("int"))
-    chunks = chunked.groupBy("key").agg(F.max("chunk").alias("last"))
-    tiles = chunked.join(chunks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    chunked = members.withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int"))
+    tiles = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
     tiles = tiles.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sid", "comp", "n", "bits")
 
     def within(chunk, sid, comp, n, bits) -> Iterator[tuple[int, int]]:
@@ -237,19 +269,26 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
 
     Equal sets are one node. Each node is first compared with one pivot, that with which it shares most tiles; what links is one component.
     Then only tiles that hold several components are looked into: in a round each node meets its best partner in each tile, and at
-    last each pair across components that bitmaps of eight bits an element allow is checked exactly. So a group of copies costs a check per text, and no pair is left out (see tile_keys for the probability).
+    last each pair across components that bitmaps of eight bits an element allow is checked exactly. So a group of copies costs a check per
+    text, and no pair is left out. Sets are named by 64-bit hashes.
+
+    A tile that very many sets of different components share (a passage in otherwise different texts of one size) is compared by bitmaps,
+    chunk by chunk over all tasks; that grows with the square of its sets.
 
     Null or blank texts have an empty set and link with nothing: their component is their own id. Null ids are the largest. Rows that share an
     id are rows of their own. Texts of any length are taken whole; other columns are not looked at; no rows give no rows.
     """
     bounded(df.sparkSession)
     all_rows = written(signatures(df, j), "signatures")
-    nodes = all_rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys"))
-    first = F.first("sid").over(Window.partitionBy("key").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    tiles = written(nodes.select("sid", F.explode("keys").alias("key")).withColumn("pivot", first).filter("sid <> pivot"), "tiles")
+    nodes = written(all_rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys")), "nodes")
+    placed = nodes.select("sid", F.explode("keys").alias("key"))
+    # A tile's pivot is its least sid: an aggregate that combines before the shuffle, and a join that may split what very many sets share.
+    pivots = written(placed.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("other")).filter("pivot < other").drop("other"), "pivots")
+    tiles = written(placed.join(pivots, "key").filter("sid <> pivot"), "tiles")
 
     shared = tiles.select("sid").union(tiles.select("pivot")).distinct()
-    sources = written(all_rows.select("sid", "doc_id").join(shared, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    owners = all_rows.select("sid", "doc_id", "th").join(shared, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("own"))
+    sources = written(owners.select("sid", "own.doc_id", "own.th"), "owners")
     sets = _sets(df, sources, j)
 
     stars = tiles.groupBy("sid", "pivot").count().groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a")).select("a", F.col("sid").alias("b"))
@@ -259,8 +298,8 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
         last = k == j.rounds
         roots = components(links)
         placed = members.select("key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-        members = written(placed.join(mixed, "key", "left_semi"), "members")
+        tile = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / j.chunk).alias("chunks"))
+        members = written(placed.join(tile.filter("x < y").select("key", "chunks"), "key"), "members")
         bits = sets.select("sid", "n", F.col("wide" if last else "bits").alias("bits"))
         links = links.union(_verified(_crossing(members.join(bits, "sid"), j, best=not last), sets, j))
     roots = written(components(links), "roots")

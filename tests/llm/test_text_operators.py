@@ -203,19 +203,39 @@ def test_jaccard_join_against_brute_force(spark, k, percent):
 
 
 def test_tiles_of_linked_sets_always_meet():
+    """Random pairs at every distance up to the limit, and pairs whose elements crowd in a few parts, so that many are empty."""
     rng = np.random.default_rng(1)
-    j = neardup.Join(words=4, percent=85)
-    for n in [2, 5, 6, 7, 12, 30, 47, 52, 90, 200, 201, 700, 3000]:
-        for _ in range(15):
-            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            drop = int(n * 0.15 * rng.random())
-            more = int((n - drop) / 0.85 - n) if n > drop else 0
-            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, max(0, more), dtype=np.uint64)]))
-            if neardup.linked(a, b, 85) and not np.array_equal(a, b):
-                assert np.intersect1d(neardup.tile_keys(a, j), neardup.tile_keys(b, j)).size
-                x, y = neardup.parity_bits(a), neardup.parity_bits(b)
-                size = min(len(x), len(y))
-                assert neardup.may_link(len(a), len(b), int(np.bitwise_count(neardup.fold(x, size) ^ neardup.fold(y, size)).sum()), 85)
+    checked = 0
+    for percent in (80, 85):
+        j = neardup.Join(words=4, percent=percent)
+        for n in [4, 5, 6, 7, 9, 12, 13, 17, 18, 30, 47, 52, 90, 200, 201, 700, 3000]:
+            for k in range(30):
+                wide = 2**64 if k % 3 else 2 ** int(rng.integers(58, 64))
+                a = np.unique(rng.integers(0, wide, n, dtype=np.uint64))
+                drop = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+                more = int((n - drop) * 100 / percent - n)
+                b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, wide, max(0, more), dtype=np.uint64)]))
+                if neardup.linked(a, b, percent) and not np.array_equal(a, b):
+                    checked += 1
+                    assert np.intersect1d(neardup.tile_keys(a, j), neardup.tile_keys(b, j)).size
+                    x, y = neardup.parity_bits(a), neardup.parity_bits(b)
+                    size = min(len(x), len(y))
+                    assert neardup.may_link(len(a), len(b), int(np.bitwise_count(neardup.fold(x, size) ^ neardup.fold(y, size)).sum()), percent)
+    assert checked > 600
+
+
+def test_jaccard_join_of_rows_without_id_and_of_hot_tiles(spark):
+    """Many different texts with one id or none, near copies of one text (one hot tile), and one passage in texts that do not link."""
+    rng = random.Random(6)
+    base, passage = prose(rng, 60).split(), prose(rng, 40)
+    rows: list[tuple] = [(None if k % 2 else 7, f"{prose(rng, 30)} {k}") for k in range(60)]
+    near = [" ".join([*base[:20], f"x{k}", *base[21:]]) for k in range(150)]
+    rows += [(100 + k, t) for k, t in enumerate(near)] + [(300 + k, f"{passage} {prose(rng, 25)}") for k in range(60)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), neardup.Join(chunk=16)).collect()
+    want = brute_groups([(i, t) for i, t in rows if i is not None and i >= 100], 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id and r.doc_id >= 100} == want
+    assert Counter((r.doc_id, r.component_id) for r in got if r.doc_id in (None, 7)) == {(None, None): 30, (7, 7): 30}
+    assert len({c for i, (_, c) in want.items() if i < 300}) == 1 and len({c for i, (_, c) in want.items() if i >= 300}) == 60
 
 
 def test_jaccard_join_of_odd_rows(spark, odd):
