@@ -4,90 +4,97 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch, steps
-from .tokens import default_path, token_ids
-
-#: Ids are below this; the last one stands for a text's start.
-WIDE = 1 << 16
-START = WIDE - 1
+from .common import bounded, written
+from .tokens import default_path, token_ids, vocabulary_size
 
 
 @dataclass(frozen=True)
 class Models:
     """Both models have this order (2), smoothing and vocabulary. mu: weight of the unigram model in a bigram's; alpha: added to unigram counts.
 
-    held: distinct bigrams that a counting task holds before it passes them on; slice_rows: bigrams that a scoring task holds at once;
-    broadcast: ids of target documents that are broadcast at most (8 bytes each), more are joined by a shuffle;
-    step_bytes: text that is tokenized and looked up at once.
+    part_tokens: tokens of a part, the unit in which bigrams are counted and texts scored (a longer text is a part of its own);
+    broadcast: ids of target documents that are broadcast at most (8 bytes each), more are joined by a shuffle.
     """
 
     mu: float = 20.0
     alpha: float = 0.1
-    held: int = 2_000_000
-    slice_rows: int = 4_000_000
+    part_tokens: int = 4_000_000
     broadcast: int = 500_000
-    step_bytes: int = 2 << 20
 
 
-def _pairs(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of all texts as history * 65536 + token, and how many each text has (one a token)."""
-    ids = [token_ids(t, path) for t in texts]
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    if len(flat) and flat.max() >= START:
-        raise ValueError(f"token ids of {START} and more are not supported")
-    history = np.concatenate([np.full(1, START, np.uint32), flat[:-1]]) if len(flat) else flat
+def tokenized(docs: DataFrame, path: str, m: Models) -> DataFrame:
+    """part, doc_id, is_target and ids (the tokenizer's, as 2 or 4 bytes each) of all rows, in the shared folder: texts are tokenized once."""
+    kind = _kind(path)
+    names = ["part", "doc_id", "is_target", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                ids = token_ids(text or "", path)
+                if held and held + len(ids) > m.part_tokens:
+                    part, held = part + 1, 0
+                held += len(ids)
+                rows.append((part, ids.astype(kind).tobytes()))
+            parts, ids = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.record_batch([pa.array(parts, pa.int64()), batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names)
+
+    return written(docs.mapInArrow(run, "part long, doc_id long, is_target boolean, ids binary"), "tokens")
+
+
+def _kind(path: str) -> str:
+    return "<u2" if vocabulary_size(path) < 1 << 16 else "<u4"
+
+
+def _bigrams(ids: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of all rows as history * 2^32 + token, and how many each row has (one a token). The vocabulary's size stands for a start."""
+    each = [np.frombuffer(x.as_buffer(), _kind(path)) for x in ids]
+    sizes = np.array([len(x) for x in each], np.int64)
+    flat = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+    history = np.concatenate([np.zeros(1, np.int64), flat[:-1]]) if len(flat) else flat
     begins = np.cumsum(sizes) - sizes
-    history[begins[sizes > 0]] = START
-    return history.astype(np.int64) << 16 | flat.astype(np.int64), sizes
+    history[begins[sizes > 0]] = vocabulary_size(path)
+    return history << 32 | flat, sizes
 
 
-def count(df: DataFrame, path: str, m: Models) -> DataFrame:
-    """key (bigram), t and b: how often it occurs in target documents (column is_target) and in all documents. Tasks add up what they read first."""
-    schema = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("b", pa.int64())])
+def count(tokens: DataFrame, path: str) -> DataFrame:
+    """part, key (bigram), t and b: how often it occurs in target documents and in all documents of a part."""
+    schema = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("t", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (np.zeros(0, np.int64),) * 3
+        held: tuple = ()
+        own = None
 
-        def merged(key, t, b) -> tuple:
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, t, len(key)).astype(np.int64), np.bincount(at, b, len(key)).astype(np.int64)
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(held[0]), own)), *(pa.array(x) for x in held)], schema)
 
         for batch in batches:
-            for i, j, _, _ in steps(batch.column(0), m.step_bytes):
-                key, sizes = _pairs([x or "" for x in batch.column(0)[i:j].to_pylist()], path)
-                own = np.repeat(batch.column(1)[i:j].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-                part = merged(key, own, np.ones(len(key), np.int64))
-                held = merged(*(np.concatenate(x) for x in zip(held, part, strict=True)))
-                if len(held[0]) > m.held:
-                    yield pa.record_batch([pa.array(x) for x in held], schema)
-                    held = (np.zeros(0, np.int64),) * 3
-        if len(held[0]):
-            yield pa.record_batch([pa.array(x) for x in held], schema)
-
-    parts = df.select(F.col("text").cast("string"), "is_target").mapInArrow(run, "key long, t long, b long")
-    return parts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-@lru_cache(maxsize=1)
-def _slice(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A slice of the model from the shared folder, sorted by key."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, where = fs.FileSystem.from_uri(uri)
-    files = [f.path for f in store.get_file_info(fs.FileSelector(where, allow_not_found=True)) if f.base_name.endswith(".parquet")]
-    table = pa.concat_tables([pq.read_table(f, columns=["key", "t", "b"], filesystem=store) for f in files]) if files else pa.table({c: pa.array([], pa.int64()) for c in "ktb"})
-    key, t, b = (c.to_numpy() for c in table.columns)
-    order = np.argsort(key)
-    return key[order], t[order].astype(np.float32), b[order].astype(np.float32)
+            parts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if own is not None and own != parts[i] and held:
+                    yield out()
+                    held = ()
+                own = parts[i]
+                key, sizes = _bigrams(batch.column(2)[i:j], path)
+                target = np.repeat(batch.column(1)[i:j].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+                key, t, b = (np.concatenate(x) for x in zip(held, (key, target, np.ones(len(key), np.int64)), strict=True)) if held else (key, target, np.ones(len(key), np.int64))
+                key, at = np.unique(key, return_inverse=True)
+                held = key, np.bincount(at, t, len(key)).astype(np.int64), np.bincount(at, b, len(key)).astype(np.int64)
+        if held:
+            yield out()
+
+    return written(tokens.select("part", "is_target", "ids").mapInArrow(run, "part long, key long, t long, b long"), "counts")
 
 
 def cross_entropy_difference(df: DataFrame, targets: DataFrame, tokenizer: str | None = None, m: Models = Models()) -> DataFrame:
@@ -97,9 +104,12 @@ def cross_entropy_difference(df: DataFrame, targets: DataFrame, tokenizer: str |
     tokenizer's ids that occur at all, smoothed alike by their unigram models. A document's own bigrams are left out of both models' counts
     while it is scored, so target documents have no advantage from having been counted.
 
-    The counts are a shuffled table in the shared folder, in slices of bounded size; scoring tasks read one slice after another. Only unigram
-    counts, bounded by the tokenizer's vocabulary, pass through the driver. Null and empty texts have no tokens and score 0; null ids are
-    never targets; repeated rows count and are scored as often as they occur; an empty table gives no rows. Longer texts only take longer.
+    Texts are tokenized once and cut into parts of bounded size. A part's bigrams are counted in its task, added up over all parts by key, and
+    joined back to the parts that have them: a part is scored with those rows of the model that it needs, which come sorted before its
+    texts. Only unigram counts, bounded by the tokenizer's vocabulary, pass through the driver.
+
+    Null and empty texts have no tokens and score 0; null ids are never targets; repeated rows count and are scored as often as they occur;
+    other columns are not looked at; an empty table gives no rows. A longer text only takes longer; its ids are held by one task.
     """
     spark = df.sparkSession
     bounded(spark)
@@ -107,57 +117,63 @@ def cross_entropy_difference(df: DataFrame, targets: DataFrame, tokenizer: str |
     ids = targets.select(F.col("doc_id").cast("long").alias("target_id")).filter("target_id IS NOT NULL").distinct()
     if ids.count() <= m.broadcast:
         ids = F.broadcast(ids)
-    docs = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("is_target"))
-
-    whole = scratch(spark, "bigrams")
-    count(docs, path, m).write.parquet(whole)
-    model = spark.read.parquet(whole)
-    slices = 1 + model.count() // m.slice_rows
-    token, history = F.col("key").bitwiseAND(WIDE - 1), F.shiftright("key", 16)
-    folder = whole
-    if slices > 1:
-        folder = scratch(spark, "bigram-slices")
-        model.withColumn("slice", F.pmod(history, F.lit(slices))).repartition("slice").write.partitionBy("slice").parquet(folder)
-    one, over = ({c: np.zeros(WIDE) for c in "tb"} for _ in range(2))
-    for into, by in ((one, token), (over, history)):
+    docs = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, F.col("doc_id") == F.col("target_id"), "left")
+    tokens = tokenized(docs.select("doc_id", "text", F.col("target_id").isNotNull().alias("is_target")), path, m)
+    counts = count(tokens, path)
+    model = written(counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "bigrams")
+
+    size = vocabulary_size(path) + 1
+    one, over = ({c: np.zeros(size) for c in "tb"} for _ in range(2))
+    for into, by in ((one, F.col("key").bitwiseAND((1 << 32) - 1)), (over, F.shiftright("key", 32))):
         for r in model.groupBy(by.alias("k")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).collect():
             into["t"][r.k], into["b"][r.k] = r.t, r.b
     vocabulary = max(1, int((one["b"] > 0).sum()))
     base = {c: (one[c] + m.alpha) / (one[c].sum() + m.alpha * vocabulary) for c in "tb"}
     shared = spark.sparkContext.broadcast((base, over))
 
+    needed = counts.select("part", "key").join(model, "key").select("part", F.lit(0).alias("role"), "key", "t", "b")
+    texts = tokens.select("part", F.lit(1).alias("role"), "doc_id", "is_target", "ids")
+    rows = needed.unionByName(texts, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "role")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, over = shared.value
+        own, pieces, known, found = None, [], np.zeros(0, np.int64), {}
         for batch in batches:
-            for i, j, _, _ in steps(batch.column(1), m.step_bytes):
-                part = batch.slice(i, j - i)
-                key, sizes = _pairs([x or "" for x in part.column(1).to_pylist()], path)
-                target = part.column(2).to_numpy(zero_copy_only=False)
-                found = {c: np.zeros(len(key), np.float32) for c in "tb"}
-                history, token = key >> 16, key & (WIDE - 1)
-                for k in range(slices):
-                    known, *counts = _slice(folder if slices == 1 else f"{folder}/slice={k}")
-                    mine = slice(None) if slices == 1 else np.flatnonzero(history % slices == k)
-                    wanted = key[mine]
-                    at = np.searchsorted(known, wanted)
-                    at[at == len(known)] = 0
-                    hit = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
-                    for c, n in zip("tb", counts, strict=True):
-                        found[c][mine] = np.where(hit, n[at] if len(known) else 0, 0)
+            part, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(role) != 0)) + 1).tolist(), len(part)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if part[i] != own:
+                    own, pieces, known, found = part[i], [], np.zeros(0, np.int64), {}
+                if role[i] == 0:
+                    pieces.append([batch.column(k)[i:j].to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3, 4)])
+                    continue
+                if pieces:
+                    known, t, b = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                    order = np.argsort(known)
+                    known, found, pieces = known[order], {"t": t[order], "b": b[order]}, []
+                key, sizes = _bigrams(batch.column(7)[i:j], path)
+                target = batch.column(6)[i:j].to_numpy(zero_copy_only=False).astype(bool)
+                at = np.searchsorted(known, key)
+                history, token = key >> 32, key & ((1 << 32) - 1)
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                own = []
-                for x in (key, history):
-                    _, at, n = np.unique(row << 32 | x, return_inverse=True, return_counts=True)
-                    own.append(n[at])
+                own_counts = []
+                for x in (at, history):
+                    _, place, n = np.unique(row << 32 | x, return_inverse=True, return_counts=True)
+                    own_counts.append(n[place])
                 loss = {}
                 for c in "tb":
                     less = np.repeat(target, sizes) if c == "t" else True
-                    top = found[c] - np.where(less, own[0], 0) + m.mu * base[c][token]
-                    value = -np.log(top / (over[c][history] - np.where(less, own[1], 0) + m.mu))
+                    counted = found[c][at] if len(key) else np.zeros(0)
+                    top = counted - np.where(less, own_counts[0], 0) + m.mu * base[c][token]
+                    value = -np.log(top / (over[c][history] - np.where(less, own_counts[1], 0) + m.mu))
                     loss[c] = np.round(np.bincount(row, value, len(sizes)) / np.maximum(sizes, 1), 6)
-                yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(loss["t"]), pa.array(loss["b"]), pa.array(np.round(loss["t"] - loss["b"], 6))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                losses = [pa.array(x) for x in (loss["t"], loss["b"], np.round(loss["t"] - loss["b"], 6))]
+                yield pa.record_batch([batch.column(5)[i:j], pa.array(sizes), *losses], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    columns = rows.select("part", "role", "key", "t", "b", "doc_id", "is_target", "ids")
+    return columns.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def default_path() -> str:
 
 @lru_cache(maxsize=4)
 def _loaded(path: str):
-    """The tokenizer file, its special strings, and (if a rank file of the same vocabulary lies beside it) a faster encoder."""
+    """The tokenizer file, its special strings, a faster encoder (if a rank file of the same vocabulary lies beside it), and the ids' number."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
@@ -29,7 +29,12 @@ def _loaded(path: str):
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.read_bytes().splitlines() if line)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, special, fast
+    return slow, special, fast, 1 + max(slow.get_vocab(with_added_tokens=True).values())
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of the tokenizer file."""
+    return _loaded(path)[3]
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
@@ -37,12 +42,11 @@ def token_ids(text: str, path: str) -> np.ndarray:
 
     A text that holds a special token's own string, or that the faster encoder can't take, goes through the file's tokenizer itself.
     """
-    slow, special, fast = _loaded(path)
+    slow, special, fast, _ = _loaded(path)
     if fast is not None and not any(s in text for s in special):
         try:
             return fast.encode_to_numpy(text, disallowed_special=())
-        except (KeyboardInterrupt, SystemExit):
-            raise
-        except BaseException:  # noqa: BLE001  the encoder's regex gives up with a panic on some very long runs
-            pass
+        except BaseException as e:  # noqa: BLE001  the encoder's regex gives up on some very long runs by a panic, which is no Exception
+            if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
+                raise
     return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -341,12 +341,12 @@ def test_scores_against_brute_force(spark):
     rows = [(i, prose(rng, rng.randint(1, 25)) if i % 3 else "la la " * rng.randint(1, 9)) for i in range(40)]
     targets = {i for i in range(40) if i % 3 == 0 and i % 2 == 0}
     path, m = default_path(), lmscore.Models()
-    ids = {i: [lmscore.START, *token_ids(t, path).tolist()] for i, t in rows}
+    ids = {i: [-1, *token_ids(t, path).tolist()] for i, t in rows}
     pair = {c: Counter() for c in "tb"}
     for i, x in ids.items():
         for c in "tb" if i in targets else "b":
             pair[c].update(zip(x, x[1:], strict=False))
-    for rows_held in (lmscore.Models(), lmscore.Models(slice_rows=50, held=20)):
+    for rows_held in (lmscore.Models(), lmscore.Models(part_tokens=30)):
         got = {r.doc_id: r for r in lmscore.cross_entropy_difference(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i,) for i in targets], "doc_id long"), m=rows_held).collect()}
         for i, x in ids.items():
             loss = {}
