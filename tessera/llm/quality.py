@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, bounded, mix, steps, words
+from .common import SPACE, bounded, mix, steps, words, written
 
 PASSAGE, BINS, DENSE = 64, 32, 13
 FEATURES = DENSE + BINS
@@ -71,10 +71,11 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents that are learnt from at most; bag: passages of one of them at most (scores use all passages)."""
+    """sample: labelled documents that are learnt from at most; passages: passages that these may have in all. Documents are taken in the order
+    of a hash of their ids, each with all its passages; one that would go beyond the bound is passed over."""
 
     sample: int = 4000
-    bag: int = 64
+    passages: int = 60_000
     hidden: int = 24
     attention: int = 12
     rounds: int = 300
@@ -147,23 +148,33 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), usable: Column | None = None) -> Model:
     """Learns from the labels (doc_id, quality) of documents that `usable` admits; default: crc32(doc_id) mod 5 is not 0.
 
-    A bounded sample (s.sample documents, by a hash of the id) is encoded by tasks; only passage features come to the driver. Several labels
-    of a document count as the largest, several rows of it as the one with the smallest text. No labels, or one class: a constant score.
+    A bounded sample (see Settings) is encoded by tasks; only passage features come to the driver. Several labels of a document count as the
+    largest, several rows of it as the one with the smallest text. Null ids and labels are not used; other columns are not looked at. No
+    labels, no documents or one class only: a constant score.
     """
     bounded(docs.sparkSession)
     usable = remainder(F.col("doc_id")) != 0 if usable is None else usable
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & usable).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
+    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & usable).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
     sample = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in steps(batch.column(2)):
                 x, first = passages(data, at)
-                bags = [x[a:b][np.unique(np.linspace(0, b - a - 1, min(b - a, s.bag)).astype(int))].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"])
-
-    got = sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id long, quality int, bag binary").collect()
-    got.sort(key=lambda r: r.doc_id)
+                bags = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                columns = [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(first)), pa.array(bags, pa.binary())]
+                yield pa.record_batch(columns, ["doc_id", "quality", "size", "bag"])
+
+    rows = sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text")
+    bags = written(rows.mapInArrow(run, "doc_id long, quality int, size long, bag binary"), "bags")
+    room, taken = s.passages, []
+    for r in bags.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.size <= room:
+            room -= r.size
+            taken.append((r.doc_id,))
+    fitting = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long"))
+    got = sorted(bags.join(fitting, "doc_id").collect(), key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in got], np.array([float(r.quality > 0) for r in got]), s)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -76,6 +77,51 @@ def test_quality_without_usable_labels_is_constant(spark):
     assert {r.score for r in quality.score(docs, quality.train(docs, one)).collect()} == {1.0}
 
 
+def test_quality_takes_whole_documents_within_its_bound(spark, monkeypatch):
+    """All passages of a document are learnt from, or none, and its columns' names don't matter."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels, s: seen.append([len(b) for b in bags]))
+    docs = spark.createDataFrame([(i, "word " * (64 * (i % 5 * 40 + 1))) for i in range(40)], DOCS).withColumn("quality", F.lit("x")).withColumn("size", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for bound in (100_000, 500):
+        quality.train(docs.drop("quality"), labels, quality.Settings(passages=bound))
+    assert sum(seen[0]) > 1000 and max(seen[0]) == 161 and 300 < sum(seen[1]) <= 500 and set(seen[1]) <= {1, 41, 81, 121, 161}
+    quality.train(docs, labels)
+    assert seen[2] == seen[0]
+    assert quality.train(docs.limit(0), labels) is None and seen[3] == []
+
+
+def brute_scores(model, texts: list[str]) -> list[float]:
+    """Encoder, attention and classifier word by word and passage by passage in plain Python."""
+    w, out = model.weights, []
+    for t in texts:
+        raw, logits = [], []
+        x, first = next((quality.passages(d, at) for _, _, d, at in steps(pa.array([t]))))
+        assert first.tolist() == [0, max(1, -(-len(t.split()) // 64))]
+        for row in x:
+            v = [max(-6.0, min(6.0, (float(a) - float(b)) / float(c))) for a, b, c in zip(row, model.mean, model.spread, strict=True)]
+            h = [math.tanh(sum(a * w["W"][k][i] for k, a in enumerate(v)) + w["b"][i]) for i in range(len(w["b"]))]
+            gate = [math.tanh(sum(a * w["V"][k][i] for k, a in enumerate(h))) / (1 + math.exp(-sum(a * w["U"][k][i] for k, a in enumerate(h)))) for i in range(len(w["a"]))]
+            raw.append(h)
+            logits.append(sum(a * b for a, b in zip(gate, w["a"], strict=True)))
+        e = [math.exp(a - max(logits)) for a in logits]
+        z = [sum(a / sum(e) * h[i] for a, h in zip(e, raw, strict=True)) for i in range(len(w["c"]))]
+        out.append(1 / (1 + math.exp(-sum(a * b for a, b in zip(z, w["c"], strict=True)) - w["d"][0])))
+    return out
+
+
+def test_quality_scores_against_brute_force_and_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = quality.score(docs.select("doc_id", "text"), model, "s").collect()
+    for r, want in zip(got[:25], brute_scores(model, [r.text or "" for r in got[:25]]), strict=True):
+        assert r.s == pytest.approx(want, abs=1e-5)
+    true = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(r.s >= quality.THRESHOLD) == bool(true[r.doc_id]) for r in got if r.doc_id in true and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 50 and np.mean(held) > 0.9
+
+
 def test_gradient_of_the_attention_model():
     rng = np.random.default_rng(0)
     bags = [rng.random((n, quality.FEATURES), np.float32) for n in (1, 3, 2, 4)]
