@@ -404,22 +404,43 @@ def check_pieces(rows, ids: dict, limits: packing.Limits) -> None:
 
 def test_packing_keeps_all_ids_and_limits(spark):
     rng = random.Random(0)
-    texts = [None, "", "a", "<|endoftext|> b", *(" ".join(rng.choice(["alpha", "be", "ta, ", "x1"]) for _ in range(int(rng.paretovariate(0.7)) % 4000 + 1)) for _ in range(400))]
-    df = spark.createDataFrame([(i, t, rng.randint(0, 40)) for i, t in enumerate(texts)], DOCS + ", prompt_tokens int").coalesce(2)
+    texts = [None, "", "a", "<|endoftext|> b", *(" ".join(rng.choice(["alpha", "be", "ta, ", "x1\n"]) for _ in range(int(rng.paretovariate(0.7)) % 4000 + 1)) for _ in range(400))]
+    df = spark.createDataFrame([(i, t, rng.randint(0, 40)) for i, t in enumerate(texts)], DOCS + ", chars int").coalesce(2)
     ids = {i: np.append(token_ids(t or "", default_path()), np.uint32(0)) for i, t in enumerate(texts)}
-    rows = packing.pack(df.drop("prompt_tokens").withColumn("start", F.lit("clash"))).collect()
+    rows = packing.pack(df.withColumn("start", F.lit("clash")).withColumn("prompt_tokens", F.lit("clash"))).collect()
     check_pieces(rows, ids, packing.Limits())
     bins = defaultdict(list)
     for r in rows:
         bins[r.sequence_id].append(r.length)
     assert sum(sum(b) < 1024 and len(b) < 256 for b in bins.values()) <= 2  # one a task
-    tight = packing.Limits(tokens=256, segments=4, loss=200, pool=64)
-    check_pieces(packing.pack(df, limits=tight).collect(), ids, tight)
+    for tight in (packing.Limits(tokens=256, segments=4, loss=200, pool=64), packing.Limits(tokens=64, segments=8, loss=1, pool=8), packing.PRODUCTION):
+        rows = packing.pack(df, limits=tight, prompt_chars=F.col("chars")).collect()
+        check_pieces(rows, ids, tight)
+        loss = {i: len(x) - (len(token_ids(t[:c], default_path())) if t and c else 0) for (i, x), t, c in zip(ids.items(), texts, [r.chars for r in df.collect()], strict=True)}
+        own = Counter()
+        for r in rows:
+            own[r.doc_id] += r.loss_tokens
+        assert own == Counter(loss)
     assert packing.pack(df.limit(0)).count() == 0
     twice = packing.pack(df.filter("doc_id = 2").union(df.filter("doc_id = 2"))).collect()
     assert len(twice) == 2
 
 
+def test_all_limits_of_the_packing_query_bind_and_little_is_padded(spark):
+    """Full in tokens, in loss-bearing tokens or in pieces: each happens, and the choice keeps the tokens together at nearly 1024."""
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op8_packing"](spark, sf).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append(r)
+    tokens = [sum(r.length for r in b) for b in bins.values()]
+    loss = [sum(r.loss_tokens for r in b) for b in bins.values()]
+    assert sum(t == 1024 and x < 1008 for t, x in zip(tokens, loss, strict=True)) > 20 and sum(x == 1008 for x in loss) > 20
+    assert sum(tokens) / 1024 / len(tokens) > 0.98
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    check_pieces(rows, {i: np.append(token_ids(t or "", default_path()), np.uint32(0)) for i, t in docs.items()}, packing.PRODUCTION)
+
+
 def test_token_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
