@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import scratch, shared_dir, written
 
-__all__ = ["LETTERS", "SPACE", "bounded", "grams", "mix", "read_folder", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
+__all__ = ["LETTERS", "SPACE", "bounded", "fresh", "grams", "mix", "read_folder", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
 
 #: Bytes of text that one numpy step handles at most (a single longer text is handled alone).
 STEP_BYTES = 1 << 20
@@ -18,10 +18,21 @@ ARROW_BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keeps Arrow batches of long texts small; a batch also ends after so many bytes, not only after 10,000 rows."""
+    """Keeps Arrow batches of long texts small; a batch also ends after so many bytes, not only after 10,000 rows.
+
+    The setting is read when a plan is executed, so it stays set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or the name with signs after it, that no column of df has (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_folder(uri: str, columns: list[str]) -> pa.Table:
     """A table of bounded size from the shared folder, read by a task; a folder that is not there is an empty table of these string columns."""
     import pyarrow.parquet as pq

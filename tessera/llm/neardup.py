@@ -265,7 +265,8 @@ def _crossing(members: DataFrame, j: Join, best: bool) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
-    """doc_id and text to doc_id, n_shingles and component_id (the smallest doc_id that can be reached by links, its own included).
+    """doc_id and text to doc_id, th (xxhash64 of the text), n_shingles, component_id (the smallest doc_id that can be reached by links, its own
+    included) and component_th (the smallest th of the rows of that id that can be reached).
 
     Equal sets are one node. Each node is first compared with one pivot, that with which it shares most tiles; what links is one component.
     Then only tiles that hold several components are looked into: in a round each node meets its best partner in each tile, and at
@@ -304,15 +305,18 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
         links = links.union(_verified(_crossing(members.join(bits, "sid"), j, best=not last), sets, j))
     roots = written(components(links), "roots")
 
-    known = all_rows.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sid").alias("comp"))
-    known = written(known, "known")
-    ids = known.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return known.join(ids, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    known = all_rows.select("doc_id", "th", "n", "sid").join(roots, F.col("sid") == F.col("node"), "left")
+    known = written(known.select("doc_id", "th", "n", F.coalesce("root", "sid").alias("comp")), "known")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")
+    least = known.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(place).alias("least"))
+    own = F.coalesce("least", place)
+    return known.join(least, "comp", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), own["doc_id"].alias("component_id"), own["th"].alias("component_th"))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the size of their set of 4-word shingles and their component at a similarity of 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Join(words=4, percent=85))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Join(words=4, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 OP3_SQL = r"""

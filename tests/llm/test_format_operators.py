@@ -470,30 +470,3 @@ def test_archives_round_trip_in_chunks(spark):
     assert by[3, None][0].chunk_bytes == 0 and bytes(by[8, "w"][0].data) == b"a\r\n\r\nb" * 400
     empty = warc.write_warc(warc.deduplicated(df.limit(0)))
     assert warc.read_warc(empty).count() == 0
-
-
-# pipeline
-
-
-def test_pipeline_stages(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    first = {r.doc_id: r.text for r in docs.collect()}
-    kept = docs
-    for name, stage in pipeline.STAGES[:-1]:
-        out = stage(spark, kept, SMALL)
-        assert out.columns == docs.columns, name
-        rows = out.collect()
-        assert {r.doc_id for r in rows} <= set(first) and all(r.n_chars == len(r.text) for r in rows)
-        kept = spark.createDataFrame(rows, docs.schema)
-    assert 0.5 * len(first) < kept.count() < len(first)
-    packed = pipeline.STAGES[-1][1](spark, kept, SMALL).collect()
-    check_pieces(packed, {r.doc_id: np.append(token_ids(r.text, default_path()), np.uint32(0)) for r in kept.collect()}, packing.Limits())
-
-
-def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    text = "one two three four five six seven eight"
-    docs = spark.createDataFrame([(2, text), (1, text), (1, text), (3, "another text of some more words here"), (4, None), (4, None), (None, text)], DOCS)
-    rows = pipeline.near_dup(spark, docs, "").collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, 1), (False, 3), (False, 4), (True, 0)]

@@ -430,12 +430,3 @@ def test_decontamination_does_not_look_at_signs_and_case(spark):
     docs = spark.createDataFrame([(1, "intro the quick brown fox jumps over the lazy dog again and AGAIN!!! outro"), (2, "the quick brown cat sits under a busy dog again and again and so on")], DOCS)
     rows = decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.distance, r.first_word, r.last_word) for r in rows] == [(1, 7, 0, 1, 12)]
-
-
-def test_pipeline_decontaminates_rows_not_ids(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
-    docs = spark.createDataFrame([(1, item), (1, "clean one"), (None, item), (None, "clean two")], "doc_id long, text string")
-    assert {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, sf).collect()} == {(1, "clean one"), (None, "clean two")}
