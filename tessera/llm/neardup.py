@@ -130,19 +130,20 @@ def _sid(u: np.ndarray) -> int:
 
 
 def signatures(df: DataFrame, j: Join) -> DataFrame:
-    """doc_id, th (a hash of the text), n (size of the set), sid (a hash of the set; null if empty), bits and keys of all rows."""
+    """row (a number), doc_id, th (a hash of the text), n (size of the set), sid (a hash of the set; null if empty) and keys of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, k, data, at in steps(batch.column(1)):
                 rows = []
                 for u in shingle_sets(data, at, j.words):
-                    rows.append((len(u), _sid(u), parity_bits(u).tobytes(), tile_keys(u, j).view(np.int64)) if len(u) else (0, None, None, None))
-                n, sid, bits, keys = zip(*rows, strict=True)
-                made = [pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.record_batch([batch.column(0)[i:k], batch.column(2)[i:k], *made], ["doc_id", "th", "n", "sid", "bits", "keys"])
+                    rows.append((len(u), _sid(u), tile_keys(u, j).view(np.int64)) if len(u) else (0, None, None))
+                n, sid, keys = zip(*rows, strict=True)
+                made = [pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.record_batch([batch.column(0)[i:k], batch.column(2)[i:k], *made], ["doc_id", "th", "n", "sid", "keys"])
 
-    return _texts(df).mapInArrow(run, "doc_id long, th long, n long, sid long, bits binary, keys array<long>")
+    rows = _texts(df).mapInArrow(run, "doc_id long, th long, n long, sid long, keys array<long>")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -281,15 +282,18 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
     """
     bounded(df.sparkSession)
     all_rows = written(signatures(df, j), "signatures")
-    nodes = written(all_rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys")), "nodes")
+    # One row stands for all with the same set; so no key is shuffled more often than there are sets.
+    nodes = written(all_rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row")).select("row"), "nodes")
+    if nodes.count() <= j.broadcast:
+        nodes = F.broadcast(nodes)
+    nodes = all_rows.join(nodes, "row", "left_semi")
     placed = nodes.select("sid", F.explode("keys").alias("key"))
     # A tile's pivot is its least sid: an aggregate that combines before the shuffle, and a join that may split what very many sets share.
     pivots = written(placed.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("other")).filter("pivot < other").drop("other"), "pivots")
     tiles = written(placed.join(pivots, "key").filter("sid <> pivot"), "tiles")
 
     shared = tiles.select("sid").union(tiles.select("pivot")).distinct()
-    owners = all_rows.select("sid", "doc_id", "th").join(shared, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("own"))
-    sources = written(owners.select("sid", "own.doc_id", "own.th"), "owners")
+    sources = written(nodes.select("sid", "doc_id", "th").join(shared, "sid", "left_semi"), "owners")
     sets = _sets(df, sources, j)
 
     stars = tiles.groupBy("sid", "pivot").count().groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a")).select("a", F.col("sid").alias("b"))
