@@ -34,7 +34,7 @@ class Pairing:
 
 @dataclass(frozen=True)
 class Grouping:
-    """Entity resolution. Distances in metres."""
+    """Entity resolution. Distances in metres. component: pairs of one component that one task joins; more are joined in rounds over all tasks."""
 
     same_street_m: float = 30
     no_street_m: float = 15
@@ -45,6 +45,7 @@ class Grouping:
     price_ratio: float = 1.4
     unit_gap: float = 0.02
     cell: int = 1000
+    component: int = 500_000
 
 
 @dataclass(frozen=True)

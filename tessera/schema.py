@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
+
 _TEXT, _NUMBER, _WHOLE, _LIST = T.StringType(), T.DoubleType(), T.IntegerType(), T.ArrayType(T.StringType())
 _KINDS = {
     T.LongType(): "idx",
@@ -38,9 +40,16 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+FIRST_OWN_ID = 1 << 62
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
-    """All rows of all sources, each brought to the schema."""
+    """All rows of all sources, each brought to the schema. Rows without idx get one: above all given ones, growing in the order of the rows.
+
+    The result is written to the scratch folder once, so a row keeps its number whatever is computed from it later.
+    """
     first, *rest = [conform(f) for f in frames]
     for f in rest:
         first = first.unionByName(f)
-    return first
+    own = F.lit(FIRST_OWN_ID) + F.monotonically_increasing_id()
+    return written(first.withColumn("idx", F.coalesce("idx", own)), "sources")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import difflib
+import math
+import random
+import statistics
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.config import Pairing, Refining
+from tessera import schema
+from tessera.config import Grouping, Pairing, Refining
 from tessera.functions import nested, numbers, text
 from tessera.operators import dedup, export, graph, grouping, history, lookup, pairs, quality, refine, stats
 from tessera.schema import LISTING, conform, union_sources
@@ -18,8 +24,8 @@ def one(spark, **columns):
     return spark.range(1).select(*(c.alias(k) for k, c in columns.items())).first()
 
 
-def frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+def frame(spark, rows, columns):
+    return spark.createDataFrame(rows, columns)
 
 
 # text and numbers
@@ -418,3 +424,61 @@ def test_store_keeps_and_deletes_searches(spark, tmp_path):
     store.put("identity_cache", frame(spark, [("k", "a", "1", at, at + timedelta(7)), ("k", "b", None, at, at - timedelta(7))], cache), ["kind", "key"], "read_at")
     store.put("identity_cache", frame(spark, [("k", "a", "2", at + timedelta(1), at + timedelta(8))], cache), ["kind", "key"], "read_at")
     assert [(r.key, r.payload) for r in store.cached("k", at).collect()] == [("a", "2")]
+
+
+def test_guarded_union_against_a_sequential_pass(spark):
+    """Random places, names and prices; components joined in tasks and in rounds give what one pass over all pairs in order gives."""
+    rng = random.Random(4)
+    names = ["solar azul", "solar azull", "vista mar", None, None]
+    rows = [(i, "c", "d", rng.choice(["s", "t", None]), rng.choice(["1", "2", None, None]), -3.7 - rng.randint(0, 4) / 1000, -38.5 - rng.randint(0, 4) / 500, rng.choice(names), float(rng.choice([1000, 1100, 2000, 3000]))) for i in range(120)]
+    df = frame(spark, rows, "idx long, city_key string, district_key string, street string, number string, lat double, lng double, name string, price_m2 double")
+    edges = [(a, b, float(rng.randint(0, 5))) for a in range(120) for b in range(a + 1, 120) if rng.random() < 0.03]
+    pairs = frame(spark, edges, "a long, b long, weight double")
+    metres = lambda x, y: 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(y[5] - x[5]) / 2) ** 2 + math.cos(math.radians(x[5])) * math.cos(math.radians(y[5])) * math.sin(math.radians(y[6] - x[6]) / 2) ** 2)))
+    g = Grouping()
+    for by_place in (True, False):
+        group = {i: [r] for i, r in enumerate(rows)}
+        root = list(range(120))
+        for _, a, b in sorted((w, a, b) for a, b, w in edges):
+            x, y = sorted((root[a], root[b]))
+            if x == y:
+                continue
+            one, two = group[x], group[y]
+            bare = not any(r[7] or (r[3] and r[4]) for r in one + two)
+            m = sorted(statistics.median(r[8] for r in q) for q in (one, two))
+            bad = by_place and bare and m[1] / m[0] > g.price_ratio
+            bad |= any(p[3] and p[4] and q[4] and p[3] == q[3] and p[4] != q[4] for p in one for q in two)
+            bad |= any(metres(p, q) > g.apart_m for p in sorted(one)[:20] for q in sorted(two)[:20])
+            have = [{r[7] for r in q if r[7]} for q in (one, two)]
+            bad |= all(have) and not any(difflib.SequenceMatcher(None, *(" ".join(sorted(t.split())) for t in (p, q))).ratio() >= 0.9 for p in have[0] for q in have[1])
+            if not bad:
+                group[x] = one + group.pop(y)
+                for r in group[x]:
+                    root[r[0]] = x
+        want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+        for size in (500_000, 0):
+            got = {r.idx: r.root for r in grouping.guarded_union(df, pairs, Grouping(component=size), by_place).collect()}
+            assert got == want
+
+
+def test_five_hundred_rows_at_one_place_are_grouped_in_seconds(spark):
+    rows = [place(i, "Rua B" if i % 2 else None, -3.80, -38.60) for i in range(500)]
+    df = frame(spark, rows, PLACE)
+    start = time.monotonic()
+    got = grouping.group_listings(df).collect()
+    assert len(got) == 500 and len({r.root for r in got}) == 1
+    assert time.monotonic() - start < 40
+
+
+def test_listings_without_idx_get_their_own(spark):
+    """Parsed pages have no idx: each row gets one, nothing is merged for lack of it, and copies across sources still are."""
+    columns = "url string, source string, city string, district string, title string, price double, area double, rooms int, photos array<string>"
+    one = frame(spark, [(f"https://a/{i}", "a", "C", "Centro", f"Flat {i}", 100_000.0 * (i + 1), 50.0, 2, ["p"]) for i in range(6)], columns)
+    two = frame(spark, [("https://b/0", "b", "C", "Centro", "Flat 0", 100_000.0, 50.0, 2, ["q"]), ("https://b/9", "b", "C", "Centro", "House", 900_000.0, 300.0, 4, ["r"])], columns)
+    rows = schema.union_sources([one, two])
+    ids = [r.idx for r in rows.collect()]
+    assert len(set(ids)) == 8 and ids == [r.idx for r in rows.collect()]
+    out = {(r.source, r.url): (r.cluster_n, r.photos) for r in dedup.deduplicate(rows).collect()}
+    assert len(out) == 7 and out["a", "https://a/0"] == (2, ["p", "q"]) and out["b", "https://b/9"][0] == 1
+    with pytest.raises(Exception, match="no idx"):
+        dedup.deduplicate(one.withColumn("idx", F.lit(None).cast("long"))).collect()
