@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Rules
-from ..functions.text import normalize, url_before_query
+from ..functions.text import normalize, tokens, url_before_query
 
 # Patterns of the rules. (?iu) as letters beyond ASCII count.
 RENTAL = r"(?iu)\b(alugar|aluguel|alugo|loca[çc][ãa]o|rent|rental|to let|for rent)\b"
@@ -80,14 +80,40 @@ def in_districts(names: list[str], column: str = "district") -> Column:
     return F.coalesce(F.exists(wanted, lambda n: F.contains(normalize(F.col(column)), n)), F.lit(False))
 
 
+# District names that say there is no district, and origins of a coordinate that name a place.
+NO_DISTRICT = r"(?iu)\b(zona rural|[áa]rea rural|demais bairros|outros|sem bairro)\b"
+TRUSTED_ORIGINS = ("exact", "source_approximate")
+
+
+def residual(low: float | None = None, high: float | None = None, rooms: int | None = None) -> Column:
+    """What a source should have filtered itself: the price within the request, and the rooms, where the listing says how many."""
+    price = F.col("price").try_cast("double")
+    kept = F.lit(True)
+    if low is not None:
+        kept &= F.coalesce(price >= low, F.lit(False))
+    if high is not None:
+        kept &= F.coalesce(price <= high, F.lit(False))
+    return kept & F.coalesce(F.col("rooms").try_cast("int") == rooms, F.lit(True)) if rooms else kept
+
+
+def trusted_districts(df: DataFrame, order: str = "idx") -> DataFrame:
+    """city, key and name of districts that located listings name: the spelling seen first of each normal form, no residual names."""
+    located = df.filter(F.col("coord_origin").isin(*TRUSTED_ORIGINS) & (F.trim("district") != "") & ~F.col("district").rlike(NO_DISTRICT))
+    return located.groupBy("city", normalize(F.col("district")).alias("key")).agg(F.min_by(F.trim("district"), order).alias("name"))
+
+
+def said_in(df: DataFrame, words: str, columns: tuple[str, ...] = ("title", "descr")) -> DataFrame:
+    """Rows whose texts hold all words, in whatever order, case and accents."""
+    have = tokens(F.concat_ws(" ", *columns))
+    return df.filter(F.forall(tokens(F.lit(words)), lambda w: F.array_contains(have, w)))
+
+
 def keep_first(df: DataFrame, key: Column, order: str = "idx") -> DataFrame:
     """The first row of each key in the given order; rows whose key is null or empty all stay."""
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(order))
-    keyed = df.withColumn("_key", F.nullif(key, F.lit("")))
-    lone = F.col("_key").isNull()
-    # Rows without key get a key of their own, so that they don't meet in one task.
-    keyed = keyed.withColumn("_key", F.when(lone, F.concat(F.lit("\0"), F.col(order).cast("string"))).otherwise(F.col("_key"))).withColumn("_lone", lone)
-    return keyed.withColumn("_rank", rank).filter("_rank = 1 OR _lone").drop("_key", "_rank", "_lone")
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.nullif(key, F.lit("")).alias("key"), F.col(order).alias("at"))
+    # An aggregate, so rows of one key combine before the shuffle; rows without key do not meet at all.
+    first = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min_by("row", "at").alias("row")).select("row")
+    return first.unionByName(keyed.filter("key IS NULL").select("row")).select("row.*")
 
 
 def first_by_url(df: DataFrame) -> DataFrame:
@@ -99,6 +125,32 @@ def completeness(columns: list[str]) -> Column:
     return sum((F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), 1).otherwise(0) for c in columns), F.lit(0))
 
 
+def fullness() -> Column:
+    """A listing's weight: 3 for photos, 2 for an exact place, 1 for each of builder, address, rooms, baths and parking."""
+    photos = F.size(F.coalesce("photos", F.array().cast("array<string>"))) > 0
+    place = F.col("lat").isNotNull() & F.col("lng").isNotNull() & (F.coalesce("coord_origin", F.lit("exact")) == "exact")
+    return F.when(photos, 3).otherwise(0) + F.when(place, 2).otherwise(0) + completeness(["builder", "address", "rooms", "baths", "parking"])
+
+
+def photo_means(df: DataFrame) -> DataFrame:
+    """By source: rows, rows with photos and their mean number of photos."""
+    n = F.size(F.coalesce("photos", F.array().cast("array<string>")))
+    return df.groupBy("source").agg(F.count("*").alias("n"), F.count_if(n > 0).alias("with_photo"), F.round(F.avg(F.when(n > 0, n)), 2).alias("mean_photos"))
+
+
+def survival(raw: DataFrame, checked: DataFrame, refined: DataFrame, most: int = 10) -> DataFrame:
+    """stage, name and n: how many rows each stage left (raw, valid, refined) and the districts with most refined rows."""
+    n = lambda df, stage: df.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), F.lit(None).cast("string").alias("name"), "n")
+    top = refined.groupBy(F.col("district").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most)
+    counts = n(raw, "raw").unionByName(n(checked.filter("reject_reason IS NULL"), "valid")).unionByName(n(refined, "refined"))
+    return counts.unionByName(top.select(F.lit("district").alias("stage"), "name", "n"))
+
+
+def most_common(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The most frequent values of a column and how often they occur."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
+
+
 def source_status(sources: DataFrame, counts: DataFrame) -> DataFrame:
     """source, n and status (ok, zero, error) of all planned sources; counts: source, n, failed."""
     c = counts.groupBy("source").agg(F.sum("n").alias("n"), F.bool_or("failed").alias("failed"))

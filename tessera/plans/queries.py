@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Pairing, Rules
 from ..functions import numbers, text
 from ..operators import dedup, export, grouping, history, lookup, pairs, quality, refine, stats
-from .listing import LISTING_SQL, listings, observations, table
+from . import cases  # noqa: F401  registers its queries
+from .listing import listings, observations, table
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 WEEK = "strftime({}, '%Y-W%W')"
 
 
-def query(sql: str | None = None, listing: bool = False):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            body = sql.strip()
-            if listing:
-                body = f"WITH {LISTING_SQL.strip()}" + (", " + body[5:] if body[:5].upper() == "WITH " else " " + body)
-            ORACLE_SQL[f.__name__] = body
-        return f
-
-    return add
-
-
 # history
 
 LATEST = """
@@ -551,5 +536,3 @@ def first_by_order(spark, sf):
 @query("""SELECT city, district, round(avg(price_m2), 2) AS mean, count(*) AS n FROM listing GROUP BY ROLLUP (city, district)""", listing=True)
 def rollup_means(spark, sf):
     return listings(spark, sf).rollup("city", "district").agg(F.round(F.avg("price_m2"), 2).alias("mean"), F.count("*").alias("n"))
-
-
