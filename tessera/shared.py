@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +29,34 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at the end, but those that are to be kept (till the end of the scope around, if there is one)."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor loses nothing.
 
     Once the table is there its shuffles are of no more use; Spark is told to remove their files, so a job of many steps holds those of
-    one step only. The tables themselves are scratch: the folder may be emptied when no job runs.
+    one step only. Tables written under temporary() go at its end unless kept; the others are scratch, and the folder may be emptied when no
+    job runs.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
+    stack = getattr(_scopes, "stack", [])
+    if len(stack) > keep:  # a table kept here belongs to the scope around
+        stack[-1 - keep].append(path)
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
