@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shared import scratch, shared_dir, written
+from ..shared import scratch, shared_dir, temporary, written
 
-__all__ = ["LETTERS", "SPACE", "bounded", "fresh", "grams", "mix", "read_folder", "scratch", "shared_dir", "shingle_sets", "steps", "text_bytes", "words", "written"]
+__all__ = ["LETTERS", "SPACE", "bounded", "fresh", "grams", "mix", "read_folder", "scratch", "shared_dir", "shingle_sets", "steps", "temporary", "text_bytes", "words", "written"]
 
 #: Bytes of text that one numpy step handles at most (a single longer text is handled alone).
 STEP_BYTES = 1 << 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import temporary, written
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -83,7 +83,8 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, st
     rows with one id and several texts are several documents. Null ids come first. An empty table gives no rows. Columns with the names in
     `counts` are replaced; all others are kept, whatever they are called.
     """
-    removed = written(repeated_lines(df, min_words), "removed")
+    with temporary(df.sparkSession):
+        removed = written(repeated_lines(df, min_words), "removed", keep=True)
     size = removed.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("lines")).first()
     if size.docs <= BROADCAST_DOCS and size.lines <= BROADCAST_LINES:
         removed = F.broadcast(removed)

@@ -12,11 +12,11 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded, mix, shingle_sets, steps, written
+from .common import bounded, mix, shingle_sets, steps, temporary, written
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,10 @@ class Join:
     broadcast: int = 500_000
 
 
+#: One set in so many is looked at to find very common tiles, of which there are at most so many.
+SAMPLED, MOST_COMMON = 64, 100_000
+
+
 @lru_cache(maxsize=8)
 def _bands() -> list[int]:
     limits = [1]
@@ -280,20 +284,47 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
     Null or blank texts have an empty set and link with nothing: their component is their own id. Null ids are the largest. Rows that share an
     id are rows of their own. Texts of any length are taken whole; other columns are not looked at; no rows give no rows.
     """
-    bounded(df.sparkSession)
-    all_rows = written(signatures(df, j), "signatures")
-    # One row stands for all with the same set; so no key is shuffled more often than there are sets.
-    nodes = written(all_rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row")).select("row"), "nodes")
-    if nodes.count() <= j.broadcast:
-        nodes = F.broadcast(nodes)
-    nodes = all_rows.join(nodes, "row", "left_semi")
-    placed = nodes.select("sid", F.explode("keys").alias("key"))
-    # A tile's pivot is its least sid: an aggregate that combines before the shuffle, and a join that may split what very many sets share.
-    pivots = written(placed.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("other")).filter("pivot < other").drop("other"), "pivots")
-    tiles = written(placed.join(pivots, "key").filter("sid <> pivot"), "tiles")
-
-    shared = tiles.select("sid").union(tiles.select("pivot")).distinct()
-    sources = written(nodes.select("sid", "doc_id", "th").join(shared, "sid", "left_semi"), "owners")
+    spark = df.sparkSession
+    bounded(spark)
+    with temporary(spark):
+        known = written(_placed(df, j), "known", keep=True)
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")
+    least = known.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(place).alias("least"))
+    own = F.coalesce("least", place)
+    return known.join(least, "comp", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), own["doc_id"].alias("component_id"), own["th"].alias("component_th"))
+
+
+def _tiles(rows: DataFrame, j: Join) -> DataFrame:
+    """sid, key and pivot (the tile's least sid) of all tiles that several sets share; rows without their pivots.
+
+    Very common tiles, found by a sample of sets, have their pivots broadcast and are not shuffled; how common is set so that they are
+    few. All others are sorted by key, so a tile streams through its task. Which way a tile goes makes no difference to what comes out.
+    """
+    placed = rows.select("sid", F.explode("keys").alias("key"))
+    drawn = written(rows.filter(F.pmod(F.xxhash64("sid"), F.lit(SAMPLED)) == 0).select("sid", F.explode("keys").alias("key")).groupBy("key").count(), "drawn")
+    total = drawn.agg(F.sum("count")).first()[0] or 0
+    common = written(drawn.filter(F.col("count") > max(j.chunk // SAMPLED, total // MOST_COMMON)).select("key"), "common")
+    hot = placed.join(F.broadcast(common), "key").groupBy("key").agg(F.min("sid").alias("pivot"))
+    hot = placed.join(F.broadcast(written(hot, "hot")), "key")
+    cold = placed.join(F.broadcast(common), "key", "left_anti")
+    least = F.first("sid").over(Window.partitionBy("key").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    return cold.withColumn("pivot", least).unionByName(hot).filter("sid <> pivot")
+
+
+def _placed(df: DataFrame, j: Join) -> DataFrame:
+    """doc_id, th, n and comp (one value for each component; null without a set) of all rows."""
+    spark = df.sparkSession
+    with temporary(spark):
+        signed = written(signatures(df, j), "signatures")
+        # One row stands for all with the same set; so no key is shuffled more often than there are sets.
+        nodes = written(signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row")).select("row"), "nodes")
+        if nodes.count() <= j.broadcast:
+            nodes = F.broadcast(nodes)
+        nodes = signed.join(nodes, "row", "left_semi")
+        tiles = written(_tiles(nodes, j), "tiles", keep=True)
+        all_rows = written(signed.select("doc_id", "th", "n", "sid"), "rows", keep=True)
+        shared = tiles.select("sid").union(tiles.select("pivot")).distinct()
+        sources = written(nodes.select("sid", "doc_id", "th").join(shared, "sid", "left_semi"), "owners", keep=True)
     sets = _sets(df, sources, j)
 
     stars = tiles.groupBy("sid", "pivot").count().groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a")).select("a", F.col("sid").alias("b"))
@@ -309,12 +340,8 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
         links = links.union(_verified(_crossing(members.join(bits, "sid"), j, best=not last), sets, j))
     roots = written(components(links), "roots")
 
-    known = all_rows.select("doc_id", "th", "n", "sid").join(roots, F.col("sid") == F.col("node"), "left")
-    known = written(known.select("doc_id", "th", "n", F.coalesce("root", "sid").alias("comp")), "known")
-    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")
-    least = known.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(place).alias("least"))
-    own = F.coalesce("least", place)
-    return known.join(least, "comp", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), own["doc_id"].alias("component_id"), own["th"].alias("component_th"))
+    known = all_rows.join(roots, F.col("sid") == F.col("node"), "left")
+    return known.select("doc_id", "th", "n", F.coalesce("root", "sid").alias("comp"))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
