@@ -303,13 +303,15 @@ def _tiles(rows: DataFrame, j: Join) -> DataFrame:
     placed = rows.select("sid", F.explode("keys").alias("key"))
     drawn = written(rows.filter(F.pmod(F.xxhash64("sid"), F.lit(SAMPLED)) == 0).select("sid", F.explode("keys").alias("key")).groupBy("key").count(), "drawn")
     total = drawn.agg(F.sum("count")).first()[0] or 0
-    common = drawn.filter(F.col("count") > max(j.chunk // SAMPLED, total // MOST_COMMON)).select(F.col("key").alias("common"))
-    # A row that no tile has (null) keeps the table from being empty: the plan is the same for all inputs.
-    common = F.broadcast(written(common.union(rows.sparkSession.range(1).select(F.lit(None).cast("long"))), "common"))
+    common = drawn.filter("key <> 0").filter(F.col("count") > max(j.chunk // SAMPLED, total // MOST_COMMON)).select(F.col("key").alias("common"))
+    # One row more (a key that hardly any tile has; if one does, it goes this way too) keeps the tables from being empty: one plan for all inputs.
+    zero = rows.sparkSession.range(1)
+    common = F.broadcast(written(common.union(zero), "common"))
     split = placed.join(common, F.col("key") == F.col("common"), "left")
     cold, often = split.filter("common IS NULL").select("sid", "key"), split.filter("common IS NOT NULL").select("sid", "key")
-    hot = written(often.groupBy("key").agg(F.min("sid").alias("pivot")), "hot").select(F.col("key").alias("hot_key"), "pivot")
-    hot = often.join(F.broadcast(hot), F.col("key") == F.col("hot_key")).select("sid", "key", "pivot")
+    hot = often.groupBy(F.col("key").alias("hot_key")).agg(F.min("sid").alias("pivot"))
+    hot = F.broadcast(written(hot.filter("hot_key <> 0").union(zero.select("id", F.lit(0).cast("long"))), "hot"))
+    hot = often.join(hot, F.col("key") == F.col("hot_key")).select("sid", "key", "pivot")
     least = F.first("sid").over(Window.partitionBy("key").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
     return cold.withColumn("pivot", least).unionByName(hot).filter("sid <> pivot")
 
