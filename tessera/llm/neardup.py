@@ -156,7 +156,7 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def _sets(df: DataFrame, nodes: DataFrame, j: Join) -> DataFrame:
-    """sid, n, bits, wide (8 bits an element) and set of the nodes (doc_id, th, sid): made anew from one text each."""
+    """sid, n, bits, wide (2 bits an element) and set of the nodes (doc_id, th, sid): made anew from one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,7 @@ def _sets(df: DataFrame, nodes: DataFrame, j: Join) -> DataFrame:
                 rows = []
                 for k, u in enumerate(shingle_sets(data, at, j.words)):
                     if len(u) and (sid := batch.column(1)[i + k].as_py()) == _sid(u):
-                        rows.append((sid, len(u), parity_bits(u).tobytes(), parity_bits(u, 8).tobytes(), u.tobytes()))
+                        rows.append((sid, len(u), parity_bits(u).tobytes(), parity_bits(u, 2).tobytes(), u.tobytes()))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["sid", "n", "bits", "wide", "set"])
@@ -275,7 +275,7 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
 
     Equal sets are one node. Each node is first compared with one pivot, that with which it shares most tiles; what links is one component.
     Then only tiles that hold several components are looked into: in a round each node meets its best partner in each tile, and at
-    last each pair across components that bitmaps of eight bits an element allow is checked exactly. So a group of copies costs a check per
+    last each pair across components that bitmaps of two bits an element allow is checked exactly. So a group of copies costs a check per
     text, and no pair is left out. Sets are named by 64-bit hashes.
 
     A tile that very many sets of different components share (a passage in otherwise different texts of one size) is compared by bitmaps,
