@@ -42,8 +42,8 @@ def display_spelling(df: DataFrame, column: str) -> DataFrame:
 
 
 def preferred_spelling(df: DataFrame, column: str, order: str = "idx") -> DataFrame:
-    """key and its spelling: one with accents before one without, then the first seen."""
-    return df.filter(F.col(column).isNotNull()).groupBy(normalize(F.col(column)).alias("key")).agg(F.min_by(column, F.struct(~has_accent(F.col(column)), F.col(order))).alias("spelling"))
+    """key and its spelling: one with accents before one without, then the first seen, then the least."""
+    return df.filter(F.col(column).isNotNull()).groupBy(normalize(F.col(column)).alias("key")).agg(F.min_by(column, F.struct(~has_accent(F.col(column)), F.col(order), F.col(column))).alias("spelling"))
 
 
 def outlier_band(df: DataFrame, keys: list[str], value: str = "price_m2", low: float = 0.5, high: float = 1.8, least: int = 3) -> DataFrame:

@@ -103,13 +103,13 @@ def asof_cache_hit(spark, sf):
     return history.cache_hits(observations(spark, sf), ["key", "district"], "seen_at", "idx").select(F.col("idx").alias("search_id"), "hit", "answer_id")
 
 
-@query("""WITH h AS (SELECT event_id AS key, value AS price, ts AS first_seen FROM events WHERE event_id % 3 <> 0), f AS (SELECT event_id AS key, value * 2 AS price, ts + INTERVAL 1 DAY AS first_seen FROM events WHERE event_id % 2 = 0)
+@query("""WITH s AS (SELECT user_id AS key, event_type = 'view' AS passive, arg_max(value, (ts, -event_id)) AS price, min(ts) AS first_seen FROM events GROUP BY 1, 2), h AS (FROM s WHERE passive), f AS (FROM s WHERE NOT passive)
 SELECT coalesce(h.key, f.key) AS key, coalesce(f.price, h.price) AS price, least(h.first_seen, f.first_seen) AS first_seen FROM h FULL JOIN f ON h.key = f.key""")
 def merge_collected(spark, sf):
-    e = table(spark, sf, "events")
-    old = e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("key"), F.col("value").alias("price"), F.col("ts").alias("first_seen"))
-    new = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("key"), (F.col("value") * 2).alias("price"), (F.col("ts") + F.make_dt_interval(days=F.lit(1))).alias("first_seen"))
-    return history.merge_collected(old, new, "key")
+    """What was seen in passing (views) and what was collected afterwards (all other events), by user."""
+    seen = observations(spark, sf)
+    side = lambda rows: history.first_last_seen(rows, "key", "seen_at", "idx").select("key", F.col("price_m2").alias("price"), "first_seen")
+    return history.merge_collected(side(seen.filter("district = 'view'")), side(seen.filter("district <> 'view'")), "key")
 
 
 @query("""SELECT key, arg_max(payload, read_at) AS payload, max(read_at) AS read_at FROM (SELECT user_id AS key, props AS payload, ts AS read_at, ts + INTERVAL 7 DAY AS expires_at FROM events WHERE event_type = 'view') WHERE expires_at > TIMESTAMP '2024-01-25' GROUP BY 1""")
@@ -178,11 +178,12 @@ def display_spelling(spark, sf):
 ACCENTS = f"translate({{}}, '{text.ACCENTED}', '{text.PLAIN}')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS word FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, word, trim(lower({ACCENTS.format("word")})) AS key FROM w)
-SELECT key, arg_min(word, (word = {ACCENTS.format("word")}, doc_id)) AS spelling FROM k GROUP BY 1""")
+@query(f"""WITH w AS (SELECT word, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1), k AS (SELECT doc_id, word, trim(lower({ACCENTS.format("word")})) AS key FROM w)
+SELECT key, arg_min(word, (word = {ACCENTS.format("word")}, doc_id, word)) AS spelling FROM k GROUP BY 1""")
 def spelling_preference(spark, sf):
-    rows = table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("idx"), F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    return stats.preferred_spelling(rows, "word")
+    """Over all words of all texts; of spellings first seen in one document the least in order of code points."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    return stats.preferred_spelling(words.groupBy("word").agg(F.min("doc_id").alias("idx")), "word")
 
 
 @query("""SELECT lower(n_name) AS city_key, p_size AS rooms, arg_max(price, (t, k)) AS reference, max(t) AS updated_at FROM (SELECT n_name, p_size, p_retailprice AS price, p_partkey % 1000 AS t, p_partkey AS k FROM part JOIN nation ON p_partkey % 25 = n_nationkey) GROUP BY 1, 2""")
