@@ -143,11 +143,44 @@ class Engine:
         before = self.store.search(previous_id)[1].withColumn("key", url_key(F.col("url")))
         return history.snapshot_diff(result.listings.withColumn("key", url_key(F.col("url"))), before, "key", "price", "source", "idx", self.past)
 
+    def _seen(self, rows: DataFrame) -> DataFrame:
+        """One row a listing, the last seen; idx is made from its key, as searches may have used the same numbers for different listings."""
+        seen = history.first_last_seen(rows, "key", "seen_at", "idx").withColumn("idx", F.xxhash64("key"))
+        return written(history.with_activity(seen, ["source", "district"], self.past), "seen")
+
     def find(self, city: str, target: lookup.Target) -> tuple[DataFrame, DataFrame]:
         """Confirmed and probable listings of a building in a city's history, one row a listing."""
-        seen = written(history.first_last_seen(self.city_history(city), "key", "seen_at", "idx"), "seen")
+        seen = self._seen(self.city_history(city))
         return lookup.find_building(seen, target, written(grouping.group_listings(seen), "grouped"))
 
+    def dossier(self, city: str, group_id: str) -> DataFrame:
+        """The listings of a building that some search stored under this id, as the city's history is grouped now; active ones first."""
+        rows = self.city_history(city)
+        seen = self._seen(rows)
+        stored = rows.groupBy(F.xxhash64("key").alias("idx")).agg(F.collect_set("group_id").alias("group_ids"))
+        return lookup.order_listings(lookup.dossier(seen, stored, written(grouping.group_listings(seen), "grouped"), group_id))
+
+    def districts(self, city: str, typed: str = "", chosen: tuple[str, ...] = (), most: int = 12) -> DataFrame:
+        """Districts of a city's history that hold the typed text and are not chosen yet, each in its preferred spelling."""
+        rows = self.city_history(city).filter("district IS NOT NULL").select("district", "idx")
+        return lookup.suggest(stats.preferred_spelling(rows, "district"), "spelling", typed, most, chosen)
+
+    def searches(self, city: str | None = None, most: int = 20) -> DataFrame:
+        """The newest stored searches, of all cities or of those whose name holds the text."""
+        return self.store.searches(city, most)
+
+    def stored_search(self, search_id: str) -> tuple[DataFrame, DataFrame]:
+        """A stored search (no row if there is none) and its listings, the cheapest by area first."""
+        search, rows = self.store.search(search_id)
+        return search, rows.orderBy("price_m2", "idx")
+
+    def delete_search(self, search_id: str) -> bool:
+        """Removes a stored search and its listings; whether there was one."""
+        there = self.store.search(search_id)[0].limit(1).count() > 0
+        if there:
+            self.store.delete_search(search_id)
+        return there
+
     def export(self, result: SearchResult, path: str) -> None:
         reference = result.extras.get("reference")
         export.write_bundle({"listings": export.listings_table(result.listings, reference), "districts": export.districts_table(result.listings, reference), "summary": export.summary_table(result.listings, reference), "groups": result.groups, "parameters": export.parameters_table(self.spark, reference)}, path)

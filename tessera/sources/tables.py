@@ -23,7 +23,9 @@ class Store:
     def read(self, name: str, schema: str | None = None) -> DataFrame | None:
         try:
             return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema) if schema else None
 
     def append_search(self, search: DataFrame, rows: DataFrame) -> None:
@@ -42,7 +44,12 @@ class Store:
         return self.read("searches").filter(F.col("search_id") == search_id), self.read("observations").filter(F.col("search_id") == search_id)
 
     def delete_search(self, search_id: str) -> None:
-        """Rewrites both tables without a search; observations of a partition that had none of it are not touched."""
+        """Rewrites both tables without a search; observations of a partition that had none of it are not touched.
+
+        The search goes first: observations without one are in no history, and a delete that broke off may be repeated.
+        """
+        kept = written(self.read("searches").filter(F.col("search_id") != search_id), "kept")
+        kept.write.mode("overwrite").parquet(f"{self.root}/searches")
         gone = self.read("observations")
         if gone is not None:
             parts = gone.filter(F.col("search_id") == search_id).select("city_part", "month_part").distinct()
@@ -52,8 +59,6 @@ class Store:
             for city, month in empty:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/observations/city_part={city}/month_part={month}")
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        kept = written(self.read("searches").filter(F.col("search_id") != search_id), "kept")
-        kept.write.mode("overwrite").parquet(f"{self.root}/searches")
 
     def put(self, name: str, rows: DataFrame, keys: list[str], order: str) -> None:
         """Adds rows to a small table; of each key the last by `order` stays."""

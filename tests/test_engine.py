@@ -36,6 +36,20 @@ def test_a_search_is_counted_stored_and_found_again(spark, tmp_path):
     engine.export(result, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/listings")).count() == kept
 
+    group = result.listings.filter("group_id IS NOT NULL").orderBy("idx").first().group_id
+    members = {r.url for r in result.listings.filter(f"group_id = '{group}' AND group_link = 'confirmed'").collect()}
+    listed = engine.dossier("Fortaleza", group).collect()
+    assert members and members == {r.url for r in listed} and all(r.active for r in listed)
+    assert engine.dossier("Fortaleza", "grp_none").count() == 0
+    assert [r.spelling for r in engine.districts("Fortaleza").collect()] == ["Centro", "Meireles"]
+    assert [r.spelling for r in engine.districts("Fortaleza", "e", chosen=("CENTRO",)).collect()] == ["Meireles"]
+    engine.save("s2", request, result, at + timedelta(days=1))
+    assert [r.search_id for r in engine.searches("fortal").collect()] == ["s2", "s1"]
+    assert engine.stored_search("s1")[1].count() == kept
+    assert engine.delete_search("s1") and not engine.delete_search("s1")
+    assert [r.search_id for r in engine.searches().collect()] == ["s2"] and engine.stored_search("s1")[1].count() == 0
+    assert engine.stored_search("s2")[1].count() == kept
+
 
 def test_requests_are_validated():
     with pytest.raises(ValueError):
