@@ -346,14 +346,20 @@ def page_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("paragraphs"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query()
+SHOWN = "array_to_string(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+#: Without the generic word that some names begin with.
+OWN_WORDS = "regexp_replace(p_name, '^new ', '')"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN {SHOWN.format(OWN_WORDS)} END AS district FROM part")
 def slug_district(spark, sf):
-    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    url = F.concat(F.lit("https://x.example/venda-apartamento-3-quartos-"), text.slug(F.col("n_name")), F.lit("-"), text.slug(F.col("r_name")), F.lit("-id-9"))
-    return rows.select("n_nationkey", text.district_from_slug(url, F.col("r_name")).alias("district"))
+    """Slugs that name the city after the district; every fifth names another city."""
+    city = F.when(F.col("p_partkey") % 5 > 0, F.lit("-sao-paulo")).otherwise(F.lit("-recife"))
+    url = F.concat(F.lit("https://x.example/venda-apartamento-"), text.slug(F.col("p_name")), city)
+    return table(spark, sf, "part").select("p_partkey", text.district_from_slug(url, F.lit("São Paulo")).alias("district"))
 
 
-@query()
+@query(f"SELECT p_partkey, {SHOWN.format('p_name')} AS dev_name, 'Brand' AS builder, CASE WHEN regexp_matches({OWN_WORDS}, '[a-z]{{4}}') THEN {OWN_WORDS} END AS name_key FROM part")
 def name_parts(spark, sf):
     t = F.concat(F.lit("Apartamento Residencial "), F.initcap("p_name"), F.lit(" com 2 quartos, Construtora "), F.col("p_brand"))
     return table(spark, sf, "part").select("p_partkey", text.development_name(t).alias("dev_name"), text.builder_name(t).alias("builder"), text.name_key(F.col("p_name")).alias("name_key"))
