@@ -14,6 +14,7 @@ from ..functions.text import city_and_region, development_name, launch_flag, lau
 from ..operators import dedup, export, grouping, history, lookup, quality, refine, stats
 from ..schema import union_sources
 from ..shared import written
+from ..sources import catalogue, details
 from ..sources.tables import Store
 
 REGIONS = frozenset("AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split())
@@ -153,6 +154,17 @@ class Engine:
         seen = self._seen(self.city_history(city))
         return lookup.find_building(seen, target, written(grouping.group_listings(seen), "grouped"))
 
+    def enrich(self, listings: DataFrame, pages: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+        """Listings with gaps filled from detail pages (url, html), which are read once and then remembered, and what was read."""
+        return details.enriched(listings, pages, self.store, now)
+
+    def references(self, wanted: DataFrame, pages: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+        """Official identities of wanted buildings (target_id, city, name) from catalogue pages (url, html) or what is remembered of them, and what was read.
+
+        A row of the first is what Target takes as its reference.
+        """
+        return catalogue.official_references(wanted, pages, self.store, now)
+
     def dossier(self, city: str, group_id: str) -> DataFrame:
         """The listings of a building that some search stored under this id, as the city's history is grouped now; active ones first."""
         rows = self.city_history(city)
