@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import position_band, price_per_area, variation_percent
+from .medians import exact_median
 
 BAND = 0.10
 
@@ -36,7 +37,9 @@ def summary_table(df: DataFrame, reference: float | None = None, band: float = B
     rows = df.withColumn("per_m2", price_per_area(F.col("price"), F.col("area"), digits))
     mean = rows.agg(F.avg("per_m2")).scalar()
     share = F.col("per_m2") / F.col("all") - 1
-    out = rows.withColumn("all", mean).agg(F.count("per_m2").alias("n"), F.round(F.avg("per_m2"), 2).alias("mean"), F.round(F.median("per_m2"), digits).alias("median"), F.min("per_m2").alias("low"), F.max("per_m2").alias("high"), F.count_if(share < -band).alias("below"), F.count_if(share > band).alias("above"))
+    out = rows.withColumn("all", mean).agg(F.count("per_m2").alias("n"), F.round(F.avg("per_m2"), 2).alias("mean"), F.min("per_m2").alias("low"), F.max("per_m2").alias("high"), F.count_if(share < -band).alias("below"), F.count_if(share > band).alias("above"))
+    median = exact_median(rows, [], "per_m2").agg(F.max("median")).scalar()
+    out = out.select("n", "mean", F.round(median, digits).alias("median"), "low", "high", "below", "above")
     return out.withColumn("vs_reference", variation_percent(F.col("mean"), F.lit(reference).cast("double")))
 
 

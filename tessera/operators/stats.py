@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import position_band
 from ..functions.text import has_accent, normalize
+from .medians import exact_median, exact_summary, with_median
 
 
 def kpis(df: DataFrame, value: str = "price_m2", digits: int = 2) -> DataFrame:
     """n, mean, median, low and high of a value, one row; zeros if there are no rows."""
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    return df.agg(F.count(value).alias("n"), zero(F.round(F.avg(value), 2), "mean"), zero(F.round(F.median(value), digits), "median"), zero(F.min(value), "low"), zero(F.max(value), "high"))
+    s = exact_summary(df, [], value)
+    return s.select("n", zero(F.round("mean", 2), "mean"), zero(F.round("median", digits), "median"), zero(F.col("low"), "low"), zero(F.col("high"), "high"))
 
 
 def by_requested_district(df: DataFrame, requested: list[str], digits: int = 2) -> DataFrame:
@@ -24,7 +26,9 @@ def by_requested_district(df: DataFrame, requested: list[str], digits: int = 2)
     names = spark.createDataFrame([(n,) for n in requested], "requested string")
     wanted = F.array(*[F.lit(n) for n in requested]) if requested else F.array().cast("array<string>")
     hit = F.filter(wanted, lambda n: F.contains(normalize(F.col("district")), normalize(n)))
-    out = df.withColumn("requested", F.explode(hit)).groupBy("requested").agg(F.count("*").alias("n"), F.round(F.avg("price_m2"), 2).alias("mean"), F.round(F.median("price_m2"), digits).alias("median"), F.min("price_m2").alias("low"), F.max("price_m2").alias("high"))
+    rows = df.withColumn("requested", F.explode(hit)).select("requested", "price_m2")
+    n = rows.groupBy("requested").agg(F.count("*").alias("_all"))  # listings without a price count too
+    out = n.join(exact_summary(rows, ["requested"], "price_m2"), "requested", "left").select("requested", F.col("_all").alias("n"), F.round("mean", 2).alias("mean"), F.round("median", digits).alias("median"), "low", "high")
     return (out if len(requested) > 1 else out.join(names.limit(0), "requested", "left_semi")).orderBy(F.desc("median"), "requested")
 
 
@@ -51,7 +55,8 @@ def outlier_band(df: DataFrame, keys: list[str], value: str = "price_m2", low: f
 
     Medians are a grouped table joined back, so that a group's rows need not meet in one task.
     """
-    g = df.filter(F.col(value) > 0).groupBy(*keys).agg(F.median(value).alias("group_median"), F.count("*").alias("group_n"))
+    some = df.filter(F.col(value) > 0).select(*keys, value)
+    g = with_median(some.groupBy(*keys).agg(F.count("*").alias("group_n")), exact_median(some, keys, value, "group_median"), keys, "group_median").select(*keys, "group_median", "group_n")
     joined = df.join(g, [df[k].eqNullSafe(g[k]) for k in keys], "left").drop(*(g[k] for k in keys))
     out = (F.col("group_n") >= least) & ~F.col(value).between(F.col("group_median") * low, F.col("group_median") * high)
     return joined.withColumn("outlier", F.coalesce(out, F.lit(False)))
