@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import temporary, written
@@ -14,57 +14,72 @@ BROADCAST_DOCS, BROADCAST_LINES = 250_000, 2_500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """For every line the shortest run of lines that starts with it and has min_words words: first and last (places of its ends), run (a hash of
-    its lines), fp (its fingerprint, the rightmost smallest line hash) and at (a hash of the fingerprint's place).
+def _split(df: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), and pos, h (hash) and nw (words) of every line that has words; repeated rows are one document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.unhex(F.md5(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("nw")))
+    docs = df.select("doc_id", F.xxhash64(text).alias("th"), F.filter(split, lambda x: x["nw"] > 0).alias("lines"))
+    return docs.groupBy("doc_id", "th").agg(F.first("lines").alias("lines")).select("doc_id", "th", F.explode("lines").alias("x")).select("doc_id", "th", "x.*")
+
 
-    Any passage of min_words words that two places share begins with such a run, so both places select the same fingerprint in it. next: places
-    and hashes of the lines after the run that the following line's run has; a match that goes on beyond them goes on in that run.
+def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The positions that winnowing selects: doc_id, th, line (pos, h, nw and before, the words before it), fp (its hash), starts, left and right.
+
+    From every line a window goes as far as it takes to hold min_words words, and selects the rightmost of its smallest line hashes; a line that
+    several windows select is one position, and starts are these windows' beginnings. left and right: the lines around it in reach, those that end
+    and begin less than min_words words away. Any passage of min_words words that two places share holds the same window, so both select the
+    same line of it.
     """
     doc = Window.partitionBy("doc_id", "th")
-    before = F.sum("nw").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("nw")
-    whole = lines.withColumn("before", before).withColumn("enough", F.sum("nw").over(doc) - F.col("before") >= min_words)
-    near = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    found = whole.select("*", F.collect_list("h").over(near).alias("run"), F.collect_list("pos").over(near).alias("places"), F.min(F.struct("h", -F.col("pos"))).over(near).alias("least"))
-    following = lambda c: F.coalesce(F.lead(c).over(doc.orderBy("pos")), F.array().cast(found.schema[c].dataType))
-    beyond = lambda c: F.slice(c, F.size("run"), F.greatest(F.size(c) - F.size("run") + 1, F.lit(0)))
-    rows = found.select("*", following("run").alias("then"), following("places").alias("then_places")).filter("enough")
-    longer = F.transform(F.arrays_zip(beyond("then_places").alias("pos"), beyond("then").alias("h")), lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["h"]).alias("h")))
-    return rows.select(
-        "doc_id", "th", F.col("pos").alias("first"), F.element_at("places", -1).alias("last"), F.col("least.h").alias("fp"),
-        F.xxhash64("doc_id", "th", "least").alias("at"), F.xxhash64("run").alias("run"), longer.alias("next"),
-    )
+    by, after = doc.orderBy("before"), doc.orderBy("behind").rangeBetween(0, min_words - 1)
+    reach = by.rangeBetween(0, min_words - 1)
+    whole = lines.withColumns({"behind": F.sum("nw").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("nw").over(doc)}).withColumn("before", F.col("behind") - F.col("nw"))
+    line = F.struct("pos", "h", "nw", "before")
+    chosen = whole.select("*", line.alias("line"), F.min(F.struct("h", -F.col("before"))).over(reach).alias("least"), F.lead(line).over(by).alias("next"))
+    chosen = chosen.withColumn("selects", F.when(F.col("all") - F.col("before") >= min_words, -F.col("least")["col2"]))
+    near = chosen.select(
+        "doc_id", "th", "line", F.collect_list(F.struct("selects", "before")).over(by.rangeBetween(1 - min_words, 0)).alias("windows"),
+        F.collect_list("line").over(by.rangeBetween(1 - min_words, -1)).alias("left"), F.collect_list("next").over(after).alias("right"),
+    )
+    starts = F.transform(F.filter("windows", lambda w: w["selects"] == F.col("line.before")), lambda w: w["before"])
+    return near.select("doc_id", "th", "line", F.col("line.h").alias("fp"), starts.alias("starts"), "left", "right").filter(F.size("starts") > 0)
+
+
+def _runs(positions: DataFrame, min_words: int) -> DataFrame:
+    """Each position extended both ways: doc_id, th, fp, first and last (places of a run's ends) and run (a hash of its lines).
+
+    To the left a position extends to each of its windows' beginnings, and from there line by line to the right: first to where the run has min_words
+    words, then on while it would not have them without its first line. What is longer is put together from such runs.
+    """
+    own = lambda s: F.concat(F.filter("left", lambda x: x["before"] >= s), F.array("line"))
+    words = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x["nw"].cast("int"))
 
+    def extended(s: Column) -> Column:
+        def upto(b: Column) -> Column:
+            ls = F.concat(own(s), F.slice("right", F.lit(1), b))
+            n = words(ls)
+            enough = (n >= min_words) & ((b == 0) | (n - F.element_at(ls, -1)["nw"] < min_words) | (n - F.get(ls, F.lit(0))["nw"] < min_words))
+            return F.when(enough, F.struct(F.get(ls, F.lit(0))["pos"].alias("first"), F.element_at(ls, -1)["pos"].alias("last"), F.xxhash64(F.transform(ls, lambda x: x["h"])).alias("run")))
 
-def _later(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key occurs at an earlier place as well."""
-    place = F.struct("doc_id", "th", "first")
-    heads = written(rows.groupBy(*key).agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
-    return rows.join(heads, key).select("*", (~F.col("head").eqNullSafe(place)).alias("later"))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size("right")), upto), lambda r: r.isNotNull())
+
+    return positions.select("doc_id", "th", "fp", F.explode(F.flatten(F.transform("starts", extended))).alias("r")).select("doc_id", "th", "fp", "r.*")
 
 
 def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text) and removed (places of the lines in later copies of a run of lines, from 0)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.unhex(F.md5(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("nw")))
-    docs = df.select("doc_id", F.xxhash64(text).alias("th"), F.filter(split, lambda x: x["nw"] > 0).alias("lines"))
-    lines = docs.groupBy("doc_id", "th").agg(F.first("lines").alias("lines")).select("doc_id", "th", F.explode("lines").alias("x")).select("doc_id", "th", "x.*")
-    windows = written(_windows(lines, min_words), "windows")
+    selected = written(fingerprints(_split(df), min_words), "fingerprints")
     # What is counted by fingerprint and by run is a table of its own, so that the joins may split what very many documents share.
-    repeated = written(windows.groupBy("fp").agg(F.min("at").alias("x"), F.max("at").alias("y")).filter("x <> y").select("fp"), "repeated")
-    candidates = written(windows.join(repeated, "fp", "left_semi").drop("at"), "windows")
-    # Positions of one fingerprint meet where their runs are alike: one row per position, never pairs.
-    matches = written(_later(candidates, ["fp", "run"]).drop("head"), "matches")
-    # Each match is extended: by every line that the runs' surroundings go on alike. To the left a longer match is the match of an earlier line.
-    prefix = lambda k: F.xxhash64("run", F.transform(F.slice("next", F.lit(1), k + 1), lambda x: x["h"]))
-    steps = F.transform("next", lambda x, k: F.struct(x["pos"].alias("to"), prefix(k).alias("longer")))
-    longer = matches.select("doc_id", "th", "first", "last", "fp", F.explode(steps).alias("x")).select("doc_id", "th", "first", "last", "fp", "x.*")
-    extended = _later(longer, ["fp", "longer"]).filter("later").select("doc_id", "th", "first", F.col("to").alias("last"))
-    gone = matches.filter("later").select("doc_id", "th", "first", "last").unionByName(extended)
+    repeated = written(selected.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "repeated")
+    # Positions with a fingerprint that others have are extended; runs of one fingerprint meet where they are alike: one row per run, never pairs.
+    runs = written(_runs(selected.join(repeated, "fp", "left_semi"), min_words), "runs")
+    place = F.struct("doc_id", "th", "first")
+    heads = written(runs.groupBy("fp", "run").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
+    gone = runs.join(heads, ["fp", "run"]).filter(~F.col("head").eqNullSafe(place)).select("doc_id", "th", "first", "last")
     # Of the runs from one line the longest counts; overlapping ones are joined before a document's places are listed.
-    runs = gone.groupBy("doc_id", "th", "first").agg(F.max("last").alias("last"))
+    ends = gone.groupBy("doc_id", "th", "first").agg(F.max("last").alias("last"))
     reach = F.max("last").over(Window.partitionBy("doc_id", "th").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = runs.select("doc_id", "th", F.greatest("first", F.coalesce(reach + 1, F.lit(0))).alias("first"), "last").filter("first <= last")
+    fresh = ends.select("doc_id", "th", F.greatest("first", F.coalesce(reach + 1, F.lit(0))).alias("first"), "last").filter("first <= last")
     return fresh.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.sequence("first", "last"))).alias("removed"))
 
 
@@ -75,9 +90,9 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, st
     of a hash of the text, then of place), in this or another document, is deleted as far as the two go on alike in both directions. What
     occurs first stays. Lines are equal if all their characters are.
 
-    Each line's run of min_words words selects a fingerprint (its smallest line hash). Fingerprints at one place only are dropped; positions
-    of the others are joined where their runs are alike, and every match is extended line by line, so that a match ends where
-    no earlier place goes on. Copies meet by hashes of runs, never in pairs.
+    Windows of min_words words select their smallest line hash as a fingerprint (see fingerprints), fewer positions than lines. Those whose
+    fingerprint occurs once are dropped; the others are extended line by line to both sides, and what begins alike at an earlier position goes as far as the
+    two go on alike. Copies meet by fingerprints and hashes of runs, never in pairs.
 
     Null texts stay null with 0 lines. Repeated rows (same id and text) are one document, and each row comes back with the same result;
     rows with one id and several texts are several documents. Null ids come first. An empty table gives no rows. Columns with the names in

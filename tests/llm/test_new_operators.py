@@ -13,7 +13,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import centroids, resample, urls
+from pyspark.sql import functions as F
+
+from tessera.llm import centroids, lines, resample, urls
 
 CLASH = ["host", "path", "rule", "verdict", "best", "row", "own", "text_", "cluster", "n_words", "at", "part", "place", "v", "key"]
 
@@ -196,3 +198,63 @@ def test_resampling_of_nothing(spark):
     docs, target = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert resample.resampled(docs.limit(0), target).count() == 0
     assert sorted(repr(tuple(r)) for r in resample.resampled(docs, target.limit(0)).collect()) == by_hand([(1, "a b")], [])
+
+
+# winnowing of lines
+
+
+def line_docs(rng, n):
+    """Documents of lines of 1 to 70 words, many of which come from a few passages, at any place of them."""
+    line = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(rng.choice([1, 1, 5, 12, 30, 49, 50, 70])))
+    shared = [[line() for _ in range(rng.randint(3, 14))] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            passage = rng.choice(shared) if rng.random() < 0.5 else [line() for _ in range(rng.randint(1, 6))]
+            a = rng.randint(0, len(passage) - 1)
+            parts += passage[a : rng.randint(a + 1, len(passage))] + rng.choice([[], ["  "], ["one more"]])
+        rows.append((i, "\n".join(parts)))
+    return rows
+
+
+def winnowed(text, least=50):
+    """The positions that windows over a text's lines select, by the definition."""
+    ls = [(i, hashlib.md5(x.encode()).digest(), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate(text.split("\n"))]
+    ls, out = [x for x in ls if x[2]], set()
+    for a in range(len(ls)):
+        b, n = a, 0
+        while b < len(ls) and n < least:
+            n += ls[b][2]
+            b += 1
+        if n >= least:
+            out.add(min(ls[a:b], key=lambda x: (x[1], -x[0]))[0])
+    return out
+
+
+def test_winnowing_selects_few_positions_and_drops_those_that_stand_alone(spark):
+    rows = line_docs(random.Random(6), 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = lines._split(df)
+    selected = lines.fingerprints(split)
+    got = {(r.doc_id, r.line.pos) for r in selected.collect()}
+    assert got == {(i, p) for i, t in rows for p in winnowed(t)}
+    n, fps = split.count(), Counter(r.fp for r in selected.select("fp").collect())
+    alone = sum(1 for c in fps.values() if c == 1)
+    assert len(got) < 0.7 * n and 0 < alone < len(got)
+    # with one fingerprint for all, all positions stay candidates: the fingerprint is what thins them out
+    constant = selected.withColumn("fp", F.lit(b"x"))
+    assert constant.groupBy("fp").count().filter("count > 1").agg(F.sum("count")).first()[0] == len(got) > len(got) - alone
+
+
+def test_matches_end_where_the_texts_part_on_either_side(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    core = [word("m", 20), word("n", 20), word("o", 20)]
+    one = "\n".join([word("p", 9), word("x", 30), *core, word("y", 30), word("q", 9)])
+    two = "\n".join([word("r", 9), word("x", 30), *core, word("y", 30), word("s", 9)])  # the same five lines between others
+    three = "\n".join([*core[1:], word("z", 60)])  # 40 words of it only
+    four = "\n".join([word("t", 3), core[2], word("y", 30), word("u", 70), core[0], core[1]])  # 50 words, and 40
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame([(1, one), (2, two), (3, three), (4, four)], "doc_id long, text string")).collect()}
+    assert got[1] == one and got[3] == three
+    assert got[2] == "\n".join([word("r", 9), word("s", 9)])
+    assert got[4] == "\n".join([word("t", 3), word("u", 70), core[0], core[1]])
