@@ -7,8 +7,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from heapq import nsmallest
 from html import unescape
 from urllib.parse import urlsplit
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,9 @@ DOUBTED_NAMES = frozenset(
     " footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share"
     " sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+# Kinds that the text never holds, whatever a host's pages show: what readers enter and what they comment.
+LEFT_OUT_TAGS = frozenset("form button select dialog".split())
+LEFT_OUT_NAMES = frozenset("comment comments".split())
 STATES = frozenset("has with without no is not show hide open closed enabled disabled layout".split())
 OF_TEXT = frozenset("article post entry story content".split())
 #: Elements nested deeper than this share the place of the one at this depth.
@@ -62,10 +67,11 @@ def doubted(names: str) -> bool:
 class _Node:
     """An element. Of siblings alike in tag and class each has its own place in the tree, but paragraphs, list items and the like share one.
 
-    paths: the places of the elements around it, its own last. doubt: its tag or name speaks against it. size: characters of text in it.
+    paths: the places of the elements around it, its own last. doubt: its tag or name speaks against it. fixed: it is of a kind that is left out.
+    size: characters of text in it.
     """
 
-    __slots__ = ("children", "doubt", "inside", "name", "parent", "path", "paths", "seen", "size", "tag")
+    __slots__ = ("children", "doubt", "fixed", "inside", "name", "parent", "path", "paths", "seen", "size", "tag")
 
     def __init__(self, tag: str, names: str, parent: _Node | None):
         self.tag, self.name, self.seen, self.parent, self.size = tag, f"{tag}.{_DIGITS.sub('0', names)}", Counter(), parent, 0
@@ -79,12 +85,22 @@ class _Node:
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         named = tag not in ("html", "body", "main") and doubted(names)
         self.doubt = tag in DOUBTED_TAGS or named or (tag == "header" and not self.inside)
+        self.fixed = tag in LEFT_OUT_TAGS or (named and not LEFT_OUT_NAMES.isdisjoint(_PARTS.split(names)))
         if parent:
             parent.children.append(self.name)
 
 
+def features(text: str, most: int = 2) -> list[int]:
+    """Hashes of up to `most` runs of three words of a text, the same wherever the text stands: those at its words of smallest hash; a shorter text is one."""
+    words = text.split(" ")
+    if len(words) < 3:
+        return [crc32(text.encode("utf-8", "replace"))]
+    own = [crc32(w.encode("utf-8", "replace")) for w in words[:-2]]
+    return sorted({crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in nsmallest(most, range(len(own)), key=own.__getitem__)})
+
+
 def parse(html: str) -> tuple[list[dict], list[dict]]:
-    """The text blocks in page order (text, paths of the elements around it) and the elements (path, paths, style, inner, doubt, size).
+    """The text blocks in page order (text, paths of the elements around it, features) and the elements (path, paths, style, inner, doubt, fixed, size).
 
     White space within a block is one blank; character references are decoded; an element that is never closed ends with its parent. An inline
     element whose name speaks against it is a block of its own, while the text around it goes on. style: a hash of what stands directly
@@ -100,7 +116,7 @@ def parse(html: str) -> tuple[list[dict], list[dict]]:
         texts[-1].clear()
         if words:
             text, node = " ".join(words), nodes[-1]
-            blocks.append({"text": text, "paths": node.paths})
+            blocks.append({"text": text, "paths": node.paths, "features": features(text)})
             node.children.append("#")
             while node is not None:
                 node.size += len(text)
@@ -194,49 +210,78 @@ def parse(html: str) -> tuple[list[dict], list[dict]]:
     for n in elements:
         style = _hash(*n.children) if n.children else 0
         inner = bool(n.children) and n.children != ["#"]
-        own = merged.setdefault((n.path, style), {"path": n.path, "paths": n.paths, "style": style, "inner": inner, "doubt": n.doubt, "size": 0})
+        own = merged.setdefault((n.path, style), {"path": n.path, "paths": n.paths, "style": style, "inner": inner, "doubt": n.doubt, "fixed": n.fixed, "size": 0})
         own["size"] += n.size
     return blocks, [merged[k] for k in sorted(merged)]
 
 
 @dataclass(frozen=True)
 class Tree:
-    """least: pages of a host with an element from which the tree's evidence about it counts; weight: share of presentation in an inner
-    element's importance; cut: importance below which a branch goes; prior: factor of an element whose tag or name speaks against it;
-    most: share of its pages' text from which on the tree overrules that; broadcast: branches that are broadcast at most.
+    """least: pages with an element from which the trees' evidence about it counts; weight: share of presentation in an inner element's importance;
+    cut: importance in its host's tree below which a branch goes; spread and doubted: the least spread (see evidence) of a branch that stays, without
+    and with a tag or name that speaks against it; prior: what such a name says of the spread, and names: for how many pages' evidence that counts;
+    most: share of its pages' text beyond which a name says nothing; broadcast: branches that are broadcast at most.
     """
 
     least: int = 8
     weight: float = 0.5
     cut: float = 0.25
+    spread: float = 0.5
+    doubted: float = 0.8
     prior: float = 0.2
+    names: float = 50
     most: float = 0.75
     broadcast: int = 100_000
 
 
+def evidence(parsed: DataFrame, places: DataFrame, tree: Tree = Tree()) -> DataFrame:
+    """path, pages and own (0 to 1) of every place in the tree of all hosts: one minus the mean entropy of its features, to the base of its pages.
+
+    A feature (a run of three words) that one page has counts 0 of entropy, one that all pages have there counts 1; so menus and advertisements,
+    however many different ones there are, come out low, and articles near 1. Pages with the same longest text are copies and count once.
+    places: path and paths.
+    """
+    log = lambda n: F.log(n.cast("double"))
+    pages = parsed.select("copy", F.explode(F.array_distinct(F.transform("nodes", lambda n: n["path"]))).alias("path")).distinct().groupBy("path").agg(F.count("*").alias("pages"))
+    leaf = parsed.select("copy", F.explode("blocks").alias("b")).select("copy", F.try_element_at("b.paths", F.lit(-1)).alias("path"), F.explode("b.features").alias("f")).filter("path IS NOT NULL")
+    spread = leaf.distinct().groupBy("path", "f").agg(F.count("*").alias("c")).groupBy("path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * log(F.col("c"))).alias("s"))
+    here = spread.join(pages, "path").join(places, "path").select("n", F.when(F.col("pages") > 1, F.col("s") / log(F.col("pages"))).otherwise(0.0).alias("h"), F.explode("paths").alias("path"))
+    around = here.groupBy("path").agg((1 - F.sum("h") / F.sum("n")).alias("own"))
+    own = F.when(F.col("pages") >= tree.least, F.coalesce("own", F.lit(1.0))).otherwise(1.0)
+    return pages.join(around, "path", "left").select("path", "pages", own.alias("own"))
+
+
 def importance(parsed: DataFrame, tree: Tree = Tree()) -> DataFrame:
-    """host, path, importance and trust of every element of the hosts' style trees.
+    """host, path, importance and named (a tag or name took part in it) of every element of the hosts' style trees.
 
     Presentation: the entropy, to the base of the number of pages, of what stands directly below the element. Content: over the texts below
     it, one minus the share of the host's other pages that have this text there, so what every page repeats counts 0 on hosts of any size.
-    Elements that hold only text count by content alone. Trust, a factor of importance: 1, or `prior` within an element whose tag or name
-    speaks against it; the more of its pages' text beyond `most` such an element holds, the less that counts.
+    Elements that hold only text count by content alone.
+
+    A host may have too few pages to show that its noise comes from a small stock; the tree of all hosts says so (see evidence). A name that speaks
+    against an element is worth the evidence of some pages and asks for more spread: it decides where pages are few or the spread is middling. An
+    element whose spread is too small is below the cut, and so is all in it if its name took part. Kinds that are left out always are, unless they hold most of their pages' text.
     """
     log = lambda n: F.log(n.cast("double"))
     elements = parsed.select("host", "chars", F.explode("nodes").alias("n")).select("host", "chars", "n.*")
     style = elements.groupBy("host", "path", "style").agg(
-        F.count("*").alias("c"), F.max("inner").alias("inner"), F.max("doubt").alias("doubt"), F.first("paths").alias("paths"),
+        F.count("*").alias("c"), F.max("inner").alias("inner"), F.max("doubt").alias("doubt"), F.max("fixed").alias("fixed"), F.first("paths").alias("paths"),
         F.sum("size").alias("size"), F.sum("chars").alias("chars"),
     )
     shape = style.groupBy("host", "path").agg(
-        F.sum("c").alias("pages"), F.sum(F.col("c") * log(F.col("c"))).alias("s"), F.max("inner").alias("inner"), F.max("doubt").alias("doubt"),
+        F.sum("c").alias("pages"), F.sum(F.col("c") * log(F.col("c"))).alias("s"), F.max("inner").alias("inner"), F.max("doubt").alias("doubt"), F.max("fixed").alias("fixed"),
         F.first("paths").alias("paths"), (F.sum("size") / F.greatest(F.sum("chars"), F.lit(1))).alias("mass"),
     )
-    relief = F.greatest(F.lit(0.0), (F.col("mass") - tree.most) / (1 - tree.most))
-    shape = written(shape.withColumn("own", F.when(F.col("doubt"), tree.prior + (1 - tree.prior) * relief).otherwise(1.0)), "shape")
-    doubts = shape.filter("own < 1").select("host", F.col("path").alias("around"), "own")
+    shape = written(shape, "shape")
+    known = evidence(parsed, shape.groupBy("path").agg(F.first("paths").alias("paths")), tree).select("path", F.col("pages").alias("n"), "own")
+    says = F.col("doubt") & (F.col("mass") <= tree.most)  # its name speaks against it
+    weighed = (F.col("n") * F.col("own") + tree.names * tree.prior) / (F.col("n") + tree.names)
+    shown = F.when(says & F.col("fixed"), tree.prior).when(says, weighed).otherwise(F.col("own"))
+    needed = F.when(says, tree.doubted).otherwise(tree.spread)
+    shape = written(shape.join(known, "path").withColumns({"trust": F.least(F.lit(1.0), shown / needed), "says": says}), "shape")
+    doubts = shape.filter("says AND trust < 1").select("host", F.col("path").alias("around"), "trust")
     below = shape.select("host", "path", F.explode("paths").alias("around")).join(doubts, ["host", "around"])
-    trust = below.groupBy("host", "path").agg(F.min("own").alias("trust"))
+    trust = below.groupBy("host", "path").agg(F.min("trust").alias("least"))
 
     own = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["paths"].alias("paths"), F.xxhash64(b["text"]).alias("content"))))
     leaf = parsed.select("host", F.explode(own).alias("b")).groupBy("host", F.col("b.paths").alias("paths"), F.col("b.content").alias("content"))
@@ -249,35 +294,34 @@ def importance(parsed: DataFrame, tree: Tree = Tree()) -> DataFrame:
     presentation, content = share(F.col("s"), F.col("pages")), F.coalesce(1 - F.col("r") / F.col("t"), F.lit(0.0))
     seen = F.when(F.col("inner"), tree.weight * presentation + (1 - tree.weight) * content).otherwise(content)
     seen = F.when(F.col("pages") >= tree.least, seen).otherwise(1.0)
-    trusted = F.coalesce("trust", F.lit(1.0))
     joined = shape.join(texts, ["host", "path"], "left").join(trust, ["host", "path"], "left")
-    return joined.select("host", "path", (seen * trusted).alias("importance"), trusted.alias("trust"))
+    factor = F.least("trust", F.coalesce("least", F.lit(1.0)))
+    return joined.select("host", "path", F.when(factor < 1, seen * tree.cut * factor).otherwise(seen).alias("importance"), F.col("least").isNotNull().alias("named"))
 
 
 def low_branches(parsed: DataFrame, tree: Tree = Tree()) -> DataFrame:
-    """host, path and trust of the deepest elements below the cut: those around an element at or above it are not among them."""
+    """host, path and named of the deepest elements below the cut: those around an element at or above it are not among them."""
     known = written(importance(parsed, tree), "importance")
     high = known.filter(F.col("importance") >= tree.cut).select("host", "path")
     chains = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["paths"]))).alias("paths")).distinct()
     placed = chains.select("host", "paths", F.posexplode("paths").alias("at", "path")).join(high, ["host", "path"])
     around = placed.select("host", F.explode(F.slice("paths", F.lit(1), F.col("at"))).alias("path")).distinct()
-    return known.filter(F.col("importance") < tree.cut).select("host", "path", "trust").join(around, ["host", "path"], "left_anti")
+    return known.filter(F.col("importance") < tree.cut).select("host", "path", "named").join(around, ["host", "path"], "left_anti")
 
 
 def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """page_id, url and html to page_id, url, text (blocks joined by line ends) and n_chars.
 
-    A branch goes if its importance in its host's tree is below the cut and nothing important lies in it, in article and main as elsewhere.
-    Tags and names are a prior factor of importance. Elements on few pages of a host have little evidence of their own and go by the
-    prior alone, as do the pages of which the tree would leave nothing (copies). Null html is an empty page; pages without url are one host;
+    A branch goes if its importance is below the cut and nothing important lies in it, in article and main as elsewhere. Where pages are few,
+    tags and names count for more than what the trees show. A page of which nothing would be left (a copy) loses only branches whose name took part. Null html is an empty page; pages without url are one host;
     repeated rows each give a row; other columns are not looked at; no rows give no rows. Pages of any length are parsed whole in linear
     time; elements deeper than 200 levels count as part of the one at that level.
     """
     spark = df.sparkSession
     bounded(spark)
-    block = pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64()))])
+    block = pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64())), ("features", pa.list_(pa.int64()))])
     node = pa.struct(
-        [("path", pa.int64()), ("paths", pa.list_(pa.int64())), ("style", pa.int64()), ("inner", pa.bool_()), ("doubt", pa.bool_()), ("size", pa.int64())]
+        [("path", pa.int64()), ("paths", pa.list_(pa.int64())), ("style", pa.int64()), ("inner", pa.bool_()), ("doubt", pa.bool_()), ("fixed", pa.bool_()), ("size", pa.int64())]
     )
 
     def host(url: str | None) -> str:
@@ -293,25 +337,25 @@ def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
                 got = [parse(x or "") for x in part.column(2).to_pylist()]
                 hosts = [host(u) for u in part.column(1).to_pylist()]
                 chars = [sum(len(x["text"]) for x in b) for b, _ in got]
-                columns = [pa.array(hosts, pa.string()), pa.array(chars, pa.int64()), pa.array([b for b, _ in got], pa.list_(block)), pa.array([n for _, n in got], pa.list_(node))]
-                yield pa.record_batch([part.column(0), part.column(1), *columns], ["page_id", "url", "host", "chars", "blocks", "nodes"])
+                copies = [_hash(max((x["text"] for x in b), key=lambda t: (len(t), t), default="")) for b, _ in got]
+                columns = [pa.array(hosts, pa.string()), pa.array(copies, pa.int64()), pa.array(chars, pa.int64()), pa.array([b for b, _ in got], pa.list_(block)), pa.array([n for _, n in got], pa.list_(node))]
+                yield pa.record_batch([part.column(0), part.column(1), *columns], ["page_id", "url", "host", "copy", "chars", "blocks", "nodes"])
 
     pages = df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     dom = pages.mapInArrow(
         run,
-        "page_id long, url string, host string, chars long, blocks array<struct<text:string,paths:array<long>>>,"
-        " nodes array<struct<path:long,paths:array<long>,style:long,inner:boolean,doubt:boolean,size:long>>",
+        "page_id long, url string, host string, copy long, chars long, blocks array<struct<text:string,paths:array<long>,features:array<long>>>,"
+        " nodes array<struct<path:long,paths:array<long>,style:long,inner:boolean,doubt:boolean,fixed:boolean,size:long>>",
     )
     parsed = written(dom.withColumn("row", F.monotonically_increasing_id()), "dom")
     low = written(low_branches(parsed, tree), "noise")
-    of_prior = F.col("trust") < tree.cut
     texts = parsed.select("row", "page_id", "url", "host", "blocks")
     if low.count() <= tree.broadcast:
-        by_host = low.groupBy("host").agg(F.collect_list("path").alias("low"), F.collect_list(F.when(of_prior, F.col("path"))).alias("named"))
+        by_host = low.groupBy("host").agg(F.collect_list("path").alias("low"), F.collect_list(F.when(F.col("named"), F.col("path"))).alias("named"))
         joined = texts.join(F.broadcast(by_host), "host", "left")
     else:  # each page meets only its own low branches
         own = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path"))
-        by_page = own.join(low, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("low"), F.collect_list(F.when(of_prior, F.col("path"))).alias("named"))
+        by_page = own.join(low, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("low"), F.collect_list(F.when(F.col("named"), F.col("path"))).alias("named"))
         joined = texts.join(by_page, "row", "left")
     none = F.array().cast("array<bigint>")
     outside = lambda c: F.filter("blocks", lambda b: ~F.arrays_overlap(b["paths"], F.coalesce(c, none)))
