@@ -481,6 +481,66 @@ def test_packing_keeps_all_ids_and_limits(spark):
     assert len(twice) == 2
 
 
+def plain_pack(examples, limit):
+    """The rule in plain lists: (key, ids, loss_from) in order to (key, start, length, sequence, offset)."""
+    waiting, out, sequence = [], [], 0
+
+    def fill(first=None):
+        nonlocal sequence
+        left, offset = [limit.tokens, limit.segments, limit.loss], 0
+
+        def place(key, start, length, loss_from):
+            nonlocal offset
+            out.append((key, start, length, sequence, offset))
+            for i, x in enumerate((length, 1, min(length, max(0, start + length - loss_from)))):
+                left[i] -= x
+            offset += length
+
+        if first:
+            place(*first)
+        while waiting and left[0] >= 1 and left[1] >= 1:
+            need = [(end - start, 1, min(end - start, max(0, end - loss_from))) for _, start, end, loss_from in waiting]
+            gain = [d[0] * left[0] / limit.tokens**2 + d[1] * left[1] / limit.segments**2 + d[2] * left[2] / limit.loss**2 for d in need]
+            room = [min(d[0], left[0], d[0] - d[2] + left[2]) for d in need]
+            fits = [i for i, d in enumerate(need) if all(x <= y for x, y in zip(d, left, strict=True))] or [i for i, r in enumerate(room) if r == max(room)]
+            i = max(fits, key=lambda i: (gain[i], -i))
+            if room[i] < 1:
+                break
+            key, start, end, loss_from = waiting[i]
+            waiting[i] = waiting[-1]
+            waiting.pop()
+            length = room[i]
+            place(key, start, length, loss_from)
+            if start + length < end:
+                waiting.append((key, start + length, end, loss_from))
+        sequence += 1
+
+    for key, n, loss_from in examples:
+        start = 0
+        while n - start >= limit.tokens:
+            length = min(limit.tokens, max(0, loss_from - start) + limit.loss)
+            fill((key, start, length, loss_from))
+            start += length
+        if start < n:
+            waiting.append((key, start, n, loss_from))
+        while len(waiting) >= limit.pool:
+            fill()
+    while waiting:
+        fill()
+    return out
+
+
+@pytest.mark.parametrize("limit", [packing.PRODUCTION, packing.Limits(tokens=128, segments=3, loss=100, pool=16), packing.Limits(tokens=64, segments=64, loss=9, pool=5)])
+def test_packing_is_that_of_a_plain_packer(limit):
+    rng = random.Random(limit.tokens)
+    examples = [(i, int(rng.paretovariate(0.8) * 20) % 3000 + 1, rng.choice([0, 0, 5, 60, 400])) for i in range(700)]
+    packer = packing.Packer(limit, 0)
+    for i, n, loss_from in examples:
+        packer.add(i, np.arange(n, dtype=np.uint32), loss_from)
+    packer.close()
+    assert [(o[0], o[1], o[2], o[5], o[6]) for o in packer.out] == plain_pack(examples, limit)
+
+
 def test_all_limits_of_the_packing_query_bind_and_little_is_padded(spark):
     """Full in tokens, in loss-bearing tokens or in pieces: each happens, and the choice keeps the tokens together at nearly 1024."""
     sf = "/root/testdata/sf0.01"
@@ -490,7 +550,12 @@ def test_all_limits_of_the_packing_query_bind_and_little_is_padded(spark):
         bins[r.sequence_id].append(r)
     tokens = [sum(r.length for r in b) for b in bins.values()]
     loss = [sum(r.loss_tokens for r in b) for b in bins.values()]
-    assert sum(t == 1024 and x < 1008 for t, x in zip(tokens, loss, strict=True)) > 20 and sum(x == 1008 for x in loss) > 20
+    pieces = [len(b) for b in bins.values()]
+    # each of the three limits is what ends some sequences, by itself
+    assert sum(t == 1024 and x < 1008 and n < 4 for t, x, n in zip(tokens, loss, pieces, strict=True)) > 20
+    assert sum(t < 1024 and x == 1008 and n < 4 for t, x, n in zip(tokens, loss, pieces, strict=True)) > 0
+    assert sum(t < 1024 and x < 1008 and n == 4 for t, x, n in zip(tokens, loss, pieces, strict=True)) > 5
+    assert max(pieces) == 4 and max(loss) == 1008 and max(tokens) == 1024
     assert sum(tokens) / 1024 / len(tokens) > 0.98
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     check_pieces(rows, {i: np.append(token_ids(t or "", default_path()), np.uint32(0)) for i, t in docs.items()}, packing.PRODUCTION)
