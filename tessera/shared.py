@@ -60,7 +60,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEAN_UP)
