@@ -90,13 +90,17 @@ class _Node:
             parent.children.append(self.name)
 
 
+def _signed(text: str) -> int:
+    return crc32(text.encode("utf-8", "replace")) - (1 << 31)
+
+
 def features(text: str, most: int = 2) -> list[int]:
     """Hashes of up to `most` runs of three words of a text, the same wherever the text stands: those at its words of smallest hash; a shorter text is one."""
     words = text.split(" ")
     if len(words) < 3:
-        return [crc32(text.encode("utf-8", "replace"))]
+        return [_signed(text)]
     own = [crc32(w.encode("utf-8", "replace")) for w in words[:-2]]
-    return sorted({crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in nsmallest(most, range(len(own)), key=own.__getitem__)})
+    return sorted({_signed(" ".join(words[i : i + 3])) for i in nsmallest(most, range(len(own)), key=own.__getitem__)})
 
 
 def parse(html: str) -> tuple[list[dict], list[dict]]:
@@ -319,7 +323,7 @@ def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """
     spark = df.sparkSession
     bounded(spark)
-    block = pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64())), ("features", pa.list_(pa.int64()))])
+    block = pa.struct([("text", pa.string()), ("paths", pa.list_(pa.int64())), ("features", pa.list_(pa.int32()))])
     node = pa.struct(
         [("path", pa.int64()), ("paths", pa.list_(pa.int64())), ("style", pa.int64()), ("inner", pa.bool_()), ("doubt", pa.bool_()), ("fixed", pa.bool_()), ("size", pa.int64())]
     )
@@ -344,7 +348,7 @@ def extract(df: DataFrame, tree: Tree = Tree()) -> DataFrame:
     pages = df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     dom = pages.mapInArrow(
         run,
-        "page_id long, url string, host string, copy long, chars long, blocks array<struct<text:string,paths:array<long>,features:array<long>>>,"
+        "page_id long, url string, host string, copy long, chars long, blocks array<struct<text:string,paths:array<long>,features:array<int>>>,"
         " nodes array<struct<path:long,paths:array<long>,style:long,inner:boolean,doubt:boolean,fixed:boolean,size:long>>",
     )
     parsed = written(dom.withColumn("row", F.monotonically_increasing_id()), "dom")

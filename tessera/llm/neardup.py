@@ -36,6 +36,8 @@ class Join:
 
 #: One set in so many is looked at to find very common tiles, of which there are at most so many.
 SAMPLED, MOST_COMMON = 64, 100_000
+#: Pairs that a task remembers so as not to say them again.
+TOLD = 500_000
 
 
 @lru_cache(maxsize=8)
@@ -134,20 +136,40 @@ def _sid(u: np.ndarray) -> int:
 
 
 def signatures(df: DataFrame, j: Join) -> DataFrame:
-    """row (a number), doc_id, th (a hash of the text), n (size of the set), sid (a hash of the set; null if empty) and keys of all rows."""
+    """row (a number), doc_id, th (a hash of the text), n (size of the set) and sid (a hash of the set; null if empty) of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, k, data, at in steps(batch.column(1)):
-                rows = []
-                for u in shingle_sets(data, at, j.words):
-                    rows.append((len(u), _sid(u), tile_keys(u, j).view(np.int64)) if len(u) else (0, None, None))
-                n, sid, keys = zip(*rows, strict=True)
-                made = [pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.record_batch([batch.column(0)[i:k], batch.column(2)[i:k], *made], ["doc_id", "th", "n", "sid", "keys"])
+                rows = [(len(u), _sid(u)) if len(u) else (0, None) for u in shingle_sets(data, at, j.words)]
+                n, sid = zip(*rows, strict=True)
+                yield pa.record_batch([batch.column(0)[i:k], batch.column(2)[i:k], pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "th", "n", "sid"])
+
+    return _texts(df).mapInArrow(run, "doc_id long, th long, n long, sid long").withColumn("row", F.monotonically_increasing_id())
+
+
+def tiled(df: DataFrame, nodes: DataFrame, j: Join) -> DataFrame:
+    """sid and keys of the nodes (node_doc, node_th, node_sid). Keys are worked out anew each time: as a table they would take half as much as the texts.
+
+    Rows of one id and text come as often as they are there.
+    """
 
-    rows = _texts(df).mapInArrow(run, "doc_id long, th long, n long, sid long, keys array<long>")
-    return rows.withColumn("row", F.monotonically_increasing_id())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, data, at in steps(batch.column(1)):
+                rows = [(i + k, _sid(u), tile_keys(u, j).view(np.int64)) for k, u in enumerate(shingle_sets(data, at, j.words)) if len(u)]
+                if rows:
+                    place, sid, keys = zip(*rows, strict=True)
+                    at_ = pa.array(place)
+                    yield pa.record_batch([batch.column(0).take(at_), batch.column(2).take(at_), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "sid", "keys"])
+
+    # The join comes before the keys where it moves no text, else after them.
+    ids = nodes.select("node_doc", "node_th")
+    same = F.col("doc_id").eqNullSafe(F.col("node_doc")) & (F.col("th") == F.col("node_th"))
+    schema = "doc_id long, th long, sid long, keys array<long>"
+    if nodes.count() <= j.broadcast:
+        return _texts(df).join(F.broadcast(ids), same, "left_semi").mapInArrow(run, schema).select("sid", "keys")
+    return _texts(df).mapInArrow(run, schema).join(ids, same, "left_semi").select("sid", "keys")
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -251,6 +273,7 @@ def _crossing(members: DataFrame, j: Join, best: bool) -> DataFrame:
             return set(within(np.array(chunk), np.array(sid), np.array(comp), np.array(n), bits))
 
         held: list = []
+        told: set = set()  # what this task has said already: copies meet in many tiles
         for batch in batches:
             found: set = set()
             columns = [batch.column(i).to_pylist() for i in range(7)]
@@ -260,9 +283,11 @@ def _crossing(members: DataFrame, j: Join, best: bool) -> DataFrame:
                     found |= pairs(held)
                     held = []
                 held.append(((key, a, b), chunk, sid, comp, n, w))
+            found -= told
+            told = found if len(told) > TOLD else told | found
             if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
-        if found := pairs(held):
+        if found := pairs(held) - told:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     rows = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
@@ -294,18 +319,19 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
     return known.join(least, "comp", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), own["doc_id"].alias("component_id"), own["th"].alias("component_th"))
 
 
-def _tiles(rows: DataFrame, j: Join) -> DataFrame:
-    """sid, key and pivot (the tile's least sid) of all tiles that several sets share; rows without their pivots.
+def _tiles(df: DataFrame, nodes: DataFrame, j: Join) -> DataFrame:
+    """sid, key and pivot (the tile's least sid) of all tiles that several of the nodes' sets share; rows without their pivots.
 
     Very common tiles, found by a sample of sets, have their pivots broadcast and are not shuffled; how common is set so that they are
     few. All others are sorted by key, so a tile streams through its task. Which way a tile goes makes no difference to what comes out.
     """
-    placed = rows.select("sid", F.explode("keys").alias("key"))
-    drawn = written(rows.filter(F.pmod(F.xxhash64("sid"), F.lit(SAMPLED)) == 0).select("sid", F.explode("keys").alias("key")).groupBy("key").count(), "drawn")
+    placed = tiled(df, nodes, j).select("sid", F.explode("keys").alias("key"))
+    some = nodes.filter(F.pmod(F.xxhash64("node_sid"), F.lit(SAMPLED)) == 0)
+    drawn = written(tiled(df, some, j).select(F.explode("keys").alias("key")).groupBy("key").count(), "drawn")
     total = drawn.agg(F.sum("count")).first()[0] or 0
     common = drawn.filter("key <> 0").filter(F.col("count") > max(j.chunk // SAMPLED, total // MOST_COMMON)).select(F.col("key").alias("common"))
     # One row more (a key that hardly any tile has; if one does, it goes this way too) keeps the tables from being empty: one plan for all inputs.
-    zero = rows.sparkSession.range(1)
+    zero = df.sparkSession.range(1)
     common = F.broadcast(written(common.union(zero), "common"))
     split = placed.join(common, F.col("key") == F.col("common"), "left")
     cold, often = split.filter("common IS NULL").select("sid", "key"), split.filter("common IS NOT NULL").select("sid", "key")
@@ -320,16 +346,13 @@ def _placed(df: DataFrame, j: Join) -> DataFrame:
     """doc_id, th, n and comp (one value for each component; null without a set) of all rows."""
     spark = df.sparkSession
     with temporary(spark):
-        signed = written(signatures(df, j), "signatures")
+        all_rows = written(signatures(df, j), "signatures", keep=True)
         # One row stands for all with the same set; so no key is shuffled more often than there are sets.
-        nodes = written(signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row")).select("row"), "nodes")
-        if nodes.count() <= j.broadcast:
-            nodes = F.broadcast(nodes)
-        nodes = signed.join(nodes, "row", "left_semi")
-        tiles = written(_tiles(nodes, j), "tiles", keep=True)
-        all_rows = written(signed.select("doc_id", "th", "n", "sid"), "rows", keep=True)
+        node = F.min_by(F.struct("doc_id", "th"), "row").alias("node")
+        nodes = written(all_rows.filter("sid IS NOT NULL").groupBy("sid").agg(node).select(F.col("node.doc_id").alias("node_doc"), F.col("node.th").alias("node_th"), F.col("sid").alias("node_sid")), "nodes", keep=True)
+        tiles = written(_tiles(df, nodes, j), "tiles", keep=True)
         shared = tiles.select("sid").union(tiles.select("pivot")).distinct()
-        sources = written(nodes.select("sid", "doc_id", "th").join(shared, "sid", "left_semi"), "owners", keep=True)
+        sources = written(nodes.select(F.col("node_sid").alias("sid"), F.col("node_doc").alias("doc_id"), F.col("node_th").alias("th")).join(shared, "sid", "left_semi"), "owners", keep=True)
     sets = _sets(df, sources, j)
 
     stars = tiles.groupBy("sid", "pivot").count().groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a")).select("a", F.col("sid").alias("b"))
