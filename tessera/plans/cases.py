@@ -106,6 +106,19 @@ def similarities(spark, sf):
     return _part(spark, sf).select(k.alias("id"), text.similarity(name, other, 0.6).alias("alike"), F.when(k % 4 == 3, text.name_similarity(name, turned)).otherwise(0.0).alias("sorted_alike"))
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, length(p_name)::DOUBLE AS n, length(p_partkey::VARCHAR)::DOUBLE AS d FROM part), r AS (SELECT *, 2 * n / (2 * n + d) AS longer FROM s)
+SELECT id, round(longer, 12) AS longer, round(greatest(n, d) / (n + d), 12) AS turned, round(CASE WHEN longer >= 0.85 THEN longer ELSE 0 END, 12) AS at_least, round(2 * n / (2 * n + 2 * d), 12) AS both_ends FROM r""")
+def similarity_ratios(spark, sf):
+    """Ratios strictly between 0 and 1: a name against itself with digits after it, with the two parts turned, and with other digits on either side."""
+    name, digits = F.col("p_name"), F.col("k").cast("string")
+    other = F.translate(digits, "0123456789", "ABCDEFGHIJ")
+    ratio = lambda a, b, least=0.0: F.round(text.similarity(a, b, least), 12)
+    return _part(spark, sf).select(
+        F.col("k").alias("id"), ratio(name, F.concat(name, digits)).alias("longer"), ratio(F.concat(name, digits), F.concat(digits, name)).alias("turned"),
+        ratio(name, F.concat(digits, name), 0.85).alias("at_least"), ratio(F.concat(name, digits), F.concat(other, name)).alias("both_ends"),
+    )
+
+
 # numbers and time
 
 

@@ -50,3 +50,14 @@ def test_entry_without_the_llm_parts(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'weekly_series' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, check=True, timeout=120)
+
+
+def test_entry_with_llm_parts_that_do_not_import(tmp_path):
+    """A missing library of the text operators takes only their queries away."""
+    shutil.copytree(ROOT / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "tessera" / "llm").mkdir()
+    (tmp_path / "tessera" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "tessera" / "llm" / "queries.py").write_text("import a_library_that_is_not_there")
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'weekly_series' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, check=True, timeout=120)
