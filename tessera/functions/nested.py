@@ -55,8 +55,14 @@ def graph_items(block: Column) -> Column:
 
 
 def streamed_text(html: Column) -> Column:
-    """The text that a page pushes in chunks (self.__next_f.push([1,"..."])), unescaped and joined."""
-    chunks = F.regexp_extract_all(html, F.lit(r'(?s)push\(\[1,\s*("(?:[^"\\]|\\.)*")\s*\]\)'), F.lit(1))
+    """The text that a page pushes in chunks (self.__next_f.push([1,"..."])), unescaped and joined.
+
+    A chunk ends at the first quote that no odd number of backslashes escapes. Chunks are cut by splitting: a pattern over all of a chunk's characters needs
+    stack for each of them.
+    """
+    end = r'(?<=(?<!\\)(?:\\\\){0,20})"\s*\]\)'
+    after = F.split(html, r'push\(\[1,\s*"')
+    chunks = F.transform(F.slice(after, F.lit(2), F.size(after)), lambda x: F.when(x.rlike(end), F.concat(F.lit('"'), F.get(F.split(x, end, 2), F.lit(0)), F.lit('"'))))
     return F.array_join(F.transform(chunks, lambda c: F.try_variant_get(F.try_parse_json(c), "$", "string")), "")
 
 

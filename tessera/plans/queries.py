@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Pairing, Rules
 from ..functions import numbers, text
 from ..operators import dedup, export, grouping, history, lookup, pairs, quality, refine, stats
-from . import cases, identity_cases  # noqa: F401  register their queries
+from . import cases, identity_cases, source_cases  # noqa: F401  register their queries
 from .listing import listings, observations, table
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
