@@ -24,7 +24,7 @@ class Join:
     """words: words of a shingle; percent: two sets link when 100 * intersection >= percent * union.
 
     chunk: rows of a tile's side, and partners of a pivot in one group, about; rounds: rounds in which only best partners of different
-    components meet, before the round that leaves out nothing; broadcast: ids that are broadcast at most (16 bytes each).
+    components meet, before the round that leaves out nothing; broadcast: ids and pairs that are broadcast at most (24 bytes each).
     """
 
     words: int = 5
@@ -36,6 +36,8 @@ class Join:
 
 #: One set in so many is looked at to find very common tiles, of which there are at most so many.
 SAMPLED, MOST_COMMON = 64, 100_000
+#: One tile in so many is looked into for best partners, before all are.
+SOME = 4
 #: Pairs that a task remembers so as not to say them again.
 TOLD = 500_000
 
@@ -203,8 +205,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
     pairs = written(pairs, "pairs")
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / j.chunk).alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt"))
-    partner = salted.join(sets, salted.b == sets.sid).select("a", "salt", F.lit(1).alias("role"), "b", "n", "bits", "set")
     heads = salted.select("a", "salt").distinct()
+    if pairs.count() <= j.broadcast:  # then sets are dealt out once, to their groups, and not first by sid
+        salted, heads = F.broadcast(written(salted, "pairs")), F.broadcast(written(heads, "pairs"))
+    partner = salted.join(sets, salted.b == sets.sid).select("a", "salt", F.lit(1).alias("role"), "b", "n", "bits", "set")
     head = heads.join(sets, heads.a == sets.sid).select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "n", "bits", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +303,7 @@ def near_duplicates(df: DataFrame, j: Join = Join()) -> DataFrame:
     included) and component_th (the smallest th of the rows of that id that can be reached).
 
     Equal sets are one node. Each node is first compared with one pivot, that with which it shares most tiles; what links is one component.
-    Then only tiles that hold several components are looked into: in a round each node meets its best partner in each tile, and at
+    Then only tiles that hold several components are looked into: in a round each node meets its best partner in each of some tiles, and at
     last each pair across components that bitmaps of two bits an element allow is checked exactly. So a group of copies costs a check per
     text, and no pair is left out. Sets are named by 64-bit hashes.
 
@@ -361,11 +365,13 @@ def _placed(df: DataFrame, j: Join) -> DataFrame:
     for k in range(j.rounds + 1):
         last = k == j.rounds
         roots = components(links)
-        placed = members.select("key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
+        # Best partners are looked for in some of the tiles, as like sets share many; the last round looks into all.
+        some = members if last else members.filter(F.pmod(F.xxhash64("key"), F.lit(SOME)) == 0)
+        placed = some.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
         tile = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / j.chunk).alias("chunks"))
-        members = written(placed.join(tile.filter("x < y").select("key", "chunks"), "key"), "members")
+        mixed = written(placed.join(tile.filter("x < y").select("key", "chunks"), "key"), "members")
         bits = sets.select("sid", "n", F.col("wide" if last else "bits").alias("bits"))
-        links = links.union(_verified(_crossing(members.join(bits, "sid"), j, best=not last), sets, j))
+        links = links.union(_verified(_crossing(mixed.join(bits, "sid"), j, best=not last), sets, j))
     roots = written(components(links), "roots")
 
     known = all_rows.join(roots, F.col("sid") == F.col("node"), "left")
