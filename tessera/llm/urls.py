@@ -1,9 +1,11 @@
-"""URL filters: stated host and path rules, and association rules between URL tokens and verdicts that FP-growth mines from labelled URLs."""
+"""URL filters: stated host and path rules, and association rules between URL tokens and verdicts, mined from labelled URLs by FP-growth."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Mining:
     """support: least share of the labelled URLs that hold a rule's tokens and its verdict; confidence: least share of those with the tokens that
-    have the verdict; width: tokens of a URL that take part in mining (matching looks at all of them); default: verdict where no rule fits.
+    have the verdict; width: most tokens of a URL whose sets are listed at once (with more, which only changes the way, sets grow in tables); default:
+    verdict where no rule fits.
     """
 
     support: float = 0.01
@@ -57,32 +60,90 @@ def stated(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return name, verdict
 
 
+def _held(baskets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Sets of a base and one more token (tokens, verdict, n, all) that `least` URLs of a verdict hold, and the tokens that may go on to larger sets
+    (base, x, all).
+
+    Baskets have base (names) and whole (URLs that hold it), own (more tokens), verdict, n (URLs). A set of one verdict does not go on: it fits wherever a
+    larger one does, and no larger one is surer. Nor does a token that all URLs with the base hold: sets count the same without it.
+    """
+    each = baskets.select("base", "whole", "verdict", "n", F.explode("own").alias("x")).groupBy("base", "whole", "x", "verdict").agg(F.sum("n").alias("n"))
+    said = F.collect_list(F.when(F.col("n") >= least, F.struct("verdict", "n"))).alias("said")
+    held = written(each.groupBy("base", "whole", "x").agg(F.sum("n").alias("all"), F.max("n").alias("most"), said).filter(F.col("most") >= least), "held")
+    sets = held.select(F.array_sort(F.concat("base", F.array("x.name"))).alias("tokens"), F.explode("said").alias("v"), "all")
+    return sets.select("tokens", "v.verdict", "v.n", "all"), held.filter((F.col("most") < F.col("all")) & (F.col("all") < F.col("whole"))).select("base", "x", "all")
+
+
+def _grown(baskets: DataFrame, going: DataFrame, least: int) -> list[DataFrame]:
+    """The sets of two tokens and more, as _held has them, from baskets whose own tokens may all go on and are in order, rarest first.
+
+    FP-growth's conditional baskets as tables: each step adds a token to the bases and leaves the tokens after it, and equal baskets are one row. As a
+    base holds the rarer tokens, what they imply is dropped at once, so long paths and fixed sets of fields do not have all their subsets listed.
+    """
+    found = []
+    while True:
+        rest = baskets.select("base", "verdict", "n", "own", F.posexplode("own").alias("i", "x")).select("base", "verdict", "n", "x", F.slice("own", F.col("i") + 2, F.size("own")).alias("own"))
+        merged = rest.filter(F.size("own") > 0).groupBy("base", "x", "own", "verdict").agg(F.sum("n").alias("n")).join(going, ["base", "x"])
+        longer = written(merged.select(F.concat("base", F.array("x.name")).alias("base"), F.col("all").alias("whole"), "own", "verdict", "n"), "baskets")
+        if longer.isEmpty():
+            return found
+        sets, going = _held(longer, least)
+        found.append(sets)
+        goes = going.groupBy("base").agg(F.collect_list("x").alias("goes"))
+        baskets = longer.join(goes, "base").select("base", "verdict", "n", F.array_sort(F.array_intersect("own", "goes")).alias("own"))
+
+
+def _listed(baskets: DataFrame, least: int) -> list[DataFrame]:
+    """The same sets by Spark's FP-growth, which lists all subsets of a basket that are frequent."""
+    items = baskets.select(F.concat("own.name", F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
+    n = items.count()
+    if n < least:
+        return []
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(items).freqItemsets
+    sets = written(found.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    of = F.filter("items", lambda x: x.startswith("verdict:"))
+    plain = sets.filter((F.size(of) == 0) & (F.size("items") > 1)).select(F.col("items").alias("tokens"), F.col("freq").alias("all"))
+    joint = sets.filter((F.size(of) == 1) & (F.size("items") > 2)).select(
+        F.array_except("items", of).alias("tokens"), F.substring(of[0], len("verdict:") + 1, 1 << 30).alias("verdict"), F.col("freq").alias("n")
+    )
+    return [joint.join(plain, "tokens").select("tokens", "verdict", "n", "all")]
+
+
 def mined(labelled: DataFrame, m: Mining = Mining()) -> DataFrame:
     """Rules from labelled URLs (url, verdict): tokens, verdict, n (URLs with the tokens and the verdict), confidence, and key, the rarest token.
 
-    FP-growth finds the token sets, with and without a verdict, that `support` admits; a rule is a set that has a verdict with `confidence`.
+    A rule is a set of tokens that has a verdict with `support` and `confidence`; all tokens of a URL are looked at. Single tokens are counted first.
+    Those that are frequent, not in all URLs and not of one verdict go on to sets: by Spark's FP-growth, or in tables if a URL has more than `width` of them.
     A rule is left out if one of its tokens can go without loss of confidence: the shorter rule fits wherever it does and comes first.
     URLs with null url or verdict are not used.
     """
     spark = labelled.sparkSession
     rows = labelled.filter("url IS NOT NULL AND verdict IS NOT NULL")
-    items = rows.select(F.concat(F.slice(tokens(F.col("url")), 1, m.width), F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
-    empty = spark.createDataFrame([], "items array<string>, freq long")
+    none = F.array().cast("array<string>").alias("base")
     with temporary(spark):
-        found = FPGrowth(itemsCol="items", minSupport=m.support).fit(items).freqItemsets if not items.isEmpty() else empty
-        sets = written(found.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-        of = F.filter("items", lambda x: x.startswith("verdict:"))
-        plain = sets.filter(F.size(of) == 0).select(F.col("items").alias("tokens"), F.col("freq").alias("all"))
-        joint = sets.filter((F.size(of) == 1) & (F.size("items") > 1)).select(
-            F.array_except("items", of).alias("tokens"), F.substring(of[0], len("verdict:") + 1, 1 << 30).alias("verdict"), F.col("freq").alias("n")
-        )
-        rules = joint.join(plain, "tokens").select("tokens", "verdict", "n", (F.col("n") / F.col("all")).alias("confidence"))
+        urls = written(rows.select(tokens(F.col("url")).alias("own"), F.col("verdict").cast("string").alias("verdict")), "labelled")
+        whole = urls.count()
+        least = max(1, math.ceil(m.support * whole))
+        own = F.transform("own", lambda x: F.struct(F.lit(0).cast("long").alias("often"), x.alias("name"))).alias("own")
+        single, going = _held(urls.select(none, F.lit(whole).alias("whole"), own, "verdict", F.lit(1).cast("long").alias("n")), least)
+        going = going.select("base", F.struct(F.col("all").alias("often"), "x.name").alias("x"), "all")
+        # One row; as many tokens as URLs have on average, divided by the support, at most.
+        goes = going.agg(F.array_sort(F.collect_list("x")).alias("goes"))
+        both = urls.crossJoin(F.broadcast(goes)).select(F.array_intersect("own", "goes.name").alias("have"), "goes", "verdict").filter(F.size("have") > 1)
+        baskets = written(both.select(F.filter("goes", lambda x: F.array_contains("have", x["name"])).alias("own"), "verdict"), "baskets")
+        widest = baskets.agg(F.max(F.size("own"))).first()[0] or 0
+        if widest > m.width:
+            more = _grown(baskets.groupBy("own", "verdict").agg(F.count("*").alias("n")).withColumn("base", none), going, least)
+        else:
+            more = _listed(baskets, least)
+        sets = reduce(DataFrame.unionByName, more, single)
+        rules = sets.select("tokens", "verdict", "n", (F.col("n") / F.col("all")).alias("confidence"))
         rules = written(rules.filter(F.col("confidence") >= m.confidence), "rules")
         shorter = rules.select("tokens", "confidence", F.explode("tokens").alias("x")).select(F.col("tokens").alias("whole"), F.col("confidence").alias("own"), F.array_remove("tokens", F.col("x")).alias("tokens"))
         needless = shorter.join(rules.select("tokens", "confidence"), "tokens").filter("confidence >= own").select(F.col("whole").alias("tokens")).distinct()
         useful = rules.join(needless, "tokens", "left_anti")
-        single = plain.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("x"), "all")
-        keys = useful.select("tokens", F.explode("tokens").alias("x")).join(single, "x").groupBy("tokens").agg(F.min_by("x", F.struct("all", "x")).alias("key"))
+        often = single.select(F.col("tokens")[0].alias("x"), "all").distinct()
+        keys = useful.select("tokens", F.explode("tokens").alias("x")).join(often, "x").groupBy("tokens").agg(F.min_by("x", F.struct("all", "x")).alias("key"))
         return written(useful.join(keys, "tokens"), "index", keep=True)
 
 
