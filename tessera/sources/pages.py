@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.nested import first_present, graph_items, json_blocks, photo_urls, property_map, streamed_text, undefined_null
 from ..functions.numbers import in_box
 from ..functions.text import area_number, join_address, to_number, url_key
+from ..shared import written
 
 LISTING_TYPES = ("Apartment", "House", "SingleFamilyResidence", "Residence", "Product", "Accommodation", "RealEstateListing")
 
@@ -81,13 +82,18 @@ def streamed_listings(pages: DataFrame, source: str) -> DataFrame:
 
 
 def state_listings(pages: DataFrame, source: str, state_id: str = "__NEXT_DATA__", houses: str = "$.props.pageProps.initialState.houses", visible: str = "$.props.pageProps.initialState.search.visible") -> DataFrame:
-    """Listings of an embedded state: a map of houses by id, in the order of the list of visible ids."""
+    """Listings of an embedded state: a map of houses by id, in the order of the list of visible ids.
+
+    A page may hold very many houses: its map is taken apart once, and ids meet their houses by a join, not by a search of the map for each id.
+    """
     body = F.regexp_extract("html", rf'(?is)<script[^>]*id=["\']{state_id}["\'][^>]*>(.*?)</script>', 1)
-    v = pages.select("page_id", F.try_parse_json(body).alias("v"))
-    table = F.try_variant_get("v", houses, "map<string,variant>")
-    rows = v.select("page_id", table.alias("m"), F.posexplode(F.try_variant_get("v", visible, "array<string>")).alias("pos", "id"))
-    h = F.try_element_at(F.col("m"), F.col("id"))
-    return rows.select("page_id", "pos", F.col("id").alias("listing_id"), F.lit(source).alias("source"), first_present(h, "title", "name").alias("title"), to_number(first_present(h, "salePrice", "price")).alias("price"), area_number(first_present(h, "area", "totalArea")).alias("area"), first_present(h, "bedrooms", "rooms").try_cast("int").alias("rooms"), first_present(h, "neighbourhood", "regionName").alias("district"))
+    v = pages.select(F.monotonically_increasing_id().alias("page"), "page_id", F.try_parse_json(body).alias("v"))
+    v = written(v.select("page", "page_id", F.to_json(F.try_variant_get("v", houses, "variant")).alias("houses"), F.try_variant_get("v", visible, "array<string>").alias("visible")), "states")
+    h = F.col("h")  # parsed each by itself: a value of the page's variant would carry the names of all fields of the page
+    each = v.select("page", F.explode(F.from_json("houses", "map<string,variant>")).alias("listing_id", "h")).select("page", "listing_id", first_present(h, "title", "name").alias("title"), to_number(first_present(h, "salePrice", "price")).alias("price"), area_number(first_present(h, "area", "totalArea")).alias("area"), first_present(h, "bedrooms", "rooms").try_cast("int").alias("rooms"), first_present(h, "neighbourhood", "regionName").alias("district"))
+    rows = v.select("page", "page_id", F.posexplode("visible").alias("pos", "listing_id"))
+    # the tables' sizes say nothing of the rows in their texts, so neither side may be broadcast
+    return rows.hint("merge").join(each, ["page", "listing_id"], "left").select("page_id", "pos", "listing_id", F.lit(source).alias("source"), "title", "price", "area", "rooms", "district")
 
 
 def flexible_listings(documents: DataFrame, source: str, keys: tuple[str, ...] = ("results", "items", "listings", "data")) -> DataFrame:
