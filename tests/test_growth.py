@@ -7,6 +7,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from tessera.functions import numbers
+from tessera.operators import pairs
 from tessera.sources import pages
 
 
@@ -20,3 +22,25 @@ def test_a_state_of_many_houses_is_taken_apart_once(spark):
     got = pages.state_listings(df, "s").groupBy("district").agg(F.count("*").alias("n"), F.count_if(F.col("price") == n - F.col("pos")).alias("own")).collect()
     assert time.time() - began < 60
     assert {r.district: (r.n, r.own) for r in got} == {"D": (n, n), "E": (n, n), None: (2, 0)}
+
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _points(spark, n: int, places: int):
+    at = F.pmod(F.xxhash64(F.col("id") % places), F.lit(40_000))
+    return spark.range(n).select("id", (F.lit(-3.7) - (at % 200) / 20_000).alias("lat"), (F.lit(-38.5) - F.floor(at / 200) / 20_000).alias("lng")).withColumn("lat", F.when(F.col("id") % 50 > 0, F.col("lat")))
+
+
+def _near(a, b, metres):
+    d = numbers.haversine_m(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
+    return a.alias("a").crossJoin(b.alias("b")).withColumn("metres", d).filter(F.col("metres") <= metres).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "metres")
+
+
+def test_points_in_many_cells_are_not_broadcast(spark):
+    a, b = _points(spark, 1500, 600), _points(spark, 900, 150)
+    got, want = pairs.near_pairs(a, b, 90), _near(a, b, 90)
+    assert "Broadcast" not in _plan(got).split("Exchange hashpartitioning")[0]
+    assert got.count() == want.count() > 900 and got.exceptAll(want).isEmpty()
