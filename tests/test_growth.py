@@ -44,3 +44,11 @@ def test_points_in_many_cells_are_not_broadcast(spark):
     got, want = pairs.near_pairs(a, b, 90), _near(a, b, 90)
     assert "Broadcast" not in _plan(got).split("Exchange hashpartitioning")[0]
     assert got.count() == want.count() > 900 and got.exceptAll(want).isEmpty()
+
+
+def test_nearest_looks_in_rings(spark):
+    a, b = _points(spark, 1500, 600).withColumn("lng", F.when(F.col("id") % 7 == 0, F.col("lng") - 0.007).otherwise(F.col("lng"))), _points(spark, 900, 150)
+    got = pairs.nearest(a, b, 500)
+    want = _near(a, b, 500).groupBy("a_id").agg(F.min(F.struct("metres", "b_id")).alias("m")).select("a_id", "m.b_id", "m.metres")
+    assert "Join [_y" not in _plan(got)  # pairs of points are ranked before ids join
+    assert got.count() == want.count() > 900 and got.exceptAll(want).isEmpty() and want.filter("metres > 250").count() > 10
