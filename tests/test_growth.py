@@ -29,6 +29,18 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_of_tokens_are_listed_behind_the_join(spark):
+    word = lambda k: F.element_at(F.array(*map(F.lit, ("north", "south", "east", "bay", None))), (k % 5 + 1).cast("int"))
+    k = F.col("id")
+    df = spark.range(3000).select((3 * k).alias("idx"), F.when(k % 11 > 0, k % 7).alias("scope"), F.array(word(k), word(k / 5), F.lit("all "), word(k)).alias("ts"))
+    got = pairs.token_pairs(df, F.col("ts"), scope=["scope"])
+    assert "Exchange" not in _plan(got).split("Join")[0]  # pairs are neither shuffled nor counted by row
+    rows = df.select("idx", "scope", F.explode(F.array_distinct(F.filter("ts", lambda t: F.length(t) >= 4))).alias("t"))
+    a, b = rows.alias("a"), rows.alias("b")
+    want = a.join(b, [F.col("a.t") == F.col("b.t"), F.col("a.scope") == F.col("b.scope"), F.col("a.idx") < F.col("b.idx")]).groupBy(F.col("a.idx").alias("a"), F.col("b.idx").alias("b")).agg(F.count("*").alias("shared"))
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty() and got.schema["shared"].dataType == want.schema["shared"].dataType
+
+
 def _points(spark, n: int, places: int):
     at = F.pmod(F.xxhash64(F.col("id") % places), F.lit(40_000))
     return spark.range(n).select("id", (F.lit(-3.7) - (at % 200) / 20_000).alias("lat"), (F.lit(-38.5) - F.floor(at / 200) / 20_000).alias("lng")).withColumn("lat", F.when(F.col("id") % 50 > 0, F.col("lat")))
