@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nested import graph_items, json_blocks
-from ..functions.text import city_and_region, name_key, name_similarity, normalize, slug, tokens
+from ..functions.text import GENERIC, city_and_region, name_key, name_similarity, normalize, slug, tokens
 from ..operators.lookup import compatible_catalogue_name
 from ..shared import written
 from .details import meta_content, street_in_text, unescaped, visible_text
@@ -140,14 +140,15 @@ def official_references(wanted: DataFrame, pages: DataFrame, store: Store, now:
     Stage one looks up each city's listing page at each builder, stage two the pages of the buildings whose names fit. Both ask the cache
     first; what it doesn't know comes from `pages` (url, html; a page that is not there, or has null html, is unavailable: that source is
     passed over). A target takes the first candidate, by likeness of the names, then in the order of the builders and of their lists, whose page
-    names it. Targets and links meet by a word of their names, never all with all; targets without a name of their own get nothing.
+    names it. Names and links meet by a word of theirs that is not generic, never all with all; targets without a name of their own get nothing.
     """
     goal = wanted.select("target_id", "city", F.col("name").alias("target"), name_key(F.col("name")).alias("key")).filter("key IS NOT NULL AND city IS NOT NULL")
     goal = written(goal, "wanted")
+    names = written(goal.select("city", "target", "key").distinct(), "names")  # looked up once, however many targets have that name
     html = pages.filter("url IS NOT NULL AND html IS NOT NULL").groupBy("url").agg(F.min("html").alias("html"))
     place, where = city_and_region(F.col("city")), slug(F.substring_index("city", ",", 1))
     table = F.array(*(F.struct(F.lit(i).alias("no"), F.lit(p.name).alias("source"), F.lit(p.builder).alias("builder"), F.lit(p.domain).alias("domain"), _filled(p.listing, region=F.lower(F.coalesce(place["region"], F.lit(""))), city=where).alias("url")) for i, p in enumerate(providers)))
-    lists = goal.select("city").distinct().select("city", F.explode(table).alias("p")).select(F.concat("p.source", F.lit(":"), normalize(F.col("city"))).alias("key"), "city", "p.*")
+    lists = names.select("city").distinct().select("city", F.explode(table).alias("p")).select(F.concat("p.source", F.lit(":"), normalize(F.col("city"))).alias("key"), "city", "p.*")
     one = lists.groupBy("key", "source", "url", "domain").agg(F.min("no").alias("no"))  # spellings of a city share a listing
 
     def read_lists(rows: DataFrame) -> DataFrame:
@@ -158,15 +159,15 @@ def official_references(wanted: DataFrame, pages: DataFrame, store: Store, now:
     listings, counted = _looked_up(one, "official_listing", LISTING_DAYS, read_lists, store, now)
     links = listings.select("key", "source", F.posexplode(F.from_json("payload", "array<struct<name:string,url:string>>")).alias("pos", "x")).join(lists.select("key", "city", "no", "builder"), "key")
     links = links.select("city", "no", "source", "builder", F.lit(1).alias("turn"), "pos", F.col("x.name").alias("listing_name"), F.col("x.url").alias("url"))
-    words = lambda c: F.explode(F.array_distinct(tokens(c))).alias("word")
-    met = goal.select("target_id", "city", "target", "key", words(F.col("target"))).join(links.select("*", words(F.col("listing_name"))), ["city", "word"]).drop("word").distinct()
+    words = lambda c: F.explode(F.filter(F.array_distinct(tokens(c)), lambda w: ~w.isin(*GENERIC))).alias("word")  # noqa: E731  fitting names share a word that is not generic
+    met = names.select("city", "target", "key", words(F.col("target"))).join(links.select("*", words(F.col("listing_name"))), ["city", "word"]).drop("word").distinct()
     met = written(met, "met")
     fits = met.filter(compatible_catalogue_name(F.col("target"), F.col("listing_name"))).withColumn("score", F.coalesce(name_similarity(name_key(F.col("listing_name")), F.col("key")), F.lit(0.0)))
     for i, p in enumerate(providers):
         if p.detail:
             state = F.try_element_at(F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv)), place["region"])
             url = _filled(p.detail, state=state, city=where, name=slug(F.col("target")))
-            direct = goal.select("target_id", "city", "target", "key", F.lit(i).alias("no"), F.lit(p.name).alias("source"), F.lit(p.builder).alias("builder"), F.lit(0).alias("turn"), F.lit(0).alias("pos"), F.col("target").alias("listing_name"), url.alias("url"), F.lit(1.0).alias("score"))
+            direct = names.select("city", "target", "key", F.lit(i).alias("no"), F.lit(p.name).alias("source"), F.lit(p.builder).alias("builder"), F.lit(0).alias("turn"), F.lit(0).alias("pos"), F.col("target").alias("listing_name"), url.alias("url"), F.lit(1.0).alias("score"))
             fits = fits.unionByName(direct.filter("url IS NOT NULL"))
     fits = written(fits, "candidates")
 
@@ -178,7 +179,7 @@ def official_references(wanted: DataFrame, pages: DataFrame, store: Store, now:
     details, counted_details = _looked_up(asked, "official_detail", DETAIL_DAYS, read_details, store, now)
     known = details.select("source", "url", F.from_json("payload", REFERENCE).alias("ref"))
     order = F.struct((-F.col("score")).alias("a"), F.col("no").alias("b"), F.col("turn").alias("c"), F.col("pos").alias("d"), F.col("url").alias("e"))
-    found = fits.select("target_id", "target", "source", "url", order.alias("order")).join(known, ["source", "url"])
+    found = fits.select("city", "target", "source", "url", order.alias("order")).join(known, ["source", "url"])
     named = found.select("*", F.explode(F.array_compact(F.concat(F.array("ref.name"), F.coalesce("ref.aliases", F.array().cast("array<string>"))))).alias("one")).filter(compatible_catalogue_name(F.col("target"), F.col("one")))
-    best = named.groupBy("target_id").agg(F.min_by("ref", "order").alias("ref"))
+    best = goal.join(named.groupBy("city", "target").agg(F.min_by(F.struct("ref", "order"), "order").alias("x")), ["city", "target"]).groupBy("target_id").agg(F.min_by("x.ref", "x.order").alias("ref"))
     return best.select("target_id", "ref.*"), counted.unionByName(counted_details)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import time
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tessera import shared
 from tessera.functions import numbers
 from tessera.operators import pairs
-from tessera.sources import pages
+from tessera.sources import catalogue, pages, tables
 
 
 def test_a_state_of_many_houses_is_taken_apart_once(spark):
@@ -64,3 +66,22 @@ def test_nearest_looks_in_rings(spark):
     want = _near(a, b, 500).groupBy("a_id").agg(F.min(F.struct("metres", "b_id")).alias("m")).select("a_id", "m.b_id", "m.metres")
     assert "Join [_y" not in _plan(got)  # pairs of points are ranked before ids join
     assert got.count() == want.count() > 900 and got.exceptAll(want).isEmpty() and want.filter("metres > 250").count() > 10
+
+
+def test_a_name_is_looked_up_in_catalogues_once(spark, tmp_path, monkeypatch):
+    counted = {}
+
+    def written(df, name, keep=False):
+        out = shared.written(df, name, keep)
+        counted[name] = max(counted.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(catalogue, "written", written)
+    P = catalogue.Provider
+    providers = (P("one", "One", "https://one.com", "https://one.com/{city}"), P("two", "Two", "https://two.com", "https://two.com/{city}"))
+    names = ["Residencial Bosque", "Residencial Marina", "Residencial Aurora Nova"]
+    html = {"https://one.com/sobral": "".join(f'<a href="/{n[-3:]}">{n}</a>' for n in names[:2]), "https://two.com/sobral": "".join(f'<a href="/{n[-3:]}">{n}</a>' for n in names), "https://two.com/ina": "<h1>Marina</h1>", "https://two.com/ova": "<h1>Aurora Nova</h1>"}
+    wanted = spark.createDataFrame([(i, "Sobral, CE", names[i % 3]) for i in range(60)], "target_id int, city string, name string")
+    found, _ = catalogue.official_references(wanted, spark.createDataFrame([*html.items()], "url string, html string"), tables.Store(spark, str(tmp_path)), datetime(2026, 5, 1), providers)
+    assert {(r.target_id, r.url) for r in found.collect()} == {(i, "https://two.com/ina" if i % 3 == 1 else "https://two.com/ova") for i in range(60) if i % 3}
+    assert counted["met"] == counted["candidates"] == 5  # not each target with each link that says Residencial
