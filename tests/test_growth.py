@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import shared
 from tessera.functions import numbers
-from tessera.operators import pairs
+from tessera.operators import dedup, pairs
 from tessera.sources import catalogue, pages, tables
 
 
@@ -85,3 +85,19 @@ def test_a_name_is_looked_up_in_catalogues_once(spark, tmp_path, monkeypatch):
     found, _ = catalogue.official_references(wanted, spark.createDataFrame([*html.items()], "url string, html string"), tables.Store(spark, str(tmp_path)), datetime(2026, 5, 1), providers)
     assert {(r.target_id, r.url) for r in found.collect()} == {(i, "https://two.com/ina" if i % 3 == 1 else "https://two.com/ova") for i in range(60) if i % 3}
     assert counted["met"] == counted["candidates"] == 5  # not each target with each link that says Residencial
+
+
+def test_links_within_a_component_are_not_looked_for(spark, monkeypatch):
+    counted = []
+
+    def written(df, name, keep=False):
+        out = shared.written(df, name, keep)
+        counted.append(out.count() if name == "links" else 0)
+        return out
+
+    monkeypatch.setattr(dedup, "written", written)
+    k = F.col("id")
+    rows = spark.range(1200).select(k.alias("idx"), F.lit("Sol").alias("title"), F.concat(F.lit("s"), k % 2).alias("source"), (50_000 + k * 7 % 1200).cast("double").alias("price"), (40 + k * 11 % 1200 / 600).alias("area"), F.lit(2).alias("rooms"), F.lit("Centro").alias("district"))
+    [one] = dedup.deduplicate(rows).collect()
+    assert (one.idx, one.cluster_n, one.source, one.dup_sources, one.photos) == (0, 1200, "s0", ["s1"], [])
+    assert sum(counted) < 180_000  # 360,000 pairs link
